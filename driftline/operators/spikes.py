@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -191,7 +192,7 @@ def _scan_blocks(batches: Iterator[pa.RecordBatch], n_keys: int, limit: float, s
         last = t.slice(t.num_rows - 1)
         same = np.ones(t.num_rows, bool)
         for c in [*names, "_blk"]:
-            same &= pa.compute.equal(t[c], last[c][0]).to_numpy()
+            same &= pc.equal(t[c], last[c][0]).to_numpy()
         return t.num_rows - int(np.argmin(same[::-1])) if not same.all() else 0
 
     held, size = [], 0
@@ -221,7 +222,7 @@ def stream_outliers(
     see ``spike_mask``. Null readings and rows with a null key or null position are passed over. Of repeated positions
     of one stream one row counts. ``order`` is an integer; ``block`` of its units are handled together with ``halo`` units
     borrowed on both sides, which must hold ``stuck`` readings and the windows of the level; the noise is that of
-    the block. Streams of fewer than 5 readings have no spikes. Other columns are ignored. Empty gives empty.
+    the block. Positions count from 0. Streams of fewer than 5 readings have no spikes. Other columns are ignored. Empty gives empty.
     """
     own = [f"_k{i}" for i in range(len(keys))]
     known = F.col(value).isNotNull() & F.col(order).isNotNull()
@@ -229,7 +230,7 @@ def stream_outliers(
         known = known & F.col(k).isNotNull()
     t = F.col(order)
     blk = lambda c: F.floor(c / F.lit(block)).cast("long")
-    at = F.filter(F.array_distinct(F.array(blk(t), blk(t - halo), blk(t + halo))), lambda b: b.isNotNull())
+    at = F.array_distinct(F.array(blk(t), F.when((t >= 0) & (t < halo), blk(t)).otherwise(blk(t - halo)), blk(t + halo)))
     rows_ = df.where(known).select(*[F.col(k).alias(o) for k, o in zip(keys, own)], t.alias("_t"), F.col(value).cast("float" if dict(df.dtypes)[value] == "float" else "double").alias("_x"), F.explode(at).alias("_blk"))
     rows_ = rows_.withColumn("_own", F.col("_blk") == blk(F.col("_t"))).withColumn("_h", F.xxhash64(*own, "_blk"))
     sort = rows_.repartition("_h").sortWithinPartitions("_h", *own, "_blk", "_t").drop("_h")
@@ -260,6 +261,7 @@ def series_outliers(
         df.where(known)
         .select(*[F.col(k).alias(o) for k, o in zip(source, own)], F.col(record).alias("_r"), F.col(order).alias("_t"), F.col(value).cast("double").alias("_x"))
         .withColumn("_blk", F.floor(F.col("_t") / F.lit(block)).cast("long"))
+        .repartition(*own, "_blk")
         .dropDuplicates([*own, "_blk", "_t", "_r"])
     )
     fine = ~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))) & (x >= least)
@@ -272,7 +274,7 @@ def series_outliers(
     item = F.struct("_t", "_r", "_x")
     by = Window.partitionBy(*own, "_blk")
     edge = (
-        rows.withColumn("_i", F.row_number().over(by.orderBy("_t", "_r"))).withColumn("_j", F.row_number().over(by.orderBy(F.desc("_t"), F.desc("_r"))))
+        rows.withColumn("_i", F.row_number().over(by.orderBy("_t", "_r"))).withColumn("_j", F.count("*").over(by) - F.col("_i") + 1)
         .where(f"_i <= {k} or _j <= {k}")
         .groupBy(*own, "_blk")
         .agg(F.sort_array(F.collect_list(F.when(F.col("_i") <= k, item))).alias("head"), F.sort_array(F.collect_list(F.when(F.col("_j") <= k, item))).alias("tail"))
