@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftline.functions.names import tod_key
-from driftline.llm.encode import encode_corpus
+from driftline.llm.encode import count_tokens, encode_corpus
+from driftline.llm.mixing import mix
 from driftline.llm.nearest import nearest_in_time
 from driftline.llm.percentiles import merge_sketches, read_percentiles, sketch_columns
 from driftline.tables import load
@@ -47,7 +48,23 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_corpus(load(spark, d, "documents").select("doc_id", "text"))
 
 
-QUERIES = {"p1_found": p1_found, "p3_percentiles": p3_percentiles, "p3_season": p3_season, "p6_ids": p6_ids}
+def _mixture(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    docs = load(spark, d, "documents").select("doc_id", F.lower(F.trim("source")).alias("source"), "text")
+    sized = count_tokens(docs.where("source is not null"))
+    return mix(sized, "source", "doc_id", "n_tokens", load(spark, d, "mix_targets"))
+
+
+def p7_mixture(spark: SparkSession, d: str) -> DataFrame:
+    """Every document of the mixture and how often it is used."""
+    return _mixture(spark, d)[0]
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Target and reached share of each source."""
+    return _mixture(spark, d)[1]
+
+
+QUERIES = {"p1_found": p1_found, "p3_percentiles": p3_percentiles, "p3_season": p3_season, "p6_ids": p6_ids, "p7_mixture": p7_mixture, "p7_shares": p7_shares}
 
 _KEY = r"regexp_replace(lower(regexp_replace(regexp_replace(tod_name, '^\s+|\s+$', '', 'g'), '^.*[/\\]', '')), '\.zip$', '')"
 _RANK = "max(CASE WHEN i = greatest(1, CAST(ceil({q} * n - 1e-9) AS BIGINT)) THEN v END) AS {name}"
