@@ -21,6 +21,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from driftline.session import shipped
+
 LIMIT, STUCK, SPIKE = 1, 2, 4
 
 
@@ -224,6 +226,7 @@ def stream_outliers(
     borrowed on both sides, which must hold ``stuck`` readings and the windows of the level; the noise is that of
     the block. Positions count from 0. Streams of fewer than 5 readings have no spikes. Other columns are ignored. Empty gives empty.
     """
+    shipped(df.sparkSession)
     own = [f"_k{i}" for i in range(len(keys))]
     known = F.col(value).isNotNull() & F.col(order).isNotNull()
     for k in keys:

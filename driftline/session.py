@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,3 +37,21 @@ def checkpointed(df: DataFrame) -> DataFrame:
         shared = spark.conf.get("spark.checkpoint.dir", None)
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="driftline-checkpoint-"))
     return df.checkpoint(eager=True)
+
+
+def shipped(spark: SparkSession) -> SparkSession:
+    """``spark`` with this package on the path of its Python workers, wherever they run."""
+    sc = spark.sparkContext
+    if getattr(sc, "_driftline_shipped", False):
+        return spark
+    root = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="driftline-code-"), "driftline.zip")  # the driver hands it to the executors
+    with zipfile.ZipFile(archive, "w") as z:
+        for folder, _, files in os.walk(root):
+            for f in files:
+                if f.endswith(".py"):
+                    path = os.path.join(folder, f)
+                    z.write(path, os.path.join("driftline", os.path.relpath(path, root)))
+    sc.addPyFile(archive)
+    sc._driftline_shipped = True
+    return spark

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from driftline.session import shipped
+
 
 def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """Table ``name`` of ``folder`` (a parquet file or a folder of them)."""
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return shipped(spark).read.parquet(f"{folder}/{name}.parquet")
