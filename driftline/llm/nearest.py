@@ -15,6 +15,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from driftline.session import shipped
+
 
 def _codes(t: pa.Table) -> np.ndarray:
     """True where a row's entity or block differs from that of the row before."""
@@ -109,6 +111,7 @@ def nearest_in_time(
     ``right_<name>``. Other columns are ignored. Empty tables give an empty result. ``block`` is the length of the
     stretches of time one task handles, ten times the tolerance unless given.
     """
+    shipped(left.sparkSession)
     b = float(block or max(10 * tolerance, 1e-6))
     fine = lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) != F.lit(float("inf")))
     lt, rt = F.col(left_time).cast("double"), F.col(right_time).cast("double")

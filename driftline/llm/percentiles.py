@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from driftline.session import shipped
+
 SECTION = 128
 SECTIONS = 3
 
@@ -246,6 +248,7 @@ def sketch_columns(df: DataFrame, keys: list[str], columns: list[str], k: int =
     sketches are made where the rows lie, so nothing but sketches is shuffled; those of one group meet in ``salts`` tasks
     first. An empty table gives an empty result.
     """
+    shipped(df.sparkSession)
     from pyspark.sql import types as T
 
     src = df.select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(keys)], *[F.col(c).cast("double").alias(c) for c in columns])
@@ -260,6 +263,7 @@ def sketch_columns(df: DataFrame, keys: list[str], columns: list[str], k: int =
 
 def merge_sketches(sketches: DataFrame, keys: list[str]) -> DataFrame:
     """The sketches of the coarser groups of ``keys`` and metric, e.g. of sets of days."""
+    shipped(sketches.sparkSession)
     src = sketches.select(*keys, "metric", "n", "sketch")
     schema = _arrow(src.schema)
     own = [*keys, "metric"]

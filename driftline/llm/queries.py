@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from driftline.functions.names import tod_key
 from driftline.llm.encode import count_tokens, encode_corpus
+from driftline.llm.garbled import find_garbled
 from driftline.llm.mixing import mix
 from driftline.llm.nearest import nearest_in_time
 from driftline.llm.percentiles import merge_sketches, read_percentiles, sketch_columns
@@ -64,7 +65,16 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return _mixture(spark, d)[1]
 
 
-QUERIES = {"p1_found": p1_found, "p3_percentiles": p3_percentiles, "p3_season": p3_season, "p6_ids": p6_ids, "p7_mixture": p7_mixture, "p7_shares": p7_shares}
+def p8_restored(spark: SparkSession, d: str) -> DataFrame:
+    """Garbled documents, the swaps they suffered and what they read without them."""
+    return find_garbled(load(spark, d, "documents").where("doc_id is not null"), "doc_id", "text", F.lower(F.trim("source")))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return p8_restored(spark, d).select("doc_id")
+
+
+QUERIES = {"p1_found": p1_found, "p3_percentiles": p3_percentiles, "p3_season": p3_season, "p6_ids": p6_ids, "p7_mixture": p7_mixture, "p7_shares": p7_shares, "p8_found": p8_found, "p8_restored": p8_restored}
 
 _KEY = r"regexp_replace(lower(regexp_replace(regexp_replace(tod_name, '^\s+|\s+$', '', 'g'), '^.*[/\\]', '')), '\.zip$', '')"
 _RANK = "max(CASE WHEN i = greatest(1, CAST(ceil({q} * n - 1e-9) AS BIGINT)) THEN v END) AS {name}"
