@@ -77,13 +77,24 @@ def _autoregression(z: np.ndarray, sigma: np.ndarray) -> np.ndarray:
     return phi
 
 
+def _extrapolated(t: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Value at 0 of the least-squares line of each row over places t; NaN are left out."""
+    w = np.isfinite(y)
+    v, n = np.where(w, y, 0), np.maximum(w.sum(1), 1)
+    mt, my = (w * t).sum(1) / n, v.sum(1) / n
+    d = np.where(w, t - mt[:, None], 0)
+    spread = (d * d).sum(1)
+    slope = np.where(spread > 0, (d * np.where(w, y - my[:, None], 0)).sum(1) / np.where(spread > 0, spread, 1), 0)
+    return my - slope * mt
+
+
 def spike_mask(m: np.ndarray, sigmas: float = 10.0, half: int = 8, side: int = 8, rounds: int = 5) -> np.ndarray:
     """True where a value of the row is an additive outlier. m: rows of streams, NaN behind their ends.
 
     A value is one if it is more than ``sigmas`` times the noise of its row away from the running level plus the mean
-    of the forward and backward prediction, and from the median of the last ``side`` values before and of the
-    first ``side`` after it that aren't outliers themselves (at an end from the one side there is). Past a level
-    shift the values after agree with it, so it isn't one.
+    of the forward and backward prediction, unless it is the edge of a level shift: then it lies within half of that
+    of the line through the last ``side`` values before, or the first ``side`` after it, that aren't outliers
+    themselves.
     """
     there = np.isfinite(m)
     flags = np.zeros(m.shape, bool)
@@ -112,15 +123,12 @@ def spike_mask(m: np.ndarray, sigmas: float = 10.0, half: int = 8, side: int = 8
             reach = 4 * side
             keep = np.pad(np.where((np.abs(z0) > 6 * s[:, None]) & out | ~t, np.nan, x), ((0, 0), (reach, reach)), constant_values=np.nan)
             fits = np.zeros(len(rows), bool)
-            seen = np.zeros(len(rows), bool)
             for off in (np.arange(reach - 1, -1, -1), np.arange(reach + 1, 2 * reach + 1)):
                 near = keep[rows[:, None], cols[:, None] + off[None, :]]
                 near[np.cumsum(np.isfinite(near), 1) > side] = np.nan
-                med = _row_median(near)
-                has = np.isfinite(near).sum(1) >= 3
-                seen |= has
-                fits |= has & (np.abs(x[rows, cols] - med) <= sigmas * s[rows])
-            out[rows[fits & seen], cols[fits & seen]] = False
+                has = np.isfinite(near).sum(1) >= 4
+                fits |= has & (np.abs(x[rows, cols] - _extrapolated(off - reach, near)) <= sigmas / 2 * s[rows])
+            out[rows[fits], cols[fits]] = False
         changed = (out != flags[todo]).any(1)
         flags[todo] = out
         todo = todo[changed]

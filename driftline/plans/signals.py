@@ -68,10 +68,10 @@ def centred(spark, d):
 
 
 @query("moment_chunks", f"""WITH {_C}, k AS (SELECT *, CAST(floor((samp - 10) / 50.0) AS INTEGER) AS chunk, max(samp) OVER {P} + 1 AS n FROM c)
-SELECT tod_id, det_uid, chunk, round(avg(y), 3) AS m1, round(avg(y * y), 3) AS m2 FROM k WHERE samp >= 10 AND (chunk + 1) * 50 + 10 <= n GROUP BY 1, 2, 3""")
+SELECT tod_id, det_uid, chunk, round(avg(y), 8) AS m1, round(avg(y * y), 4) AS m2 FROM k WHERE samp >= 10 AND (chunk + 1) * 50 + 10 <= n GROUP BY 1, 2, 3""")
 def _(spark, d):
     got = stats.moment_chunks(centred(spark, d), KEYS, "samp", "y", 50, 10, 2)
-    return got.select(*KEYS, "chunk", r3("m1").alias("m1"), r3("m2").alias("m2"))
+    return got.select(*KEYS, "chunk", F.round("m1", 8).alias("m1"), F.round("m2", 4).alias("m2"))
 
 
 @query("noise_level", f"WITH {_C}, v AS (SELECT tod_id, det_uid, samp // 20 AS w, var_pop(y) AS v FROM c GROUP BY 1, 2, 3) SELECT tod_id, det_uid, round(median(v), 4) AS noise FROM v GROUP BY 1, 2")
