@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 def merge_ranges(df: DataFrame, keys: list[str], gap: int = 0) -> DataFrame:
     """Union of the ranges of each key: ranges that overlap, touch, or lie no more than ``gap`` apart become one. Empty ones are left out."""
-    w = Window.partitionBy(*keys).orderBy("start", "stop")
+    w = Window.partitionBy(*keys).orderBy("start")
     before = F.max("stop").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    rows = df.where("start < stop").select(*keys, "start", "stop")
+    # of ranges with one start the longest counts; adding these up first bounds a busy key by the length of its axis
+    rows = df.where("start < stop").groupBy(*keys, "start").agg(F.max("stop").alias("stop"))
     new = rows.withColumn("_new", F.when(before.isNull() | (F.col("start") > before.cast("long") + gap), 1).otherwise(0))
     run = new.withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return run.groupBy(*keys, "_run").agg(F.min("start").alias("start"), F.max("stop").alias("stop")).drop("_run")

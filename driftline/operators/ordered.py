@@ -26,11 +26,11 @@ def jump_statistic(df: DataFrame, keys: list[str], samp: str, value: str, width:
 
 
 def step_jumps(df: DataFrame, keys: list[str], samp: str, value: str, step: int, threshold: float) -> DataFrame:
-    """(keys, at, size): centre and mean size of each run of samples whose value ``step`` samples on differs by more than ``threshold``."""
+    """(keys, at, size): first sample behind the centre, and mean size, of each run of samples whose value ``step`` samples on differs by more than ``threshold``."""
     w = Window.partitionBy(*keys).orderBy(samp)
     d = df.withColumn("_d", F.lead(value, step).over(w) - F.col(value)).where(F.abs("_d") > threshold)
     run = d.withColumn("_g", F.col(samp) - F.row_number().over(w))
-    return run.groupBy(*keys, "_g").agg(F.floor((F.min(samp) + F.max(samp) + step) / 2).cast("int").alias("at"), F.avg("_d").alias("size")).drop("_g")
+    return run.groupBy(*keys, "_g").agg(F.ceil((F.min(samp) + F.max(samp) + step) / 2).cast("int").alias("at"), F.avg("_d").alias("size")).drop("_g")
 
 
 def quantised_jumps(jumps: DataFrame, quantum: float, tolerance: float) -> DataFrame:

@@ -221,8 +221,8 @@ def axis(spark, d):
 
 def merged_sql(src: str, name: str, keys: str = "tod_id, det_uid", gap: int = 0) -> str:
     """CTEs that end in ``name``: the union of the ranges of ``src``."""
-    return f"""{name}_o AS (SELECT {keys}, start, stop, max(stop) OVER (PARTITION BY {keys} ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM {src} WHERE start < stop),
-{name}_i AS (SELECT *, sum(CASE WHEN b IS NULL OR start > b + {gap} THEN 1 ELSE 0 END) OVER (PARTITION BY {keys} ORDER BY start, stop ROWS UNBOUNDED PRECEDING) AS g FROM {name}_o),
+    return f"""{name}_o AS (SELECT {keys}, start, stop, max(stop) OVER (PARTITION BY {keys} ORDER BY start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM (SELECT {keys}, start, max(stop) AS stop FROM {src} WHERE start < stop GROUP BY {keys}, start)),
+{name}_i AS (SELECT *, sum(CASE WHEN b IS NULL OR start > b + {gap} THEN 1 ELSE 0 END) OVER (PARTITION BY {keys} ORDER BY start ROWS UNBOUNDED PRECEDING) AS g FROM {name}_o),
 {name} AS (SELECT {keys}, min(start) AS start, max(stop) AS stop FROM {name}_i GROUP BY {keys}, g)"""
 
 
@@ -369,13 +369,13 @@ def _(spark, d):
 
 
 @query("step_jumps", f"""WITH {S}, l AS (SELECT tod_id, det_uid, samp, lead(x, 3) OVER {W} - x AS dd FROM s), j AS (SELECT * FROM l WHERE abs(dd) > 20000), g AS (SELECT *, samp - row_number() OVER {W} AS g FROM j)
-SELECT tod_id, det_uid, CAST(floor((min(samp) + max(samp) + 3) / 2.0) AS INTEGER) AS at, round(avg(dd), 3) AS size FROM g GROUP BY tod_id, det_uid, g""")
+SELECT tod_id, det_uid, CAST(ceil((min(samp) + max(samp) + 3) / 2.0) AS INTEGER) AS at, round(avg(dd), 3) AS size FROM g GROUP BY tod_id, det_uid, g""")
 def _(spark, d):
     return ordered.step_jumps(stream(spark, d), KEYS, "samp", "x", 3, 20000.0).withColumn("size", r3("size"))
 
 
 @query("remove_jumps", f"""WITH {S}, l AS (SELECT tod_id, det_uid, samp, lead(x, 3) OVER {W} - x AS dd FROM s), j AS (SELECT * FROM l WHERE abs(dd) > 20000), g AS (SELECT *, samp - row_number() OVER {W} AS g FROM j),
-e AS (SELECT tod_id, det_uid, CAST(floor((min(samp) + max(samp) + 3) / 2.0) AS INTEGER) AS at, round(avg(dd) / 1000) * 1000 AS k, abs(avg(dd) / 1000 - round(avg(dd) / 1000)) AS res FROM g GROUP BY tod_id, det_uid, g)
+e AS (SELECT tod_id, det_uid, CAST(ceil((min(samp) + max(samp) + 3) / 2.0) AS INTEGER) AS at, round(avg(dd) / 1000) * 1000 AS k, abs(avg(dd) / 1000 - round(avg(dd) / 1000)) AS res FROM g GROUP BY tod_id, det_uid, g)
 SELECT s.tod_id, s.det_uid, s.samp, round(x - coalesce((SELECT sum(k) FROM e WHERE e.tod_id = s.tod_id AND e.det_uid = s.det_uid AND e.at <= s.samp AND res <= 0.2 AND k <> 0), 0), 3) AS x FROM s WHERE s.det_uid <> 417""")
 def _(spark, d):
     s = stream(spark, d)

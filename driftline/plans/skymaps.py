@@ -27,10 +27,10 @@ def query(name: str, sql: str | None = None):
 
 
 def _li(spark, d):
-    return load(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("x"), F.col("l_discount").alias("y"), (F.col("l_extendedprice") / 1000).alias("v"), F.col("l_suppkey").alias("det"))
+    return load(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("x"), F.col("l_discount").alias("y"), F.ln("l_extendedprice").alias("v"), F.col("l_suppkey").alias("det"))
 
 
-_MAP = "m AS (SELECT CAST(floor(l_quantity + 0.5) AS INTEGER) AS i0, CAST(floor(l_discount / 0.01 + 0.5) AS INTEGER) AS i1, sum(l_extendedprice / 1000) AS signal, count(*) AS hits FROM lineitem WHERE floor(l_quantity + 0.5) BETWEEN 0 AND 51 AND floor(l_discount / 0.01 + 0.5) BETWEEN 0 AND 11 GROUP BY 1, 2)"
+_MAP = "m AS (SELECT CAST(floor(l_quantity + 0.5) AS INTEGER) AS i0, CAST(floor(l_discount / 0.01 + 0.5) AS INTEGER) AS i1, sum(ln(l_extendedprice)) AS signal, count(*) AS hits FROM lineitem WHERE floor(l_quantity + 0.5) BETWEEN 0 AND 51 AND floor(l_discount / 0.01 + 0.5) BETWEEN 0 AND 11 GROUP BY 1, 2)"
 
 
 def _map(spark, d):
@@ -42,17 +42,17 @@ def _(spark, d):
     return _map(spark, d).withColumn("signal", r6("signal"))
 
 
-@query("map_deproject", f"WITH {_MAP} SELECT l_orderkey, l_linenumber, round(coalesce(signal / hits, 0), 5) AS signal FROM lineitem LEFT JOIN m ON i0 = CAST(floor(l_quantity + 0.5) AS INTEGER) AND i1 = CAST(floor(l_discount / 0.01 + 0.5) AS INTEGER)")
+@query("map_deproject", f"WITH {_MAP} SELECT l_orderkey, l_linenumber, round(coalesce(signal / hits, 0), 6) AS signal FROM lineitem LEFT JOIN m ON i0 = CAST(floor(l_quantity + 0.5) AS INTEGER) AND i1 = CAST(floor(l_discount / 0.01 + 0.5) AS INTEGER)")
 def _(spark, d):
     m = mapping.divided(_map(spark, d), "signal", "hits")
-    return mapping.deproject(_li(spark, d), GRID, F.col("x"), F.col("y"), m, "signal").select("l_orderkey", "l_linenumber", F.round("signal", 5).alias("signal"))
+    return mapping.deproject(_li(spark, d), GRID, F.col("x"), F.col("y"), m, "signal").select("l_orderkey", "l_linenumber", r6("signal").alias("signal"))
 
 
-@query("map_polarised", """WITH q AS (SELECT CAST(floor(l_quantity + 0.5) AS INTEGER) AS i0, CAST(floor(l_discount / 0.01 + 0.5) AS INTEGER) AS i1, l_extendedprice / 1000 AS v, radians(l_suppkey % 90) AS phi, radians(l_linenumber * 10) AS g FROM lineitem WHERE floor(l_quantity + 0.5) BETWEEN 0 AND 51 AND floor(l_discount / 0.01 + 0.5) BETWEEN 0 AND 11),
+@query("map_polarised", """WITH q AS (SELECT CAST(floor(l_quantity + 0.5) AS INTEGER) AS i0, CAST(floor(l_discount / 0.01 + 0.5) AS INTEGER) AS i1, ln(l_extendedprice) AS v, radians(l_suppkey % 90) AS phi, radians(l_linenumber * 10) AS g FROM lineitem WHERE floor(l_quantity + 0.5) BETWEEN 0 AND 51 AND floor(l_discount / 0.01 + 0.5) BETWEEN 0 AND 11),
 a AS (SELECT *, sin(phi) * cos(g) - cos(phi) * sin(g) AS c, sin(phi) * sin(g) + cos(phi) * cos(g) AS s FROM q)
 SELECT i0, i1, round(sum(v), 6) AS sum_i, round(sum(v * (c*c - s*s)), 4) + 0.0 AS sum_q, round(-sum(v * 2 * s * c), 4) + 0.0 AS sum_u, count(*) AS hits FROM a GROUP BY 1, 2""")
 def _(spark, d):
-    q = load(spark, d, "lineitem").select(F.col("l_quantity").alias("x"), F.col("l_discount").alias("y"), (F.col("l_extendedprice") / 1000).alias("v"), F.radians(F.col("l_suppkey") % 90).alias("phi"), F.radians(F.col("l_linenumber") * 10).alias("g"))
+    q = load(spark, d, "lineitem").select(F.col("l_quantity").alias("x"), F.col("l_discount").alias("y"), F.ln("l_extendedprice").alias("v"), F.radians(F.col("l_suppkey") % 90).alias("phi"), F.radians(F.col("l_linenumber") * 10).alias("g"))
     c2, s2 = mapping.tangent_angle(F.cos("g"), F.sin("g"), F.col("phi"))
     m = mapping.project(q, GRID, F.col("x"), F.col("y"), mapping.polarised(F.col("v"), c2, s2))
     return m.select("i0", "i1", r6("sum_i").alias("sum_i"), (F.round("sum_q", 4) + 0.0).alias("sum_q"), (F.round("sum_u", 4) + 0.0).alias("sum_u"), "hits")

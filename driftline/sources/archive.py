@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThanOrEqual, InputPartition, LessThan
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.utils import AnalysisException
 
 from driftline.operators.joins import bounded
@@ -89,23 +89,12 @@ class ChannelPart(InputPartition):
 
 
 class ChannelFolderReader(DataSourceReader):
-    """One partition for each channel and ``block`` samples; equality on channel and limits on samp are pushed down."""
+    """One partition for each channel and ``block`` samples; of the channels and samples asked for in the options only."""
 
     def __init__(self, options: dict):
         self.path, self.block = options["path"], int(options.get("block", 1 << 20))
         self.channels: set[str] | None = {x.strip() for x in options["channels"].split(",")} if options.get("channels") else None
-        self.lo, self.hi = 0, 1 << 62
-
-    def pushFilters(self, filters: list) -> Iterator:
-        for f in filters:
-            if isinstance(f, EqualTo) and f.attribute == ("channel",):
-                self.channels = {f.value} if self.channels is None or f.value in self.channels else set()
-            elif isinstance(f, GreaterThanOrEqual) and f.attribute == ("samp",):
-                self.lo = max(self.lo, int(f.value))
-            elif isinstance(f, LessThan) and f.attribute == ("samp",):
-                self.hi = min(self.hi, int(f.value))
-            else:
-                yield f
+        self.lo, self.hi = int(options.get("start", 0)), int(options.get("stop", 1 << 62))
 
     def _read(self, name: str, offset: int = 0, size: int = -1) -> bytes:
         if self.path.endswith(".zip"):
@@ -159,7 +148,7 @@ class ChannelFolderReader(DataSourceReader):
 class ChannelFolder(DataSource):
     """A folder, or a zip file, with one raw file per channel and a list named ``format``: ``name RAW type samples-per-frame``.
 
-    Options: path, channels (names by comma), block. On a cluster the path must be one that all executors see.
+    Options: path, channels (names by comma), start and stop (samples), block. On a cluster the path must be one that all executors see.
     """
 
     @classmethod
@@ -173,14 +162,14 @@ class ChannelFolder(DataSource):
         return ChannelFolderReader(dict(self.options))
 
 
-def read_channels(spark: SparkSession, path: str, channels: list[str] | None = None) -> DataFrame:
-    """(channel, samp, value, spf) of a channel folder."""
+def read_channels(spark: SparkSession, path: str, channels: list[str] | None = None, start: int = 0, stop: int | None = None) -> DataFrame:
+    """(channel, samp, value, spf) of some channels, or all, of a channel folder, samples [start, stop)."""
     from driftline.session import shipped
 
     shipped(spark).dataSource.register(ChannelFolder)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    r = spark.read.format("channel_folder").option("path", path)
-    return (r.option("channels", ",".join(channels)) if channels else r).load()
+    r = spark.read.format("channel_folder").option("path", path).option("start", str(start))
+    r = r.option("channels", ",".join(channels)) if channels else r
+    return (r.option("stop", str(stop)) if stop is not None else r).load()
 
 
 def frames_of(df: DataFrame) -> DataFrame:
