@@ -242,8 +242,9 @@ def _arrow(spark_schema) -> pa.Schema:
 
 
 def sketch_columns(df: DataFrame, keys: list[str], columns: list[str], k: int = SECTION, salts: int = 16) -> DataFrame:
-    """``keys``, metric, n, sketch (binary) for each group and column with at least one finite value.
+    """``keys``, metric, n_values, sketch (binary) for each group and column with at least one finite value.
 
+    Keys with the name of one of those columns come out with ``key_`` before it.
     Null, NaN and infinite values are left out; a null key is a group of its own. Rows count as often as they occur. Partial
     sketches are made where the rows lie, so nothing but sketches is shuffled; those of one group meet in ``salts`` tasks
     first. An empty table gives an empty result.
@@ -252,19 +253,20 @@ def sketch_columns(df: DataFrame, keys: list[str], columns: list[str], k: int =
     from pyspark.sql import types as T
 
     src = df.select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(keys)], *[F.col(c).cast("double").alias(c) for c in columns])
-    out = T.StructType([*src.schema.fields[: len(keys)], T.StructField("metric", T.StringType()), T.StructField("n", T.LongType()), T.StructField("sketch", T.BinaryType())])
+    out = T.StructType([*src.schema.fields[: len(keys)], T.StructField("metric", T.StringType()), T.StructField("n_values", T.LongType()), T.StructField("sketch", T.BinaryType())])
     schema, width = _arrow(out), len(keys)
     part = src.mapInArrow(lambda it: _partial(it, k, schema, 4000, width), out)
     own = [*[f"_g{i}" for i in range(width)], "metric"]
     salted = part.withColumn("_salt", F.pmod(F.xxhash64("sketch"), F.lit(salts)))
     met = salted.repartition(*own, "_salt").sortWithinPartitions(*own, "_salt").drop("_salt").mapInArrow(lambda it: _combine(it, schema), out)
-    return merge_sketches(met.select(*[F.col(f"_g{i}").alias(c) for i, c in enumerate(keys)], "metric", "n", "sketch"), keys)
+    names = [f"key_{c}" if c in ("metric", "n_values", "sketch") else c for c in keys]
+    return merge_sketches(met.select(*[F.col(f"_g{i}").alias(c) for i, c in enumerate(names)], "metric", "n_values", "sketch"), names)
 
 
 def merge_sketches(sketches: DataFrame, keys: list[str]) -> DataFrame:
     """The sketches of the coarser groups of ``keys`` and metric, e.g. of sets of days."""
     shipped(sketches.sparkSession)
-    src = sketches.select(*keys, "metric", "n", "sketch")
+    src = sketches.select(*keys, "metric", "n_values", "sketch")
     schema = _arrow(src.schema)
     own = [*keys, "metric"]
     return src.repartition(*own).sortWithinPartitions(*own).mapInArrow(lambda it: _combine(it, schema), src.schema)

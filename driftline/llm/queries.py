@@ -91,6 +91,6 @@ WITH p AS (SELECT DISTINCT tod_id, det_uid, pa, CAST(to_timestamp(ctime) AT TIME
 u AS (UNPIVOT p ON rms, gain, correlation INTO NAME metric VALUE v),
 r AS (SELECT pa, day, metric, v, row_number() OVER (PARTITION BY pa, day, metric ORDER BY v) AS i,
              count(*) OVER (PARTITION BY pa, day, metric) AS n FROM u WHERE isfinite(v))
-SELECT pa, day, metric, max(n) AS n, {", ".join(_RANK.format(q=q, name=k) for k, q in QS.items())}, 0.0::DOUBLE AS rank_error
+SELECT pa, day, metric, max(n) AS n_values, {", ".join(_RANK.format(q=q, name=k) for k, q in QS.items())}, 0.0::DOUBLE AS rank_error
 FROM r GROUP BY pa, day, metric""",
 }
