@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftline.operators.joins import bounded
-from driftline.operators.stats import medsig
+from driftline.operators.stats import group_median, medsig
 
 
 def calibration_chain(df: DataFrame, steps: list[tuple[str, object, list[str]]], name: str = "cal") -> DataFrame:
@@ -50,7 +50,7 @@ def criteria_selection(long: DataFrame, keys: list[str], limits: dict[str, dict]
 
     A criterion has ``absolute`` (lo, hi) and / or ``sigmas`` (about the robust centre of its TOD and key), joined by ``how``: and (default) or or.
     """
-    s = medsig(long, ["tod_id", "key"], "v").drop("n")
+    s = medsig(long, ["tod_id", "key"], "v", spread=False).drop("n")
     rows = long.where(F.col("key").isin(list(limits))).join(s, ["tod_id", "key"], "left")
     ok: Column = F.lit(True)
     for k, rule in limits.items():
@@ -69,7 +69,7 @@ def excess_partial(chunks: DataFrame, keys: list[str], selected: Column, most: f
 
 def stable(df: DataFrame, keys: list[str], value: str, selected: Column, lo: float = 0.8, hi: float = 1.2) -> DataFrame:
     """``df`` with ``stable``: value over the median of its group's selected values lies between lo and hi."""
-    m = df.where(selected).groupBy(*keys).agg(F.median(value).alias("_m"))
+    m = group_median(df.where(selected), keys, value, "_m").drop("n")
     ratio = F.col(value) / F.when(F.col("_m") != 0, F.col("_m"))
     return df.join(m, keys, "left").withColumn("stable", F.coalesce((ratio > lo) & (ratio < hi), F.lit(False))).drop("_m")
 

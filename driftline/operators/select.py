@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftline.operators.stats import medsig
+from driftline.operators.stats import group_median, medsig
 
 
 def predicate(df: DataFrame, key: str, want) -> Column:
@@ -79,7 +79,7 @@ def select_by_sigma(df: DataFrame, keys: list[str], value: str, sigmas: float) -
 
 def limit_mask(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """``df`` with ``kept``: value <= min(3 m, max + 0.2 m), m the median of the group's values other than 0."""
-    m = df.groupBy(*keys).agg(F.median(F.when(F.col(value) != 0, F.col(value))).alias("_m"), F.max(value).alias("_x"))
+    m = group_median(df.where(F.col(value) != 0), keys, value, "_m").drop("n").join(df.groupBy(*keys).agg(F.max(value).alias("_x")), keys)
     return df.join(m, keys).withColumn("kept", F.col(value) <= F.least(3 * F.col("_m"), F.col("_x") + 0.2 * F.col("_m"))).drop("_m", "_x")
 
 

@@ -1,6 +1,7 @@
 """Statistics per detector, sample, group and season.
 
-Order statistics are ranks among a group's values, taken by window ranks so that no group is held in memory.
+Order statistics are ranks among a group's values. Groups that grow with the season (a detector's readings) are never sorted or
+held as a whole; groups of fixed size (a sample's detectors) are sorted by a window.
 """
 
 from __future__ import annotations
@@ -10,12 +11,41 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from driftline.session import checkpointed
 
-def order_statistics(df: DataFrame, keys: list[str], value: str, at: dict[str, Column]) -> DataFrame:
-    """``keys`` and, by name, the values of zero-based rank ``at`` (an expression over the count n) of each group."""
-    w = Window.partitionBy(*keys)
-    ranked = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"), (F.row_number().over(w.orderBy(value)) - 1).alias("_i"), F.count("*").over(w).alias("n"))
-    return ranked.groupBy(*keys).agg(*[F.max(F.when(F.col("_i") == r, F.col("_v"))).alias(k) for k, r in at.items()], F.first("n").alias("n"))
+
+def order_statistics(df: DataFrame, keys: list[str], value: str, at: dict[str, Column], spread: bool = False) -> DataFrame:
+    """``keys`` and, by name, the values of zero-based rank ``at`` (an expression over the count n) of each group; and n.
+
+    With ``spread`` a group may be larger than a task should sort: equal values are added up, counted by buckets in the order of
+    values (64 to each factor of two), and only the buckets that hold a wanted rank are sorted, each by itself. Nulls don't count;
+    null keys are a group.
+    """
+    if not spread:
+        w = Window.partitionBy(*keys)
+        ranked = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"), (F.row_number().over(w.orderBy(value)) - 1).alias("_i"), F.count("*").over(w).alias("n"))
+        return ranked.groupBy(*keys).agg(*[F.max(F.when(F.col("_i") == r, F.col("_v"))).alias(k) for k, r in at.items()], F.first("n").alias("n"))
+    own = [f"_k{i}" for i in range(len(keys))]
+    v = F.col("_v").cast("double")
+    bucket = F.when(v == 0, 0.0).otherwise(F.signum(v) * (F.floor(F.log2(F.abs(v)) * 64) + 100_000))
+    values = df.where(F.col(value).isNotNull()).select(*[F.col(k).alias(o) for k, o in zip(keys, own)], F.col(value).alias("_v")).groupBy(*own, "_v").agg(F.count("*").alias("_c")).withColumn("_b", bucket)
+    w = Window.partitionBy(*own)
+    per = values.groupBy(*own, "_b").agg(F.sum("_c").alias("_m")).withColumn("n", F.sum("_m").over(w)).withColumn("_upto", F.sum("_m").over(w.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)))
+    asked = F.filter(F.array(*[F.struct(F.lit(k).alias("name"), (r - (F.col("_upto") - F.col("_m"))).cast("long").alias("rank")) for k, r in at.items()]), lambda x: (x["rank"] >= 0) & (x["rank"] < F.col("_m")))
+    wanted = per.select(*[F.col(o).alias(f"_w{o}") for o in own], F.col("_b").alias("_wb"), "n", asked.alias("_asked")).where("size(_asked) > 0")
+    on = F.col("_b").eqNullSafe(F.col("_wb"))
+    for o in own:
+        on = on & F.col(o).eqNullSafe(F.col(f"_w{o}"))
+    part = values.join(wanted, on).withColumn("_end", F.sum("_c").over(Window.partitionBy(*own, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)))
+    hit = part.select(*own, "_v", "_c", "_end", "n", F.explode("_asked").alias("_q")).where("_q.rank < _end and _q.rank >= _end - _c")
+    got = hit.groupBy(*own).agg(*[F.max(F.when(F.col("_q.name") == k, F.col("_v"))).alias(k) for k in at], F.first("n").alias("n"))
+    return got.select(*[F.col(o).alias(k) for o, k in zip(own, keys)], *at, "n")
+
+
+def group_median(df: DataFrame, keys: list[str], value: str, name: str = "median") -> DataFrame:
+    """(keys, median, n): mean of the middle two values of each group, of groups of any size."""
+    q = order_statistics(df, keys, value, {"_lo": F.expr("(n - 1) div 2"), "_hi": F.expr("n div 2")}, spread=True)
+    return q.select(*keys, ((F.col("_lo") + F.col("_hi")) / 2).alias(name), "n")
 
 
 def upper_median(df: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -23,9 +53,12 @@ def upper_median(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return order_statistics(df, keys, value, {"med": F.expr("n div 2")}).drop("n")
 
 
-def medsig(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Robust centre and deviation: med = x[n // 2], sig = 0.741 (x[3 n // 4] - x[n // 4]) of the sorted values."""
-    q = order_statistics(df, keys, value, {"med": F.expr("n div 2"), "lo": F.expr("n div 4"), "hi": F.expr("3 * n div 4")})
+def medsig(df: DataFrame, keys: list[str], value: str, spread: bool = True) -> DataFrame:
+    """Robust centre and deviation: med = x[n // 2], sig = 0.741 (x[3 n // 4] - x[n // 4]) of the sorted values.
+
+    Without ``spread`` each group is sorted in one task, which is faster for groups known to be small.
+    """
+    q = order_statistics(df, keys, value, {"med": F.expr("n div 2"), "lo": F.expr("n div 4"), "hi": F.expr("3 * n div 4")}, spread)
     return q.select(*keys, "med", (0.741 * (F.col("hi") - F.col("lo"))).alias("sig"), "n")
 
 
@@ -152,34 +185,25 @@ def normalized_gains(df: DataFrame, keys: list[str], det: str, gain: str, refere
     Fewer than ``least`` such detectors give norm 1 and ok false.
     """
     ref = df.where(reference & (F.col(gain) != 0) & F.col(gain).isNotNull() & ~F.isnan(gain))
-    s = medsig(ref, keys, gain).drop("n")
+    s = medsig(ref, keys, gain, spread=False).drop("n")
     kept = ref.join(s, keys).where((F.col("sig") == 0) | (F.abs(F.col(gain) - F.col("med")) <= sigmas * F.col("sig")))
     norm = kept.groupBy(*keys).agg(F.avg(gain).alias("norm"), F.count("*").alias("_n"))
     out = df.join(norm, keys, "left").withColumn("ok", F.coalesce(F.col("_n") >= least, F.lit(False)))
     return out.withColumn("norm", F.when(F.col("ok") & (F.col("norm") != 0), F.col("norm")).otherwise(1.0)).withColumn("relative", F.col(gain) / F.col("norm")).drop("_n")
 
 
-def find_mode(df: DataFrame, keys: list[str], value: str, rounds: int = 20, width: float = 2.0) -> DataFrame:
-    """(keys, mode): centre of the values within ``width`` deviations of the centre before, ``rounds`` times or until it stays."""
-    import pandas as pd
+def find_mode(df: DataFrame, keys: list[str], value: str, rounds: int = 4, width: float = 2.0) -> DataFrame:
+    """(keys, mode): robust centre of the values within ``width`` deviations of the centre before, ``rounds`` times.
 
-    kinds = dict(df.dtypes)
-
-    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf["_v"].sort_values().to_numpy()
-        m, s = x[len(x) // 2], 0.741 * (x[3 * len(x) // 4] - x[len(x) // 4])
-        for _ in range(rounds):
-            y = x[abs(x - m) <= width * s]
-            if not len(y):
-                break
-            new, s = y[len(y) // 2], 0.741 * (y[3 * len(y) // 4] - y[len(y) // 4])
-            done, m = abs(new - m) < 1e-9, new
-            if done:
-                break
-        return pd.DataFrame([(*key, float(m))], columns=[*keys, "mode"])
-
-    src = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
-    return src.groupBy(*keys).applyInPandas(one, ", ".join([f"{k} {kinds[k]}" for k in keys] + ["mode double"]))
+    Where no value is left the centre stays.
+    """
+    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
+    now = checkpointed(medsig(rows, keys, "_v").drop("n"))  # one row per group; each round reads it twice
+    for _ in range(rounds):
+        near = rows.join(now, keys).where(F.abs(F.col("_v") - F.col("med")) <= width * F.col("sig")).select(*keys, "_v")
+        new = medsig(near, keys, "_v").select(*keys, F.col("med").alias("_m"), F.col("sig").alias("_s"))
+        now = checkpointed(now.join(new, keys, "left").select(*keys, F.coalesce("_m", "med").alias("med"), F.coalesce("_s", "sig").alias("sig")))
+    return now.select(*keys, F.col("med").alias("mode"))
 
 
 def combine_fits(df: DataFrame, det: str, x: str, y: str, radius: float, rounds: int = 3, least: int = 2) -> DataFrame:
@@ -188,7 +212,7 @@ def combine_fits(df: DataFrame, det: str, x: str, y: str, radius: float, rounds:
     The first estimate is the median of each coordinate.
     """
     rows = df.select(F.col(det).alias("_d"), F.col(x).alias("_x"), F.col(y).alias("_y")).where("_x is not null and _y is not null")
-    now = rows.groupBy("_d").agg(F.median("_x").alias("cx"), F.median("_y").alias("cy"))
+    now = group_median(rows, ["_d"], "_x", "cx").drop("n").join(group_median(rows, ["_d"], "_y", "cy").drop("n"), "_d")
     for _ in range(rounds):
         near = rows.join(now, "_d").where((F.col("_x") - F.col("cx")) ** 2 + (F.col("_y") - F.col("cy")) ** 2 < radius**2)
         now = near.groupBy("_d").agg(F.avg("_x").alias("cx"), F.avg("_y").alias("cy"), F.stddev_pop("_x").alias("sx"), F.stddev_pop("_y").alias("sy"), F.count("*").alias("n"))

@@ -133,7 +133,19 @@ def _(spark, d):
     return stats.medsig(p, ["pa", "det_uid"], "gain").select("pa", "det_uid", r6("med").alias("med"), r6("sig").alias("sig"), "n")
 
 
-@query("find_mode")
+_MED = "(SELECT pa, det_uid, max(CASE WHEN i = n // 2 THEN v END) AS med, 0.741 * (max(CASE WHEN i = 3 * n // 4 THEN v END) - max(CASE WHEN i = n // 4 THEN v END)) AS sig FROM (SELECT pa, det_uid, v, row_number() OVER (PARTITION BY pa, det_uid ORDER BY v) - 1 AS i, count(*) OVER (PARTITION BY pa, det_uid) AS n FROM {src}) GROUP BY 1, 2)"
+
+
+def _mode_sql(rounds: int) -> str:
+    parts = ["v0 AS (SELECT DISTINCT tod_id, pa, det_uid, gain AS v FROM pathologies WHERE isfinite(gain))", "m0 AS " + _MED.format(src="v0")]
+    for i in range(1, rounds + 1):
+        parts.append(f"v{i} AS (SELECT v0.pa, v0.det_uid, v FROM v0 JOIN m{i - 1} m ON v0.pa = m.pa AND v0.det_uid = m.det_uid AND abs(v - med) <= 2 * sig)")
+        parts.append(f"n{i} AS " + _MED.format(src=f"v{i}"))
+        parts.append(f"m{i} AS (SELECT m.pa, m.det_uid, coalesce(n.med, m.med) AS med, coalesce(n.sig, m.sig) AS sig FROM m{i - 1} m LEFT JOIN n{i} n ON m.pa = n.pa AND m.det_uid = n.det_uid)")
+    return "WITH " + ", ".join(parts) + f" SELECT pa, det_uid, med AS mode FROM m{rounds}"
+
+
+@query("find_mode", _mode_sql(4))
 def _(spark, d):
     p = load(spark, d, "pathologies").where("gain is not null and not isnan(gain) and abs(gain) < double('inf')").select("tod_id", "pa", "det_uid", "gain").distinct()
     return stats.find_mode(p, ["pa", "det_uid"], "gain")
@@ -143,7 +155,7 @@ def _(spark, d):
 SELECT pa, count(*) AS n, round(pow(sum(pow(s, -2)), -0.5) / sqrt(2), 6) AS sens FROM m GROUP BY pa""")
 def _(spark, d):
     f = load(spark, d, "flatfield").where("sn > 0 and not isnan(sn) and sn < double('inf') and det_uid >= 0").select("ff_id", "pa", "det_uid", "sn").distinct()
-    m = f.groupBy("pa", "det_uid").agg(F.median("sn").alias("s"), F.count("*").alias("k")).where("k >= 3")
+    m = stats.group_median(f, ["pa", "det_uid"], "sn", "s").where("n >= 3")
     return m.groupBy("pa").agg(F.count("*").alias("n"), r6(stats.band_sensitivity(F.col("s"))).alias("sens"))
 
 
@@ -151,7 +163,7 @@ def _(spark, d):
 SELECT pa, det_uid, row_number() OVER w AS rank, round(pow(sum(pow(s, -2)) OVER (PARTITION BY pa ORDER BY s, det_uid ROWS UNBOUNDED PRECEDING), -0.5), 6) AS cumulative FROM m WINDOW w AS (PARTITION BY pa ORDER BY s, det_uid)""")
 def _(spark, d):
     f = load(spark, d, "flatfield").where("sn > 0 and not isnan(sn) and sn < double('inf') and det_uid >= 0").select("ff_id", "pa", "det_uid", "sn").distinct()
-    m = f.groupBy("pa", "det_uid").agg(F.median("sn").alias("s"), F.count("*").alias("k")).where("k >= 3")
+    m = stats.group_median(f, ["pa", "det_uid"], "sn", "s").where("n >= 3")
     return stats.cumulative_sensitivity(m, ["pa"], "s", "det_uid").select("pa", "det_uid", "rank", r6("cumulative").alias("cumulative"))
 
 

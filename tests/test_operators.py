@@ -227,3 +227,30 @@ def test_archive(spark, tmp_path):
     with pytest.raises(KeyError):
         b.get("nope")
     assert archive.depot_path("/r", "cuts", "v1", "1104544902.x") == "/r/cuts/v1/11045/1104544902.x"
+
+
+def test_order_statistics_agree_and_stand_skew(spark):
+    from driftline.operators import stats
+
+    r = np.random.default_rng(0)
+    rows = [("hot", float(v)) for v in np.exp(3 * r.normal(size=500)) * np.where(r.random(500) < 0.3, -1, 1)] + [("ties", float(v)) for v in r.integers(-2, 3, 200)]
+    rows += [(None, 1.0), (None, 2.0), ("hot", None), ("one", 0.0), ("big", 1e308), ("big", -1e308), ("big", 5e-324)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    at = {"lo": F.expr("n div 4"), "med": F.expr("n div 2"), "hi": F.expr("3 * n div 4")}
+    key = lambda d: sorted((tuple(x) for x in d.collect()), key=str)
+    assert key(stats.order_statistics(df, K, "v", at)) == key(stats.order_statistics(df, K, "v", at, spread=True))
+    med = {x["k"]: x["median"] for x in stats.group_median(df, K, "v").collect()}
+    assert med["hot"] == float(np.median([v for k, v in rows if k == "hot" and v is not None])) and med[None] == 1.5
+    assert stats.order_statistics(df.limit(0), K, "v", at, spread=True).count() == 0
+
+
+def test_scans(spark):
+    from driftline.operators import scans
+
+    df = spark.createDataFrame([(1, i, float(i if i < 5 else 10 - i)) for i in range(11)] + [(2, 0, 7.0)], "k int, samp int, x double")
+    assert [x["direction"] for x in scans.scan_direction(df, K, "samp", "x").orderBy("k", "samp").collect()] == [1] * 5 + [0] + [-1] * 5 + [None]
+    filled = scans.gaps_filled(df, K, "samp", "x", ~F.col("samp").isin(0, 3, 4, 5, 10))
+    assert [x["x"] for x in filled.where("k = 1").orderBy("samp").collect()] == pytest.approx([1, 1, 2, 2.5, 3, 3.5, 4, 3, 2, 1, 1])
+    image = np.random.default_rng(0).normal(size=(16, 16))
+    assert np.allclose(scans.shifted(image, 2, 3), np.roll(image, (2, 3), (0, 1))) and scans.without_common_mode(image, 0.1, 2, 1).shape == image.shape
+    assert abs(scans.without_common_mode(image, 0.1, 2, 1).mean() - image.mean()) < 1e-9

@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 
 DATA = "/root/testdata/sf0.001"
-MODULES = ["quality", "catalog", "signals", "season", "skymaps", "texts"]
+MODULES = ["quality", "catalog", "signals", "season", "skymaps", "scans", "texts"]
 CASES = [(n, m) for m in MODULES for n in import_module(f"driftline.plans.{m}").SQL]
 REST = [(n, m) for m in MODULES for n in import_module(f"driftline.plans.{m}").QUERIES if n not in import_module(f"driftline.plans.{m}").SQL]
 
