@@ -74,7 +74,8 @@ def mix(docs: DataFrame, source: str, doc_id: str, size: str, targets: DataFrame
     spark = docs.sparkSession
     want = {r["source"]: r for r in targets.select("source", "target_share", "max_repeats").where("source is not null").toLocalIterator()}
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.col(size).cast("long").alias("n_tokens")).where("n_tokens >= 0")
-    rows = rows.join(F.broadcast(targets.select("source").distinct()), "source", "left_semi")
+    small = F.broadcast if len(want) <= 10_000 else lambda t: t  # a list of sources; longer ones are joined by shuffle
+    rows = rows.join(small(targets.select("source").distinct()), "source", "left_semi")
     order = F.xxhash64("doc_id", F.lit(seed))
     rows = rows.withColumn("_o", order).withColumn("_b", F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.lit(blocks)))
     totals = rows.groupBy("source", "_b").agg(F.sum("n_tokens").alias("t"))
@@ -85,11 +86,11 @@ def mix(docs: DataFrame, source: str, doc_id: str, size: str, targets: DataFrame
         b = min(w * total, have[s] * int(want[s]["max_repeats"] if want[s]["max_repeats"] is not None else 1))
         whole = int(b / have[s] + 1e-9)
         plan.append((s, whole, int(max(0, round(b - whole * have[s])))))
-    plans = F.broadcast(spark.createDataFrame(plan or [("", 0, 0)], "source string, whole int, rest long"))
+    plans = small(spark.createDataFrame(plan or [("", 0, 0)], "source string, whole int, rest long"))
     w = Window.partitionBy("source").orderBy(F.xxhash64("_b", F.lit(seed)), "_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     cut = totals.withColumn("upto", F.sum("t").over(w)).join(plans, "source").select("source", "_b", (F.col("rest") - (F.col("upto") - F.col("t"))).alias("left_"), "whole", "t")
     # at most one block per source is cut; the others are in or out as a whole
-    placed = rows.join(F.broadcast(cut), ["source", "_b"])  # blocks * target sources rows
+    placed = rows.join(small(cut) if len(want) * blocks <= 1_000_000 else cut, ["source", "_b"])  # blocks * target sources rows
     inside = (F.col("left_") > 0) & (F.col("left_") < F.col("t"))
     full = placed.where(~inside).withColumn("extra", (F.col("left_") >= F.col("t")).cast("int") * (F.col("t") > 0).cast("int"))
     run = Window.partitionBy("source").orderBy("_o", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -97,7 +98,7 @@ def mix(docs: DataFrame, source: str, doc_id: str, size: str, targets: DataFrame
     chosen = full.unionByName(part).withColumn("copies", (F.col("whole") + F.col("extra")).cast("int")).where("copies > 0").select("doc_id", "source", "n_tokens", "copies")
     used = chosen.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("tokens"), F.count("*").alias("n_docs"), F.max("copies").alias("most_copies"))
     report = (
-        F.broadcast(targets.select("source", "target_share", "max_repeats").where("source is not null")).join(used, "source", "left")
+        targets.select("source", "target_share", "max_repeats").where("source is not null").join(used, "source", "left")
         .na.fill(0, ["tokens", "n_docs", "most_copies"])
         .withColumn("share", F.col("tokens") / F.sum("tokens").over(Window.partitionBy(F.lit(1))))
         .withColumn("exponent", F.lit(float(exponent)))

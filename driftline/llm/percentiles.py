@@ -255,7 +255,7 @@ def sketch_columns(df: DataFrame, keys: list[str], columns: list[str], k: int =
     src = df.select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(keys)], *[F.col(c).cast("double").alias(c) for c in columns])
     out = T.StructType([*src.schema.fields[: len(keys)], T.StructField("metric", T.StringType()), T.StructField("n_values", T.LongType()), T.StructField("sketch", T.BinaryType())])
     schema, width = _arrow(out), len(keys)
-    part = src.mapInArrow(lambda it: _partial(it, k, schema, 4000, width), out)
+    part = src.mapInArrow(lambda it: _partial(it, k, schema, 1000, width), out)
     own = [*[f"_g{i}" for i in range(width)], "metric"]
     salted = part.withColumn("_salt", F.pmod(F.xxhash64("sketch"), F.lit(salts)))
     met = salted.repartition(*own, "_salt").sortWithinPartitions(*own, "_salt").drop("_salt").mapInArrow(lambda it: _combine(it, schema), out)
