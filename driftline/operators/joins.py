@@ -107,13 +107,35 @@ def within_distance(df: DataFrame, keys: list[str], ident: str, x: str, y: str,
 
 
 def pairwise_correlation(df: DataFrame, keys: list[str], det: str, samp: str, value: str) -> DataFrame:
-    """(keys, a, b, cov, corr) of all pairs of detectors of one key, a < b: the covariance matrix itself.
+    """(keys, a, b, cov, corr) of the detectors of each observation over the samples that both have, a < b.
 
-    Pairs are the result asked for; a key has as many detectors as its array, not as many as it has rows.
+    The result is the covariance matrix; it comes from products of the observation's matrix, not from pairs of rows. Pairs with
+    fewer than two common samples have nulls, as has the correlation with a constant stream.
     """
-    left = df.select(*keys, F.col(det).alias("a"), samp, F.col(value).cast("double").alias("x"))
-    right = df.select(*keys, F.col(det).alias("b"), samp, F.col(value).cast("double").alias("y"))
-    return left.join(right, [*keys, samp]).where("a < b").groupBy(*keys, "a", "b").agg(F.covar_samp("x", "y").alias("cov"), F.corr("x", "y").alias("corr"))
+    import numpy as np
+    import pandas as pd
+
+    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        dets, at = np.unique(pdf["_d"], return_inverse=True)
+        _, col = np.unique(pdf["_s"], return_inverse=True)
+        x, m = np.zeros((len(dets), col.max() + 1)), np.zeros((len(dets), col.max() + 1))
+        x[at, col], m[at, col] = pdf["_x"], 1.0
+        x = (x - (x.sum(1) / m.sum(1))[:, None]) * m
+        n, sx, xx = m @ m.T, x @ m.T, (x * x) @ m.T
+        xy = x @ x.T
+        a, b = np.triu_indices(len(dets), 1)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            cov = xy[a, b] - sx[a, b] * sx[b, a] / n[a, b]
+            va, vb = xx[a, b] - sx[a, b] ** 2 / n[a, b], xx[b, a] - sx[b, a] ** 2 / n[a, b]
+            corr = np.where((va > 1e-12 * xx[a, b]) & (vb > 1e-12 * xx[b, a]), cov / np.sqrt(va * vb), np.nan)
+            cov = np.where(n[a, b] > 1, cov / (n[a, b] - 1), np.nan)
+        keep = n[a, b] > 0
+        return pd.DataFrame({**dict(zip(keys, key)), "a": dets[a][keep], "b": dets[b][keep], "cov": cov[keep], "corr": corr[keep]})
+
+    kinds = dict(df.dtypes)
+    src = df.where(F.col(value).isNotNull()).select(*keys, F.col(det).alias("_d"), F.col(samp).alias("_s"), F.col(value).cast("double").alias("_x"))
+    got = src.groupBy(*keys).applyInPandas(one, ", ".join(f"{k} {kinds[k]}" for k in keys) + f", a {kinds[det]}, b {kinds[det]}, cov double, corr double")
+    return got.withColumn("cov", F.nanvl("cov", F.lit(None).cast("double"))).withColumn("corr", F.nanvl("corr", F.lit(None).cast("double")))
 
 
 def radial_bins(pairs: DataFrame, places: DataFrame, det: str, edges: list[float]) -> DataFrame:

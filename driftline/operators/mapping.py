@@ -111,9 +111,10 @@ def plane_removed(sky: DataFrame, value: str, hits: str = "hits") -> DataFrame:
     det = F.col("uu") * F.col("vv") - F.col("uv") ** 2
     ok = F.when(det != 0, det)
     s = s.select("u", "v", "z", F.coalesce((F.col("uz") * F.col("vv") - F.col("vz") * F.col("uv")) / ok, F.lit(0.0)).alias("a"), F.coalesce((F.col("vz") * F.col("uu") - F.col("uz") * F.col("uv")) / ok, F.lit(0.0)).alias("b"))
-    s = s.select(*[F.col(c).alias(f"_{c}") for c in s.columns])
-    out = sky.crossJoin(F.broadcast(s))  # one row
-    return out.withColumn(value, F.col(value) - F.col("_z") - F.col("_a") * (u - F.col("_u")) - F.col("_b") * (v - F.col("_v"))).drop("_u", "_v", "_z", "_a", "_b")
+    fit = s.select(F.struct(*s.columns)).scalar()
+    out = sky.withColumn("_f", fit)
+    f = lambda k: F.col(f"_f.{k}")
+    return out.withColumn(value, F.col(value) - f("z") - f("a") * (u - f("u")) - f("b") * (v - f("v"))).drop("_f")
 
 
 def annulus_mean(sky: DataFrame, value: str, centre: tuple[float, float], lo: float, hi: float) -> Column:
@@ -125,8 +126,8 @@ def annulus_mean(sky: DataFrame, value: str, centre: tuple[float, float], lo: fl
 def solid_angles(sky: DataFrame, value: str, centre: tuple[float, float], radius: float, outer: float, area: float) -> DataFrame:
     """(om_inner, om_outer, om_total): of a beam map less the mean of its annulus [radius, outer), its wing continued as the cube."""
     r = F.sqrt((F.col("i0") - centre[0]) ** 2 + (F.col("i1") - centre[1]) ** 2)
-    base = sky.agg(annulus_mean(sky, value, centre, radius, outer).alias("_b"), F.max(value).alias("_p"))
-    z = sky.crossJoin(F.broadcast(base)).withColumn("_z", (F.col(value) - F.col("_b")) / (F.col("_p") - F.col("_b")))
+    base = sky.agg(F.struct(annulus_mean(sky, value, centre, radius, outer).alias("b"), F.max(value).alias("p"))).scalar()
+    z = sky.withColumn("_f", base).withColumn("_z", (F.col(value) - F.col("_f.b")) / (F.col("_f.p") - F.col("_f.b")))
     inner = F.sum(F.when(r < radius, F.col("_z"))) * area
     edge = F.avg(F.when((r >= radius - 1) & (r < radius), F.col("_z"))) * 2 * math.pi * radius**2 * area
     return z.agg(inner.alias("om_inner"), edge.alias("om_outer"), (inner + edge).alias("om_total"))
@@ -170,8 +171,7 @@ def solve_map(rows: DataFrame, det: list[str], rounds: int = 5, tolerance: float
 
     def conditioned(m: DataFrame) -> DataFrame:
         z = m.withColumn("z", F.col("r") / F.col("hits"))
-        mean = z.agg(F.avg("z").alias("_m"))
-        return z.crossJoin(F.broadcast(mean)).withColumn("z", F.col("z") - F.col("_m")).drop("_m")
+        return z.withColumn("z", F.col("z") - z.agg(F.avg("z")).scalar())
 
     sky = checkpointed(conditioned(right).withColumn("x", F.lit(0.0)).withColumn("p", F.col("z")))
     rz = float(sky.agg(F.sum(F.col("r") * F.col("z"))).first()[0] or 0.0)

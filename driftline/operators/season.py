@@ -135,9 +135,9 @@ def report_rows(patho: DataFrame, cuts: DataFrame, criteria: list[str]) -> DataF
     return per.join(cuts.groupBy("tod_id").agg(F.avg("fraction").alias("cut_fraction")), "tod_id", "left")
 
 
-def criteria_matrix(long: DataFrame, key: str, tods: list[str]) -> DataFrame:
-    """Detectors x TODs of one criterion; the TODs asked for become columns."""
-    return long.where(F.col("key") == key).groupBy("det_uid").pivot("tod_id", tods).agg(F.first("v"))
+def criteria_matrix(long: DataFrame, rows: list[str], column: str, values: list[str]) -> DataFrame:
+    """A criterion table (rows..., column, v) with one column for each of the values of ``column`` asked for."""
+    return long.where(F.col(column).isin(values)).groupBy(*rows).pivot(column, values).agg(F.max("v"))
 
 
 def pointing_offset(blocks: DataFrame, keys: list[str]) -> DataFrame:

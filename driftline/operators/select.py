@@ -72,7 +72,11 @@ def select_by_sigma(df: DataFrame, keys: list[str], value: str, sigmas: float) -
     A group with deviation 0 is selected as a whole, null values never are. The centre and deviation are those of ``medsig``.
     """
     stats = medsig(df, keys, value)
-    got = df.join(stats.withColumnsRenamed({k: f"_{k}" for k in keys}), reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]), "left") if keys else df.crossJoin(stats)
+    if keys:
+        got = df.join(stats.withColumnsRenamed({k: f"_{k}" for k in keys}), reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]), "left")
+    else:
+        one = stats.select(F.struct("med", "sig")).scalar()
+        got = df.withColumn("_f", one).withColumn("med", F.col("_f.med")).withColumn("sig", F.col("_f.sig"))
     ok = F.col(value).isNotNull() & ((F.col("sig") == 0) | (F.abs(F.col(value) - F.col("med")) <= sigmas * F.col("sig")))
     return got.withColumn("selected", F.coalesce(ok, F.lit(False))).select(*df.columns, "selected")
 
@@ -92,10 +96,12 @@ def first_of(df: DataFrame, keys: list[str], order: list) -> DataFrame:
 def group_masks(df: DataFrame, keys: list[str], empty: bool = True) -> DataFrame:
     """Number of rows of every combination of the distinct key values; also of those without rows if ``empty``.
 
-    The combinations of distinct values are few by their meaning (arrays, bands); rows are never paired.
+    The distinct values are few by their meaning (arrays, bands); the combinations are made of these alone.
     """
     have = df.groupBy(*keys).agg(F.count("*").alias("n"))
     if not empty:
         return have
-    combos = reduce(lambda a, b: a.crossJoin(b), [have.select(k).distinct() for k in keys])
+    combos = have.agg(*[F.collect_set(k).alias(k) for k in keys])
+    for k in keys:
+        combos = combos.withColumn(k, F.explode(k))
     return combos.join(have, keys, "left").na.fill(0, ["n"])

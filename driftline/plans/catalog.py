@@ -105,12 +105,12 @@ def _(spark, d):
 
 
 def _lists(spark, d) -> tuple[DataFrame, DataFrame]:
-    a = load(spark, d, "flatfield").dropDuplicates(["ff_id"]).where("ff_id % 3 = 0 and tod_name is not null").select(F.col("ff_id").alias("ord"), F.trim("tod_name").alias("name"))
+    a = load(spark, d, "flatfield").dropDuplicates(["ff_id"]).where("tod_name is not null").select(F.col("ff_id").alias("ord"), F.trim("tod_name").alias("name"))
     b = load(spark, d, "fit_planet_cal").dropDuplicates(["fit_id"]).where("tod_name is not null").select(F.col("fit_id").alias("ord"), F.trim("tod_name").alias("name"))
     return a, b
 
 
-_LISTS = r"""a AS (SELECT DISTINCT ff_id AS ord, trim(tod_name) AS name, regexp_replace(regexp_replace(trim(tod_name), '^.*/', ''), '\.zip$', '') AS key FROM flatfield WHERE ff_id % 3 = 0 AND tod_name IS NOT NULL),
+_LISTS = r"""a AS (SELECT DISTINCT ff_id AS ord, trim(tod_name) AS name, regexp_replace(regexp_replace(trim(tod_name), '^.*/', ''), '\.zip$', '') AS key FROM flatfield WHERE tod_name IS NOT NULL),
 b AS (SELECT DISTINCT fit_id AS ord, trim(tod_name) AS name, regexp_replace(regexp_replace(trim(tod_name), '^.*/', ''), '\.zip$', '') AS key FROM fit_planet_cal WHERE tod_name IS NOT NULL)"""
 
 
@@ -140,10 +140,10 @@ def _(spark, d):
     return lists.dedup_first(load(spark, d, "documents").where("item is not null"), "item", "doc_id").select("item", "doc_id")
 
 
-@query("merge_missing", "SELECT c_custkey AS id, c_nationkey AS nat FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT s_suppkey, s_nationkey FROM supplier WHERE s_suppkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0)")
+@query("merge_missing", "SELECT s_suppkey AS id, s_nationkey AS nat FROM supplier UNION ALL SELECT c_custkey, c_nationkey FROM customer WHERE c_custkey NOT IN (SELECT s_suppkey FROM supplier)")
 def _(spark, d):
-    a = load(spark, d, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("nat"))
-    b = load(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("nat"))
+    a = load(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("nat"))
+    b = load(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("nat"))
     return lists.merge_missing(a, b, "id")
 
 

@@ -58,12 +58,22 @@ def _(spark, d):
     return scans.group_mode(s, ["tod_id"], ["row"], "samp", "x").withColumn("mode", r3("mode"))
 
 
-@query("relative_calibration")
+def _box(src: str, name: str, keys: str, width: int) -> str:
+    """CTEs that end in ``name``: the periodic moving mean ``m`` of column x of ``src``."""
+    h = width // 2
+    return f"""{name}_t AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY samp) - 1 AS i, count(*) OVER (PARTITION BY {keys}) AS n FROM {src}),
+{name}_e AS (SELECT * FROM {name}_t UNION ALL SELECT * REPLACE (i + n AS i) FROM {name}_t WHERE i < {width} UNION ALL SELECT * REPLACE (i - n AS i) FROM {name}_t WHERE i >= n - {width}),
+{name} AS (SELECT * FROM (SELECT *, avg(x) OVER (PARTITION BY {keys} ORDER BY i RANGE BETWEEN {h} PRECEDING AND {width - 1 - h} FOLLOWING) AS m FROM {name}_e) WHERE i >= 0 AND i < n)"""
+
+
+@query("relative_calibration", f"""WITH {S}, {_box('s', 'b', 'tod_id, det_uid', 9)}, y AS (SELECT tod_id, det_uid, samp, m - avg(m) OVER {P} AS y FROM b), c AS (SELECT tod_id, samp, avg(y) AS c FROM y GROUP BY 1, 2),
+k AS (SELECT tod_id, det_uid, sum(y * c) / sum(c * c) AS k FROM y JOIN c USING (tod_id, samp) GROUP BY 1, 2) SELECT tod_id, det_uid, round(avg(k) OVER (PARTITION BY tod_id) / k, 6) AS cal FROM k WHERE k <> 0""")
 def _(spark, d):
-    return scans.relative_calibration(stream(spark, d), ["tod_id"], "det_uid", "samp", "x").withColumn("cal", r6("cal"))
+    return scans.relative_calibration(stream(spark, d), ["tod_id"], "det_uid", "samp", "x").withColumn("cal", r6("cal")).where("cal is not null")
 
 
-@query("correlations_removed")
+@query("correlations_removed", f"""WITH {S}, y AS (SELECT tod_id, det_uid, samp, x - avg(x) OVER {P} AS y FROM s), c AS (SELECT tod_id, samp, avg(y) AS x FROM y GROUP BY 1, 2), {_box('c', 'b', 'tod_id', 9)}
+SELECT tod_id, det_uid, samp, round(y - m, 3) AS x FROM y JOIN b USING (tod_id, samp)""")
 def _(spark, d):
     return scans.correlations_removed(stream(spark, d), ["tod_id"], "det_uid", "samp", "x", 9).withColumn("x", r3("x"))
 
@@ -73,11 +83,21 @@ def _(spark, d):
     return scans.injected(_places(spark, d), "x", F.col("px"), F.col("py"), [(0.5, 0.8, 5000.0, 0.3)]).select(*KEYS, "samp", r3("x").alias("x"))
 
 
-@query("gaps_filled", f"""WITH {S}, o AS (SELECT *, samp % 7 NOT IN (0, 1) AS ok FROM s), f AS (SELECT *, last_value(CASE WHEN ok THEN samp END IGNORE NULLS) OVER w1 AS ps, last_value(CASE WHEN ok THEN x END IGNORE NULLS) OVER w1 AS pv,
+_RAW = "o AS (SELECT DISTINCT tod_id, det_uid, samp, data::DOUBLE AS x, coalesce(isfinite(data) AND abs(data) < 134217728, false) AS ok FROM samples)"
+
+
+def _raw(spark, d):
+    """All samples, bad ones too, each once."""
+    x = F.col("data").cast("double")
+    s = load(spark, d, "samples").select(*KEYS, "samp", x.alias("x"), F.coalesce(~F.isnan(x) & (F.abs(x) < 134217728), F.lit(False)).alias("ok"))
+    return s.distinct()
+
+
+@query("gaps_filled", f"""WITH {_RAW}, f AS (SELECT *, last_value(CASE WHEN ok THEN samp END IGNORE NULLS) OVER w1 AS ps, last_value(CASE WHEN ok THEN x END IGNORE NULLS) OVER w1 AS pv,
 first_value(CASE WHEN ok THEN samp END IGNORE NULLS) OVER w2 AS ns, first_value(CASE WHEN ok THEN x END IGNORE NULLS) OVER w2 AS nv FROM o WINDOW w1 AS (PARTITION BY tod_id, det_uid ORDER BY samp ROWS UNBOUNDED PRECEDING), w2 AS (PARTITION BY tod_id, det_uid ORDER BY samp ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
 SELECT tod_id, det_uid, samp, round(CASE WHEN ok THEN x WHEN ps IS NULL THEN nv WHEN ns IS NULL THEN pv ELSE pv + (nv - pv) * (samp - ps) / (ns - ps) END, 2) AS x FROM f""")
 def _(spark, d):
-    return scans.gaps_filled(stream(spark, d), KEYS, "samp", "x", ~(F.col("samp") % 7).isin(0, 1)).withColumn("x", F.round("x", 2))
+    return scans.gaps_filled(_raw(spark, d), KEYS, "samp", "x", F.col("ok")).select(*KEYS, "samp", F.round("x", 2).alias("x"))
 
 
 @query("sky_offset", "SELECT DISTINCT basename, round(0.1 + 0.2 + 0.03 * cos(radians(mean_alt)), 6) AS dx, round(-0.1 + 0.01 + 0.02 * sin(radians(mean_alt)), 6) AS dy FROM tod_info WHERE mean_alt IS NOT NULL")
@@ -97,10 +117,10 @@ def _(spark, d):
     return scans.baseline_fit(stream(spark, d), KEYS, "samp", "x", 0.025, 3)
 
 
-@query("cuts_mce", f"WITH {S}, h AS (SELECT tod_id, samp, samp - row_number() OVER (PARTITION BY tod_id ORDER BY samp) AS g FROM (SELECT DISTINCT tod_id, samp FROM s WHERE samp % 50 < 3)), i AS (SELECT tod_id, CAST(min(samp) AS INTEGER) AS start, CAST(max(samp) + 1 AS INTEGER) AS stop FROM h GROUP BY tod_id, g) SELECT d.tod_id, d.det_uid, start, stop FROM (SELECT DISTINCT tod_id, det_uid FROM s) d JOIN i USING (tod_id)")
+@query("cuts_mce", f"WITH {_RAW}, h AS (SELECT tod_id, samp, samp - row_number() OVER (PARTITION BY tod_id ORDER BY samp) AS g FROM (SELECT DISTINCT tod_id, samp FROM o WHERE NOT ok)), i AS (SELECT tod_id, CAST(min(samp) AS INTEGER) AS start, CAST(max(samp) + 1 AS INTEGER) AS stop FROM h GROUP BY tod_id, g) SELECT d.tod_id, d.det_uid, start, stop FROM (SELECT DISTINCT tod_id, det_uid FROM o) d JOIN i USING (tod_id)")
 def _(spark, d):
-    s = stream(spark, d)
-    bad = intervals.ranges_of_mask(s.select("tod_id", "samp").distinct(), ["tod_id"], "samp", F.col("samp") % 50 < 3)
+    s = _raw(spark, d)
+    bad = intervals.ranges_of_mask(s.where(~F.col("ok")).select("tod_id", "samp").distinct(), ["tod_id"], "samp", F.lit(True))
     return s.select(*KEYS).distinct().join(bad, "tod_id").select(*KEYS, "start", "stop")
 
 

@@ -49,9 +49,9 @@ def _(spark, d):
     return got.select("tod_id", "det_uid", r6("cal").alias("cal"))
 
 
-@query("calibrated_streams", f"WITH {S}, c AS (SELECT det_uid, min(optical_sign) AS c FROM array_data WHERE det_uid % 2 = 0 GROUP BY 1) SELECT s.tod_id, s.det_uid, s.samp, round(x * coalesce(c, 0), 3) + 0.0 AS x FROM s LEFT JOIN c USING (det_uid)")
+@query("calibrated_streams", f"WITH {S}, c AS (SELECT det_uid, min(optical_sign) AS c FROM array_data WHERE det_type = 'tes' GROUP BY 1) SELECT s.tod_id, s.det_uid, s.samp, round(x * coalesce(c, 0), 3) + 0.0 AS x FROM s LEFT JOIN c USING (det_uid)")
 def _(spark, d):
-    cal = load(spark, d, "array_data").where("det_uid % 2 = 0").groupBy("det_uid").agg(F.min("optical_sign").alias("cal"))
+    cal = load(spark, d, "array_data").where("det_type = 'tes'").groupBy("det_uid").agg(F.min("optical_sign").alias("cal"))
     return season.calibrated(stream(spark, d), cal, ["det_uid"], "x").select(*KEYS, "samp", (F.round("x", 3) + 0.0).alias("x"))
 
 
@@ -122,11 +122,11 @@ def _(spark, d):
     return season.band_noise(q, ["det"], [(1.0, 10.0), (10.0, 30.0), (30.0, 50.0)], cal).select("det", "band", F.round(F.col("noise") / 1000, 4).alias("noise"))
 
 
-@query("destriped", f"""WITH {S}, i AS (SELECT *, samp % 50 < 12 AS ins FROM s), g AS (SELECT *, sum(CASE WHEN ins AND NOT coalesce(pi, false) THEN 1 ELSE 0 END) OVER (PARTITION BY tod_id, det_uid ORDER BY samp ROWS UNBOUNDED PRECEDING) AS seg FROM (SELECT *, lag(ins) OVER (PARTITION BY tod_id, det_uid ORDER BY samp) AS pi FROM i)),
+@query("destriped", f"""WITH {S}, i AS (SELECT *, cos(samp / 8.0) > 0.7 AS ins FROM s), g AS (SELECT *, sum(CASE WHEN ins AND NOT coalesce(pi, false) THEN 1 ELSE 0 END) OVER (PARTITION BY tod_id, det_uid ORDER BY samp ROWS UNBOUNDED PRECEDING) AS seg FROM (SELECT *, lag(ins) OVER (PARTITION BY tod_id, det_uid ORDER BY samp) AS pi FROM i)),
 f AS (SELECT tod_id, det_uid, seg, regr_slope(x, samp::DOUBLE) AS k, regr_intercept(x, samp::DOUBLE) AS c FROM g WHERE NOT ins GROUP BY 1, 2, 3 HAVING count(*) >= 4)
 SELECT g.tod_id, g.det_uid, g.samp, round(x - c - k * samp, 2) AS x FROM g JOIN f USING (tod_id, det_uid, seg) WHERE ins""")
 def _(spark, d):
-    return season.destriped(stream(spark, d), KEYS, "samp", "x", F.col("samp") % 50 < 12).select(*KEYS, "samp", F.round("x", 2).alias("x"))
+    return season.destriped(stream(spark, d), KEYS, "samp", "x", F.cos(F.col("samp") / 8.0) > 0.7).select(*KEYS, "samp", F.round("x", 2).alias("x"))
 
 
 _FRAC = f"{R}, {A}, {_CL}, {merged_sql('cl', 'm')}, fr AS (SELECT a.tod_id, a.det_uid, coalesce(sum(m.stop - m.start) / max(a.nsamps)::DOUBLE, 0) AS fraction FROM a LEFT JOIN m USING (tod_id, det_uid) GROUP BY 1, 2)"
@@ -173,8 +173,6 @@ def _(spark, d):
     return f.join(t, "k", "left").groupBy(F.coalesce("pa", F.lit("none")).alias("pa")).agg(F.count("*").alias("n"), F.count_if(F.col("obs_type") == "planet").alias("n_planet"), F.count_if(F.col("pa").isNull()).alias("n_missing"))
 
 
-@query("season_matrix")
+@query("season_matrix", f"WITH {_LONG} SELECT tod_id, det_uid, max(CASE WHEN key = 'rms' THEN v END) AS rms, max(CASE WHEN key = 'gain' THEN v END) AS gain, max(CASE WHEN key = 'correlation' THEN v END) AS correlation FROM u GROUP BY 1, 2")
 def _(spark, d):
-    long = _long(spark, d).select("tod_id", "det_uid", "key", "v")
-    tods = [r[0] for r in _tods(spark, d).orderBy("ctime").select("basename").limit(20).collect()]  # columns of the matrix asked for
-    return season.criteria_matrix(long, "gain", tods)
+    return season.criteria_matrix(_long(spark, d), KEYS, "key", ["rms", "gain", "correlation"])

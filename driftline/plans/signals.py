@@ -388,11 +388,11 @@ def _(spark, d):
 
 @query("remove_jumps", f"""WITH {S}, l AS (SELECT tod_id, det_uid, samp, lead(x, 3) OVER {W} - x AS dd FROM s), j AS (SELECT * FROM l WHERE abs(dd) > 20000), g AS (SELECT *, samp - row_number() OVER {W} AS g FROM j),
 e AS (SELECT tod_id, det_uid, CAST(ceil((min(samp) + max(samp) + 3) / 2.0) AS INTEGER) AS at, round(avg(dd) / 1000) * 1000 AS k, abs(avg(dd) / 1000 - round(avg(dd) / 1000)) AS res FROM g GROUP BY tod_id, det_uid, g)
-SELECT s.tod_id, s.det_uid, s.samp, round(x - coalesce((SELECT sum(k) FROM e WHERE e.tod_id = s.tod_id AND e.det_uid = s.det_uid AND e.at <= s.samp AND res <= 0.2 AND k <> 0), 0), 3) AS x FROM s WHERE s.det_uid <> 417""")
+SELECT s.tod_id, s.det_uid, s.samp, round(any_value(x) - coalesce(sum(k), 0), 3) AS x FROM s LEFT JOIN (SELECT * FROM e WHERE res <= 0.2 AND k <> 0) e ON e.tod_id = s.tod_id AND e.det_uid = s.det_uid AND e.at <= s.samp GROUP BY 1, 2, 3""")
 def _(spark, d):
     s = stream(spark, d)
     jumps = ordered.quantised_jumps(ordered.step_jumps(s, KEYS, "samp", "x", 3, 20000.0), 1000.0, 0.2)
-    return ordered.remove_jumps(s, jumps, KEYS, "samp", "x", 1000.0).where("det_uid <> 417").withColumn("x", r3("x"))
+    return ordered.remove_jumps(s, jumps, KEYS, "samp", "x", 1000.0).withColumn("x", r3("x"))
 
 
 @query("unwrap", f"""WITH {S}, w AS (SELECT tod_id, det_uid, samp, ((x % 4096) + 4096) % 4096 AS y FROM s), t AS (SELECT *, y - lag(y) OVER {W} AS dd FROM w)
@@ -437,7 +437,13 @@ def _(spark, d):
     return ordered.downsample_121(stream(spark, d), KEYS, "samp", "x").withColumn("x", r3("x"))
 
 
-@query("decimate_4")
+def _half(src: str, name: str) -> str:
+    w = "(PARTITION BY tod_id, det_uid ORDER BY samp)"
+    return f"""{name}_n AS (SELECT *, lag(x) OVER {w} AS l, lead(x) OVER {w} AS r FROM {src}), {name} AS (SELECT tod_id, det_uid, CAST(samp // 2 AS INTEGER) AS samp,
+(2 * x + coalesce(l, 0) + coalesce(r, 0)) * CASE WHEN l IS NULL AND r IS NULL THEN 0.5 WHEN l IS NULL OR r IS NULL THEN 1 / 3.0::DOUBLE ELSE 0.25 END AS x FROM {name}_n WHERE samp % 2 = 0)"""
+
+
+@query("decimate_4", f"WITH {S}, {_half('s', 'h')}, {_half('h', 'q')} SELECT tod_id, det_uid, samp, round(x, 3) AS x FROM q")
 def _(spark, d):
     return ordered.decimate(stream(spark, d), KEYS, "samp", "x", 4).withColumn("x", r3("x"))
 
@@ -465,12 +471,6 @@ def _(spark, d):
     return ordered.fill_ranges(stream(spark, d), low_cuts(spark, d), KEYS, "samp", "x", 8).withColumn("x", F.round("x", 2))
 
 
-@query("sine_fit")
-def _(spark, d):
-    got = ordered.sine_fit(stream(spark, d), KEYS, F.col("samp").cast("double"), "x", 1 / 40)
-    return got.select(*KEYS, r3("amp").alias("amp"), r6("phase").alias("phase"), r3("rms").alias("rms"))
-
-
 _SINE = f"""{S}, y AS (SELECT *, (x - avg(x) OVER {P}) / 1000 AS y, cos(2 * {math.pi!r} * 0.025 * samp) AS c, sin(2 * {math.pi!r} * 0.025 * samp) AS z FROM s),
 t AS (SELECT tod_id, det_uid, sum(c*c) AS cc, sum(z*z) AS ss, sum(c*z) AS cs, sum(y*c) AS yc, sum(y*z) AS ys FROM y GROUP BY 1, 2), f AS (SELECT *, (ss*yc - cs*ys) / (cc*ss - cs*cs) AS fa, (cc*ys - cs*yc) / (cc*ss - cs*cs) AS fb FROM t)"""
 
@@ -481,6 +481,16 @@ def _(spark, d):
     return ordered.sine_fit(y, KEYS, F.col("samp").cast("double"), "x", 0.025).select(*KEYS, F.round("amp", 5).alias("amp"))
 
 
+_COS = f"""sum(y*y) AS yy, count(*) AS n FROM y GROUP BY 1, 2), f AS (SELECT *, (ss*yc - cs*ys) / (cc*ss - cs*cs) AS fa, (cc*ys - cs*yc) / (cc*ss - cs*cs) AS fb FROM t)"""
+
+
+@query("sine_fit", f"WITH {_SINE.split('sum(y*z) AS ys FROM y')[0]}sum(y*z) AS ys, {_COS} SELECT tod_id, det_uid, round(sqrt(fa*fa + fb*fb), 5) AS amp, round(atan(fb / fa) + CASE WHEN fa > 0 THEN 0 ELSE pi() END, 5) AS phase, round(sqrt(greatest(yy - fa*yc - fb*ys, 0) / n), 5) AS rms FROM f WHERE fa <> 0")
+def _(spark, d):
+    y = stream(spark, d).withColumn("x", F.col("x") / 1000)
+    got = ordered.sine_fit(y, KEYS, F.col("samp").cast("double"), "x", 0.025)
+    return got.select(*KEYS, *[F.round(c, 5).alias(c) for c in ("amp", "phase", "rms")])
+
+
 @query("column_outliers", "WITH p AS (SELECT DISTINCT tod_id, det_uid, gain FROM pathologies WHERE isfinite(gain)), m AS (SELECT det_uid, median(gain) AS m FROM p GROUP BY 1) SELECT det_uid, count(*) FILTER (WHERE abs(gain - m) > 0.3 * abs(m)) AS n FROM p JOIN m USING (det_uid) GROUP BY 1")
 def _(spark, d):
     p = load(spark, d, "pathologies").where("gain is not null and not isnan(gain) and abs(gain) < double('inf')").select("tod_id", "det_uid", "gain").distinct()
@@ -493,9 +503,11 @@ def _(spark, d):
     return ordered.fill_blanks(p, ["det_uid"], "gain", F.col("gain") > 0).withColumn("gain", r6("gain"))
 
 
-@query("repair_steps")
+@query("repair_steps", f"""WITH {S}, d AS (SELECT *, x - lag(x) OVER {W} AS dd FROM s), m AS (SELECT tod_id, det_uid, median(dd) AS md FROM d GROUP BY 1, 2), b AS (SELECT d.*, coalesce(abs(dd - md) > 20000, false) AS bad FROM d JOIN m USING (tod_id, det_uid)),
+f AS (SELECT tod_id, det_uid, count(*) AS n, sum(samp::DOUBLE) AS sx, sum(x) AS sy, sum(samp * x) AS sxy, sum(samp::DOUBLE * samp) AS sxx FROM b WHERE NOT bad GROUP BY 1, 2), k AS (SELECT *, (n * sxy - sx * sy) / (n * sxx - sx * sx) AS k FROM f)
+SELECT tod_id, det_uid, samp, round(CASE WHEN bad THEN (sy - k * sx) / n + k * samp ELSE x END, 2) AS x FROM b JOIN k USING (tod_id, det_uid)""")
 def _(spark, d):
-    return ordered.repair_steps(stream(spark, d), KEYS, "samp", "x", 20000.0).withColumn("x", r3("x"))
+    return ordered.repair_steps(stream(spark, d), KEYS, "samp", "x", 20000.0).select(*KEYS, "samp", F.round("x", 2).alias("x"))
 
 
 # matrices of streams
@@ -527,11 +539,15 @@ def _(spark, d):
     return joins.pairwise_correlation(centred(spark, d), ["tod_id"], "det_uid", "samp", "y").select("tod_id", "a", "b", r6("corr").alias("corr"))
 
 
-@query("radial_correlation")
+@query("radial_correlation", f"""WITH {_C}, p AS (SELECT a.tod_id, a.det_uid AS a, b.det_uid AS b, corr(a.y, b.y) AS corr FROM c a JOIN c b ON a.tod_id = b.tod_id AND a.samp = b.samp AND a.det_uid < b.det_uid GROUP BY 1, 2, 3),
+q AS (SELECT det_uid, min(sky_x) AS x, min(sky_y) AS y FROM array_data WHERE sky_x IS NOT NULL AND sky_y IS NOT NULL GROUP BY 1), r AS (SELECT corr, sqrt(pow(u.x - v.x, 2) + pow(u.y - v.y, 2)) AS d FROM p JOIN q u ON u.det_uid = a JOIN q v ON v.det_uid = b),
+t AS (SELECT corr, CASE WHEN d < 0.5 THEN 0 WHEN d < 1 THEN 1 WHEN d < 1.5 THEN 2 WHEN d < 2 THEN 3 WHEN d < 3 THEN 4 END AS bin FROM r)
+SELECT CAST(bin AS INTEGER) AS bin, count(*) AS n, round(quantile_cont(corr, 0.34), 6) AS p34, round(quantile_cont(corr, 0.5), 6) AS p50, round(quantile_cont(corr, 0.66), 6) AS p66 FROM t WHERE bin IS NOT NULL GROUP BY 1""")
 def _(spark, d):
     pairs = joins.pairwise_correlation(centred(spark, d), ["tod_id"], "det_uid", "samp", "y")
     places = load(spark, d, "array_data").where("sky_x is not null and sky_y is not null").groupBy("det_uid").agg(F.min("sky_x").alias("x"), F.min("sky_y").alias("y"))
-    return joins.radial_bins(pairs, places, "det_uid", [0.0, 0.5, 1.0, 1.5, 2.0, 3.0])
+    got = joins.radial_bins(pairs, places, "det_uid", [0.0, 0.5, 1.0, 1.5, 2.0, 3.0])
+    return got.select("bin", "n", *[r6(c).alias(c) for c in ("p34", "p50", "p66")])
 
 
 @query("resample_join", f"WITH {S}, g AS (SELECT DISTINCT tod_id, det_uid FROM s), o AS (SELECT tod_id, det_uid, unnest(range(500)) AS o FROM g) SELECT tod_id, det_uid, CAST(o AS INTEGER) AS samp, x FROM o JOIN s USING (tod_id, det_uid) WHERE s.samp = o * 3 // 4")

@@ -86,7 +86,9 @@ def _(spark, d):
     return got.select(*[F.round(c, 5).alias(c) for c in ("om_inner", "om_outer", "om_total")])
 
 
-@query("wand_radec")
+@query("wand_radec", """WITH a AS (SELECT DISTINCT pa, det_uid, radians(sky_x) AS x, radians(sky_y) AS y FROM array_data WHERE sky_x IS NOT NULL AND sky_y IS NOT NULL AND det_uid IS NOT NULL),
+b AS (SELECT *, sqrt(1 - x*x - y*y) AS z, x * sin(0.3) - y * cos(0.3) AS dx, -(y * sin(0.3) + x * cos(0.3)) AS dy FROM a), c AS (SELECT *, dx / (z * cos(-0.5) - dy * sin(-0.5)) AS q, dx * sin(-0.5) / cos(-0.5) AS t FROM b)
+SELECT pa, det_uid, round(1 + q * (1 - q * q / 3), 8) AS ra, round(-0.5 + dy - (t * dx - dy * (dy * dy / 3 - t * t)) / 2, 8) AS dec FROM c""")
 def _(spark, d):
     a = load(spark, d, "array_data").where("sky_x is not null and sky_y is not null and det_uid is not null").select("pa", "det_uid", F.radians("sky_x").alias("x"), F.radians("sky_y").alias("y")).distinct()
     ra, dec = mapping.radec_wand(F.lit(1.0), F.lit(-0.5), F.cos(F.lit(0.3)), F.sin(F.lit(0.3)), F.col("x"), F.col("y"))

@@ -158,9 +158,9 @@ def test_filter_keeps_length(values):
 
 def test_text_formats(spark, tmp_path):
     p = tmp_path / "a.cuts"
-    p.write_text("format = 'TODCuts'\nn_samp = 100\nEND\n0: (0,5) (7,9)\n3: \n12: (-3,4)\njunk\n")
+    p.write_text("format = 'cuts'\nn_samp = 100\nEND\n0: (0,5) (7,9)\n3: \n12: (-3,4)\njunk\n")
     head, cuts = src.parse_cuts(src.text_lines(spark, str(p)))
-    assert {(r["key"], r["value"]) for r in head.collect()} == {("format", "'TODCuts'"), ("n_samp", "100")}
+    assert {(r["key"], r["value"]) for r in head.collect()} == {("format", "'cuts'"), ("n_samp", "100")}
     assert sorted((r["det_uid"], r["start"], r["stop"]) for r in cuts.collect()) == [(0, 0, 5), (0, 7, 9), (12, -3, 4)]
     q = tmp_path / "b.txt"
     q.write_text("# a b c\n1 2.5 x\n2 oops y\n\n3 4 z\n")
