@@ -198,10 +198,12 @@ def test_garbled_round_trip(spark):
     twice = GOOD["fr"].encode().decode("latin-1").encode().decode("latin-1")
     lost = "La qualit� est m�diocre"
     odd = ["Ã is printed on the label of size A", "\\u00e9 &eacute; %C3", "plain ascii", "", None, "™ ® ©"]
-    rows = [(i, t, "s", "x") for i, (_, t) in enumerate(clean)] + [(10_000 + i, g, "s", "x") for i, (_, g) in enumerate(bad)] + [(20_000, twice, None, "x"), (20_001, lost, "S", "x")] + [(30_000 + i, t, "s", "x") for i, t in enumerate(odd)]
+    marks = ["∩╗┐" + GOOD["fr"], "ï»¿Plain words after the mark", *["∩╗┐The box is here"] * 6]
+    rows = [(40_000 + i, t, "s", "x") for i, t in enumerate(marks)] + [(i, t, "s", "x") for i, (_, t) in enumerate(clean)] + [(10_000 + i, g, "s", "x") for i, (_, g) in enumerate(bad)] + [(20_000, twice, None, "x"), (20_001, lost, "S", "x")] + [(30_000 + i, t, "s", "x") for i, t in enumerate(odd)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, restored string")
     got = {x["doc_id"]: x for x in garbled.find_garbled(df, "doc_id", "text", F.lower("source")).collect()}
-    assert set(got) == {10_000 + i for i in range(len(bad))} | {20_000, 20_001}
+    assert set(got) == {10_000 + i for i in range(len(bad))} | {20_000, 20_001} | {40_000 + i for i in range(len(marks))}
+    assert got[40_000]["restored"].lstrip("\ufeff") == GOOD["fr"]
     for i, (good, _) in enumerate(bad):
         if kept[i]:
             assert got[10_000 + i]["restored"] == good, SWAPS[i]
