@@ -25,7 +25,7 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 NONE = np.int32(2**31 - 1)
 LONG = 256
-CACHE = 200_000
+CACHE, CACHE_LETTERS = 200_000, 8_000_000
 
 
 def _byte_letters() -> list[str]:
@@ -171,12 +171,12 @@ class Encoder:
     """Encodes lists of texts; keeps the ids of up to ``CACHE`` short pieces between batches."""
 
     def __init__(self, table: dict[str, np.ndarray]):
-        self.t, self.known, self.ids, self.off = table, {}, np.zeros(0, np.int32), np.zeros(1, np.int64)
+        self.t, self.known, self.ids, self.off, self.letters = table, {}, np.zeros(0, np.int32), np.zeros(1, np.int64), 0
 
     def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and the offsets of each; none for a null or empty text."""
         split = _splitter()
-        if len(self.known) > CACHE:
+        if len(self.known) > CACHE or self.letters > CACHE_LETTERS:
             self.__init__(self.t)
         known, new, index, count = self.known, [], [], []
         for text in texts:
@@ -189,6 +189,7 @@ class Encoder:
                     new.append(w)
                 index.append(i)
         if new:
+            self.letters += sum(map(len, new))
             ids, off = encode_pieces(self.t, [w.encode() for w in new])
             self.ids, self.off = np.concatenate([self.ids, ids]), np.concatenate([self.off, off[1:] + self.off[-1]])
         at = np.array(index, np.int64)

@@ -238,3 +238,16 @@ def test_queries_run(spark, name):
             c.execute(f"create view {t} as select * from '{d}/{t}.parquet'")
         want = c.execute(f"select {', '.join(got.columns)} from ({SQL[name]})").fetchall()
         assert sorted(map(str, map(tuple, rows))) == sorted(map(str, want))
+
+
+def test_long_texts_are_read_whole():
+    rng = random.Random(0)
+    clean = [t for _, t in corpus(30)]
+    reader = garbled.Reader(garbled.Bigrams(garbled.bigram_counts(clean)), {}, {})
+    words = " ".join(clean[:60]).split()
+    long = " ".join(rng.choice(words) for _ in range(30_000)) + " " + GOOD["fr"].encode().decode("cp1252")
+    _, used, now = reader.restore(long, "s", 4.0)
+    assert used and now.endswith(GOOD["fr"])
+    ja = GOOD["ja"] * 500
+    assert reader.restore(ja.encode("euc_jp").decode("latin-1"), "s", 4.0)[2] == ja
+    assert all(len(t) <= garbled.KEPT for t in reader.known)
