@@ -15,6 +15,8 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from driftline.session import checkpointed
+
 
 def mixture_weights(tokens: dict[str, int], target: dict[str, float], repeats: dict[str, int], budget: float | None = None, entropy: float | None = None) -> tuple[dict[str, float], float, float]:
     """Weights by source, the budget in tokens, and the exponent.
@@ -78,6 +80,7 @@ def mix(docs: DataFrame, source: str, doc_id: str, size: str, targets: DataFrame
     rows = rows.join(small(targets.select("source").distinct()), "source", "left_semi")
     order = F.xxhash64("doc_id", F.lit(seed))
     rows = rows.withColumn("_o", order).withColumn("_b", F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.lit(blocks)))
+    rows = checkpointed(rows)  # sizes are dear where they come from a tokenizer; they are read four times below
     totals = rows.groupBy("source", "_b").agg(F.sum("n_tokens").alias("t"))
     have = {r["source"]: int(r["t"] or 0) for r in totals.groupBy("source").agg(F.sum("t").alias("t")).collect()}
     weights, total, exponent = mixture_weights(have, {s: float(r["target_share"] or 0) for s, r in want.items()}, {s: int(r["max_repeats"] if r["max_repeats"] is not None else 1) for s, r in want.items()}, budget, entropy)
