@@ -62,19 +62,28 @@ def nearest_within(queries: DataFrame, readings: DataFrame, keys: list[str], tim
 def interval_lookup(df: DataFrame, intervals: DataFrame, time: str, columns: list[str], on: list[str] | None = None) -> DataFrame:
     """``df`` with columns of the first interval (by ``ord``) with t0 <= time < t1; nulls if there is none.
 
-    The interval table is a list of validity ranges. If it has at most ``SMALL`` rows it is broadcast whole; beyond that it is joined on
-    buckets of time as wide as its mean interval, an interval going to each bucket it meets.
+    The intervals are first cut at each other's ends into pieces that don't overlap, each of which belongs to the interval of least
+    ``ord`` over it, so a row meets one piece at most. A table of at most ``SMALL`` intervals is broadcast; beyond that both joins go by
+    buckets of time as wide as the mean interval, an interval or piece going to each bucket it meets.
     """
     on = on or []
-    rows = df.withColumn("_id", F.monotonically_increasing_id())
-    iv, few = bounded(intervals.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(on)], "ord", "t0", "t1", F.struct(*columns).alias("_s")))
-    cond = reduce(lambda a, b: a & b, [F.col(c) == F.col(f"_k{i}") for i, c in enumerate(on)], (F.col("t0") <= F.col(time)) & (F.col(time) < F.col("t1")))
-    if not few:
-        width = float(intervals.agg(F.avg(F.col("t1") - F.col("t0"))).first()[0] or 1.0) or 1.0
-        iv = iv.withColumn("_bk", F.explode(F.sequence(F.floor(F.col("t0") / width), F.floor(F.col("t1") / width))))
-        rows, cond = rows.withColumn("_bq", F.floor(F.col(time) / width)), cond & (F.col("_bq") == F.col("_bk"))
-    got = rows.join(iv, cond, "left").groupBy("_id").agg(F.min_by("_s", "ord").alias("_s"), *[F.first(c).alias(c) for c in df.columns])
-    return got.select(*df.columns, *[F.col(f"_s.{c}").alias(c) for c in columns])
+    keys = [f"_k{i}" for i in range(len(on))]
+    iv, few = bounded(intervals.where("t0 < t1").select(*[F.col(c).alias(k) for c, k in zip(on, keys)], F.col("ord").alias("_o"), F.col("t0").alias("_t0"), F.col("t1").alias("_t1"), F.struct(*columns).alias("_s")))
+    width = 1.0 if few else float(iv.agg(F.avg(F.col("_t1") - F.col("_t0"))).first()[0] or 1.0)
+    bucket = lambda c: F.lit(0) if few else F.floor(c / width)
+    buckets = lambda a, z: F.array(F.lit(0)) if few else F.sequence(F.floor(a / width), F.floor(z / width))
+    edges = iv.select(*keys, F.explode(F.array("_t0", "_t1")).alias("_a")).distinct()
+    piece = edges.withColumn("_z", F.lead("_a").over(Window.partitionBy(*keys).orderBy("_a"))).where("_z is not null").withColumn("_b", bucket(F.col("_a")))
+    over = iv.withColumn("_b", F.explode(buckets(F.col("_t0"), F.col("_t1"))))
+    over = over.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_b").alias("_ob"), "_o", "_t0", "_t1", "_s")
+    same = reduce(lambda a, b: a & b, [F.col(k) == F.col(f"_{k}") for k in keys], F.col("_b") == F.col("_ob"))
+    owned = piece.join(over, same & (F.col("_t0") <= F.col("_a")) & (F.col("_a") < F.col("_t1"))).groupBy(*keys, "_a", "_z").agg(F.min_by("_s", "_o").alias("_s"))
+    owned = owned.withColumn("_b", F.explode(buckets(F.col("_a"), F.col("_z"))))
+    owned = F.broadcast(owned) if few else owned
+    t = F.col(time)
+    rows = df.withColumn("_q", bucket(t))
+    cond = reduce(lambda a, b: a & b, [F.col(c) == F.col(k) for c, k in zip(on, keys)], (F.col("_q") == F.col("_b")) & (t >= F.col("_a")) & (t < F.col("_z")))
+    return rows.join(owned, cond, "left").select(*df.columns, *[F.col(f"_s.{c}").alias(c) for c in columns])
 
 
 def files_overlapping(files: DataFrame, t0: float, t1: float) -> DataFrame:

@@ -27,9 +27,9 @@ def query(name: str, sql: str | None = None):
 
 
 def stream(spark: SparkSession, d: str) -> DataFrame:
-    """Readings within physical limits, each sample once, ``i`` counting them within their stream."""
+    """Readings within physical limits, each sample once; placed by stream, so operators on streams need no further shuffle."""
     s = load(spark, d, "samples").where("data is not null and not isnan(data) and abs(data) < 134217728")
-    return s.select("tod_id", "det_uid", "samp", F.col("data").cast("double").alias("x")).dropDuplicates([*KEYS, "samp"])
+    return s.select("tod_id", "det_uid", "samp", F.col("data").cast("double").alias("x")).repartition(*KEYS).dropDuplicates([*KEYS, "samp"])
 
 
 S = "s AS (SELECT DISTINCT tod_id, det_uid, samp, data::DOUBLE AS x FROM samples WHERE data IS NOT NULL AND isfinite(data) AND abs(data) < 134217728)"

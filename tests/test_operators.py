@@ -91,6 +91,9 @@ def test_interval_lookup_both_ways(spark, monkeypatch):
         monkeypatch.setattr(joins, "SMALL", small)
         monkeypatch.setattr(joins.bounded, "__defaults__", (small,))
         assert {x["i"]: x["tag"] for x in joins.interval_lookup(df, iv, "t", ["tag"]).collect()} == want
+        twice = df.withColumn("k", F.explode(F.array(F.lit(1), F.lit(2)))).unionByName(spark.createDataFrame([(99, None, 1)], "i int, t double, k int"))
+        keyed = joins.interval_lookup(twice, iv.withColumn("k", F.lit(1)), "t", ["tag"], ["k"]).collect()
+        assert len(keyed) == 81 and all(x["tag"] == (want.get(x["i"]) if x["k"] == 1 else None) for x in keyed)
 
 
 def test_selection_and_lists(spark):
