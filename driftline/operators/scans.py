@@ -123,6 +123,44 @@ def baseline_fit(df: DataFrame, keys: list[str], samp: str, value: str, freq: fl
     return per_stream(df, keys, samp, value, kernel, "amp double, phase double, rms double")
 
 
+def natural_spline(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Cubic spline through (x, y) with no curvature at its ends; straight on beyond them."""
+    n = len(x)
+    if n < 3:
+        return np.interp(at, x, y)
+    h, d = np.diff(x), np.diff(y) / np.diff(x)
+    low, mid, up, rhs = h.copy(), np.ones(n), h.copy(), np.zeros(n)
+    mid[1:-1], rhs[1:-1] = 2 * (h[1:] + h[:-1]), 6 * np.diff(d)
+    low[-1] = up[0] = 0.0
+    for i in range(1, n):  # forward sweep of the tridiagonal system
+        f = low[i - 1] / mid[i - 1]
+        mid[i] -= f * (up[i - 1] if i < n else 0)
+        rhs[i] -= f * rhs[i - 1]
+    m = np.zeros(n)
+    m[-1] = rhs[-1] / mid[-1]
+    for i in range(n - 2, -1, -1):
+        m[i] = (rhs[i] - up[i] * m[i + 1]) / mid[i]
+    k = np.clip(np.searchsorted(x, at) - 1, 0, n - 2)
+    a, b = x[k + 1] - at, at - x[k]
+    inner = m[k] * a**3 / (6 * h[k]) + m[k + 1] * b**3 / (6 * h[k]) + (y[k] / h[k] - m[k] * h[k] / 6) * a + (y[k + 1] / h[k] - m[k + 1] * h[k] / 6) * b
+    left, right = d[0] - h[0] * m[1] / 6, d[-1] + h[-1] * m[-2] / 6
+    return np.where(at < x[0], y[0] + left * (at - x[0]), np.where(at > x[-1], y[-1] + right * (at - x[-1]), inner))
+
+
+def outliers_splined(df: DataFrame, keys: list[str], samp: str, value: str, lo: float = 0.03, hi: float = 0.97, margin: float = 0.5) -> DataFrame:
+    """(keys, samp, x): values beyond the quantiles lo and hi by more than ``margin`` of their distance, put on a spline through the others."""
+    from driftline.operators.spectral import per_stream
+
+    def kernel(x: np.ndarray) -> dict:
+        a, b = np.quantile(x, [lo, hi])
+        bad = (x < a - margin * (b - a)) | (x > b + margin * (b - a))
+        t = np.arange(len(x), dtype=float)
+        y = np.where(bad, natural_spline(t[~bad], x[~bad], t), x) if bad.any() and (~bad).sum() > 1 else x
+        return {"samp": t.astype(np.int32), "x": y}
+
+    return per_stream(df, keys, samp, value, kernel, "samp int, x double")
+
+
 def shifted(image: np.ndarray, dy: float, dx: float) -> np.ndarray:
     """A small image moved by a fraction of pixels through its Fourier transform, periodic at its edges."""
     fy, fx = np.fft.fftfreq(image.shape[0])[:, None], np.fft.fftfreq(image.shape[1])[None, :]

@@ -117,6 +117,11 @@ def _(spark, d):
     return scans.baseline_fit(stream(spark, d), KEYS, "samp", "x", 0.025, 3)
 
 
+@query("outliers_splined")
+def _(spark, d):
+    return scans.outliers_splined(stream(spark, d), KEYS, "samp", "x").withColumn("x", r3("x"))
+
+
 @query("cuts_mce", f"WITH {_RAW}, h AS (SELECT tod_id, samp, samp - row_number() OVER (PARTITION BY tod_id ORDER BY samp) AS g FROM (SELECT DISTINCT tod_id, samp FROM o WHERE NOT ok)), i AS (SELECT tod_id, CAST(min(samp) AS INTEGER) AS start, CAST(max(samp) + 1 AS INTEGER) AS stop FROM h GROUP BY tod_id, g) SELECT d.tod_id, d.det_uid, start, stop FROM (SELECT DISTINCT tod_id, det_uid FROM o) d JOIN i USING (tod_id)")
 def _(spark, d):
     s = _raw(spark, d)

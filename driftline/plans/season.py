@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftline.functions.names import tod_key
-from driftline.operators import intervals, season
+from driftline.operators import intervals, season, stats
 from driftline.plans.catalog import TODS, _tods
 from driftline.plans.signals import A, KEYS, R, S, _CL, axis, cut_ranges, merged_sql, stream
 from driftline.tables import load
@@ -49,6 +49,17 @@ def _(spark, d):
     return got.select("tod_id", "det_uid", r6("cal").alias("cal"))
 
 
+@query("recovered_calibration", f"""WITH {_P}, {_D}, g AS (SELECT p.tod_id, p.det_uid, p.gain, p.live, dd.f, dd.s FROM p JOIN dd ON dd.pa = p.pa AND dd.det_uid = p.det_uid WHERE isfinite(p.gain) AND dd.f IS NOT NULL), ref AS (SELECT * FROM g WHERE live AND gain <> 0),
+q AS (SELECT tod_id, f, max(CASE WHEN i = n // 2 THEN gain END) AS med, 0.741 * (max(CASE WHEN i = 3 * n // 4 THEN gain END) - max(CASE WHEN i = n // 4 THEN gain END)) AS sig FROM (SELECT tod_id, f, gain, row_number() OVER (PARTITION BY tod_id, f ORDER BY gain) - 1 AS i, count(*) OVER (PARTITION BY tod_id, f) AS n FROM ref) GROUP BY 1, 2),
+m AS (SELECT tod_id, f, avg(gain) AS norm, count(*) AS k FROM ref JOIN q USING (tod_id, f) WHERE sig = 0 OR abs(gain - med) <= 3 * sig GROUP BY 1, 2), r AS (SELECT g.*, g.gain / CASE WHEN coalesce(k, 0) >= 2 AND norm <> 0 THEN norm ELSE 1 END AS rel FROM g LEFT JOIN m ON g.tod_id = m.tod_id AND g.f = m.f)
+SELECT tod_id, det_uid, round(CASE WHEN rel <> 0 THEN s / rel ELSE 0 END, 6) AS cal FROM r""")
+def _(spark, d):
+    p = _patho(spark, d).where("gain is not null and not isnan(gain) and abs(gain) < double('inf')").join(_dets(spark, d).where("f is not null"), ["pa", "det_uid"])
+    rel = stats.normalized_gains(p, ["tod_id", "f"], "det_uid", "gain", F.col("live"), 2)
+    cal = F.when(F.col("relative") != 0, F.col("s") / F.when(F.col("relative") != 0, F.col("relative"))).otherwise(0.0)
+    return rel.select("tod_id", "det_uid", r6(cal).alias("cal"))
+
+
 @query("calibrated_streams", f"WITH {S}, c AS (SELECT det_uid, min(optical_sign) AS c FROM array_data WHERE det_type = 'tes' GROUP BY 1) SELECT s.tod_id, s.det_uid, s.samp, round(x * coalesce(c, 0), 3) + 0.0 AS x FROM s LEFT JOIN c USING (det_uid)")
 def _(spark, d):
     cal = load(spark, d, "array_data").where("det_type = 'tes'").groupBy("det_uid").agg(F.min("optical_sign").alias("cal"))

@@ -58,7 +58,7 @@ def run_to_end(df: DataFrame, mode: str = "append") -> DataFrame:
     name = "stream_" + uuid.uuid4().hex[:12]
     w = df.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True)
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared and mode != "append":
+    if shared:
         w = w.option("checkpointLocation", f"{shared}/{name}")
     q = w.start()
     q.awaitTermination()

@@ -257,3 +257,13 @@ def test_scans(spark):
     image = np.random.default_rng(0).normal(size=(16, 16))
     assert np.allclose(scans.shifted(image, 2, 3), np.roll(image, (2, 3), (0, 1))) and scans.without_common_mode(image, 0.1, 2, 1).shape == image.shape
     assert abs(scans.without_common_mode(image, 0.1, 2, 1).mean() - image.mean()) < 1e-9
+
+
+def test_spline():
+    from driftline.operators.scans import natural_spline
+
+    x = np.array([0.0, 1.0, 2.5, 4.0, 5.0])
+    assert np.allclose(natural_spline(x, 3 * x - 1, np.linspace(-2, 7, 30)), 3 * np.linspace(-2, 7, 30) - 1)
+    t = np.linspace(0, 6, 40)
+    assert np.allclose(natural_spline(t, np.sin(t), np.linspace(0.5, 5.5, 77)), np.sin(np.linspace(0.5, 5.5, 77)), atol=1e-3)
+    assert np.allclose(natural_spline(x, np.sin(x), x), np.sin(x))
