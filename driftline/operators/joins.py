@@ -157,10 +157,16 @@ def radial_bins(pairs: DataFrame, places: DataFrame, det: str, edges: list[float
     return got.withColumn("bin", bin_).where("bin is not null").groupBy("bin").agg(F.count("*").alias("n"), *[F.percentile("corr", F.lit(q)).alias(f"p{int(q * 100)}") for q in (0.34, 0.5, 0.66)])
 
 
-def resample_join(slow: DataFrame, keys: list[str], samp: str, factor_slow: int, factor: int, count: int) -> DataFrame:
-    """Slow channel read on a grid of another rate: output sample i takes slow sample i * factor_slow // factor."""
-    grid = slow.select(*keys).distinct().withColumn("_o", F.explode(F.sequence(F.lit(0), F.lit(count - 1)))).withColumn(samp, F.floor(F.col("_o") * factor_slow / factor).cast("int"))
-    return grid.join(slow, [*keys, samp]).drop(samp).withColumnRenamed("_o", samp)
+def resample_join(slow: DataFrame, keys: list[str], samp: str, factor_slow: int, factor: int, count: int | None = None) -> DataFrame:
+    """Slow channel read on a grid of another rate: output sample i takes slow sample i * factor_slow // factor.
+
+    The grid is as long as the channel, or has ``count`` samples. Each slow sample gives the output samples that take it.
+    """
+    first = lambda i: F.ceil(i * factor / factor_slow).cast("int")
+    at, last = F.col(samp), first(F.col(samp) + 1) - 1
+    last = last if count is None else F.least(last, F.lit(count - 1))
+    some = slow.withColumn("_first", first(at)).withColumn("_last", last).where((at >= 0) & (F.col("_first") <= F.col("_last")))
+    return some.withColumn(samp, F.explode(F.sequence("_first", "_last"))).drop("_first", "_last")
 
 
 def angular_distance(ra1: Column, dec1: Column, ra2: Column, dec2: Column) -> Column:

@@ -552,4 +552,4 @@ def _(spark, d):
 
 @query("resample_join", f"WITH {S}, g AS (SELECT DISTINCT tod_id, det_uid FROM s), o AS (SELECT tod_id, det_uid, unnest(range(500)) AS o FROM g) SELECT tod_id, det_uid, CAST(o AS INTEGER) AS samp, x FROM o JOIN s USING (tod_id, det_uid) WHERE s.samp = o * 3 // 4")
 def _(spark, d):
-    return joins.resample_join(stream(spark, d), KEYS, "samp", 3, 4, 500).select(*KEYS, "samp", "x")
+    return joins.resample_join(stream(spark, d), KEYS, "samp", 3, 4).select(*KEYS, "samp", "x")

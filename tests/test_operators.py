@@ -267,3 +267,22 @@ def test_spline():
     t = np.linspace(0, 6, 40)
     assert np.allclose(natural_spline(t, np.sin(t), np.linspace(0.5, 5.5, 77)), np.sin(np.linspace(0.5, 5.5, 77)), atol=1e-3)
     assert np.allclose(natural_spline(x, np.sin(x), x), np.sin(x))
+
+
+def test_resampled_channel_is_whole(spark):
+    # 1,000 and 7 samples at 3/4 of the rate: every one of them is read, those past the 500th output too
+    n = {1: 1000, 2: 7}
+    slow = spark.createDataFrame([(k, i, float(i)) for k, m in n.items() for i in range(m)], "k int, samp int, x double")
+    want = sorted((k, o, o * 3 / 4 // 1) for k, m in n.items() for o in range(2 * m) if o * 3 // 4 < m)
+    assert rows_of(joins.resample_join(slow, K, "samp", 3, 4).select("k", "samp", "x")) == want
+    assert rows_of(joins.resample_join(slow, K, "samp", 3, 4, 500).select("k", "samp", "x")) == [r for r in want if r[1] < 500]
+    # a higher rate than the grid's leaves samples out
+    assert rows_of(joins.resample_join(slow, K, "samp", 3, 1).select("k", "samp", "x")) == sorted((k, o, o * 3.0) for k, m in n.items() for o in range(m) if o * 3 < m)
+
+
+def test_resample_join_reads_past_sample_375(spark, tmp_path):
+    from driftline.plans import signals
+
+    spark.createDataFrame([("t", 1, i, float(i)) for i in range(420)], "tod_id string, det_uid int, samp int, data float").write.parquet(f"{tmp_path}/samples.parquet")
+    got = signals.QUERIES["resample_join"](spark, str(tmp_path))
+    assert got.count() == 560 and got.agg(F.max("x")).first()[0] == 419.0
