@@ -316,8 +316,9 @@ _LOW = f"lr AS (SELECT tod_id, det AS det_uid, start // 80 AS start, least(stop,
 
 
 def low_cuts(spark, d):
-    """Cuts on the axis of the downsampled streams, merged."""
-    c = load(spark, d, "cuts").where("start >= 0 and stop is not null").select("tod_id", F.col("det").alias("det_uid"), F.floor(F.col("start") / 80).cast("int").alias("start"), F.floor(F.least("stop", "nsamps") / 80).cast("int").alias("stop"))
+    """Cuts on the axis of the downsampled streams, merged. A cut that begins before the TOD counts from sample 0."""
+    c = load(spark, d, "cuts").where("start is not null and stop is not null")
+    c = c.select("tod_id", F.col("det").alias("det_uid"), F.floor(F.greatest("start", F.lit(0)) / 80).cast("int").alias("start"), F.floor(F.least("stop", "nsamps") / 80).cast("int").alias("stop"))
     return intervals.merge_ranges(c, KEYS)
 
 

@@ -286,3 +286,19 @@ def test_resample_join_reads_past_sample_375(spark, tmp_path):
     spark.createDataFrame([("t", 1, i, float(i)) for i in range(420)], "tod_id string, det_uid int, samp int, data float").write.parquet(f"{tmp_path}/samples.parquet")
     got = signals.QUERIES["resample_join"](spark, str(tmp_path))
     assert got.count() == 560 and got.agg(F.max("x")).first()[0] == 419.0
+
+
+def test_cuts_from_before_the_tod_are_clamped(spark, tmp_path):
+    from driftline.plans import scans, signals
+
+    cuts = [("t", 1, -100, 240, 8000), ("t", 1, 4000, 4080, 8000), ("t", 2, -200, -100, 8000), ("t", 2, 7920, 9000, 8000), ("t", 3, -5, 8400, 8000), ("t", 4, None, 800, 8000)]
+    spark.createDataFrame(cuts, "tod_id string, det int, start int, stop int, nsamps int").write.parquet(f"{tmp_path}/cuts.parquet")
+    spark.createDataFrame([("t", k, i, float(i)) for k in (1, 2) for i in range(100)], "tod_id string, det_uid int, samp int, data float").write.parquet(f"{tmp_path}/samples.parquet")
+    run = lambda m, n: m.QUERIES[n](spark, str(tmp_path))
+    assert rows_of(signals.low_cuts(spark, str(tmp_path)).select("det_uid", "start", "stop")) == [(1, 0, 3), (1, 50, 51), (2, 99, 100), (3, 0, 100)]
+    assert {r["det_uid"]: r["n"] for r in run(signals, "samples_cut").collect()} == {1: 4, 2: 1}
+    assert {r["det_uid"]: r["n"] for r in run(signals, "samples_uncut").collect()} == {1: 96, 2: 99}
+    filled = {r["samp"]: r["x"] for r in run(signals, "fill_cuts").where("det_uid = 1").collect()}
+    assert filled[0] == filled[2] == 6.5 and filled[10] == 10.0  # the mean of the eight samples behind the cut
+    assert sorted(r["samp"] for r in run(signals, "mask_of_cuts").where("det_uid = 1").collect()) == [0, 1, 2, 50]
+    assert {r["det_uid"] for r in run(scans, "turnaround_clear").collect()} == {1, 2, 3}
