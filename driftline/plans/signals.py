@@ -336,7 +336,7 @@ def _(spark, d):
 @query("mask_of_cuts", f"WITH {_LOW}, x AS (SELECT tod_id, det_uid, unnest(range(start, least(stop, 458))) AS samp FROM lm WHERE start < 458) SELECT tod_id, det_uid, CAST(samp AS INTEGER) AS samp FROM x")
 def _(spark, d):
     c = low_cuts(spark, d)
-    ax = c.select(*KEYS).distinct().withColumn("nsamps", F.lit(458))
+    ax = axis(spark, d).withColumn("nsamps", F.floor(F.col("nsamps") / 80).cast("int"))
     return intervals.mask_of_ranges(c, ax, KEYS)
 
 

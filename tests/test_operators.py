@@ -302,3 +302,12 @@ def test_cuts_from_before_the_tod_are_clamped(spark, tmp_path):
     assert filled[0] == filled[2] == 6.5 and filled[10] == 10.0  # the mean of the eight samples behind the cut
     assert sorted(r["samp"] for r in run(signals, "mask_of_cuts").where("det_uid = 1").collect()) == [0, 1, 2, 50]
     assert {r["det_uid"] for r in run(scans, "turnaround_clear").collect()} == {1, 2, 3}
+
+
+def test_mask_of_cuts_has_the_axis_of_each_tod(spark, tmp_path):
+    from driftline.plans import signals
+
+    cuts = [("long", 1, 36000, 50000, 80000), ("long", 1, 79920, 90000, 80000), ("short", 1, 790, 900, 850)]
+    spark.createDataFrame(cuts, "tod_id string, det int, start int, stop int, nsamps int").write.parquet(f"{tmp_path}/cuts.parquet")
+    got = signals.QUERIES["mask_of_cuts"](spark, str(tmp_path))
+    assert rows_of(got.select("tod_id", "samp")) == [("long", i) for i in [*range(450, 625), 999]] + [("short", 9)]
