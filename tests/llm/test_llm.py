@@ -251,3 +251,17 @@ def test_long_texts_are_read_whole():
     ja = GOOD["ja"] * 500
     assert reader.restore(ja.encode("euc_jp").decode("latin-1"), "s", 4.0)[2] == ja
     assert all(len(t) <= garbled.KEPT for t in reader.known)
+
+
+def test_many_stretches_are_all_restored():
+    clean = [t for _, t in corpus(30)]
+    reader = garbled.Reader(garbled.Bigrams(garbled.bigram_counts(clean)), {}, {i: -2.0 if s == ("cp1252", "cp1251") else -1000.0 for i, s in enumerate(garbled.swaps())})
+    ru = [w.strip(",.") for w in GOOD["ru"].split() if len(w.strip(",.")) > 4]
+    accents = [w.strip(",.") for k in ("fr", "de", "tr") for w in GOOD[k].split() if not w.isascii() and "’" not in w]
+    other = iter([a + b for a in accents for b in accents])
+    # correct words with accents, none of them twice, make each damaged word a stretch of its own
+    rows = [(w + x, " ".join(next(other) for _ in range(10))) for x in ("", "ми") for w in ru]
+    mixed = lambda read: " ".join(f"{w.encode('cp1251').decode(read)} {rest}" for w, rest in rows)
+    odds, used, now = reader.restore(mixed("cp1252"), "s", 0.0)
+    assert len(rows) > 6 and now == mixed("cp1251") and len(used) < 20
+    assert reader.restore(now, "s", 0.0)[1] == []
