@@ -24,10 +24,11 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _pathologies(spark: SparkSession, d: str) -> DataFrame:
-    """Finite values count once per (tod_id, det_uid); the day is that of ctime."""
+    """Finite values count once per (tod_id, det_uid); the day is that of ctime. Rows without tod_id or det_uid count once per set of values."""
     rows = load(spark, d, "pathologies").where("ctime is not null")
     once = rows.select("tod_id", "det_uid", "pa", F.floor(F.col("ctime") / 86400).cast("int").alias("n"), "rms", "gain", "correlation").repartition("tod_id", "det_uid")
-    once = once.dropDuplicates(["tod_id", "det_uid", "pa", "n"])
+    values = F.when(F.col("tod_id").isNull() | F.col("det_uid").isNull(), F.struct("rms", "gain", "correlation"))
+    once = once.withColumn("_v", values).dropDuplicates(["tod_id", "det_uid", "pa", "n", "_v"])
     return once.select("pa", F.date_add(F.lit("1970-01-01").cast("date"), F.col("n")).alias("day"), "rms", "gain", "correlation")
 
 

@@ -265,3 +265,14 @@ def test_many_stretches_are_all_restored():
     odds, used, now = reader.restore(mixed("cp1252"), "s", 0.0)
     assert len(rows) > 6 and now == mixed("cp1251") and len(used) < 20
     assert reader.restore(now, "s", 0.0)[1] == []
+
+
+def test_percentiles_keep_rows_without_a_key(spark, tmp_path):
+    from driftline.llm.queries import QUERIES
+
+    rows = [(None, "a", 1, 86400, float(i)) for i in range(3)] + [("t", "a", None, 86400, 10.0), ("t", "a", None, 86400, 11.0), ("t", "a", None, 86400, 11.0)] + [("t", "a", 1, 86400, 20.0)] * 2
+    df = spark.createDataFrame([(t, p, k, c, x, x, x) for t, p, k, c, x in rows], "tod_id string, pa string, det_uid int, ctime long, rms double, gain double, correlation double")
+    df.write.parquet(f"{tmp_path}/pathologies.parquet")
+    for name in ("p3_percentiles", "p3_season"):
+        got = QUERIES[name](spark, str(tmp_path)).collect()
+        assert {r["metric"]: (r["n_values"], r["p99"]) for r in got} == {m: (6, 20.0) for m in ("rms", "gain", "correlation")}
