@@ -260,17 +260,18 @@ def series_outliers(
     limit (1): NaN, infinite or below ``least``. stuck (2): one of ``stuck`` or more equal values in succession by
     (``order``, ``record``). spike (4): more than ``sigmas`` times the scatter of the source (standard deviation of its ordinary values)
     from its median. Ordinary are finite values of at least ``least`` within 6 times the quartile scatter of the median. Null values are
-    passed over, as are rows with a null source, record or order. Repeated (source, record) count once. A source whose
-    ordinary values are all equal has no spikes. ``block`` is the span of ``order`` whose rows are sorted together.
+    passed over. Rows with a null source, record or order are tested for limit alone, equal ones once, and have no part in the rest.
+    Repeated (source, record) count once. A source whose ordinary values are all equal has no spikes. ``block`` is the span of ``order`` whose rows are sorted together.
     """
     own = [f"_k{i}" for i in range(len(source))]
     known = F.col(value).isNotNull() & F.col(order).isNotNull() & F.col(record).isNotNull()
     for k in source:
         known = known & F.col(k).isNotNull()
     x = F.col("_x")
+    named = [*[F.col(k).alias(o) for k, o in zip(source, own)], F.col(record).alias("_r"), F.col(order).alias("_t"), F.col(value).cast("double").alias("_x")]
     rows = (
         df.where(known)
-        .select(*[F.col(k).alias(o) for k, o in zip(source, own)], F.col(record).alias("_r"), F.col(order).alias("_t"), F.col(value).cast("double").alias("_x"))
+        .select(*named)
         .withColumn("_blk", F.floor(F.col("_t") / F.lit(block)).cast("long"))
         .repartition(*own, "_blk")
         .dropDuplicates([*own, "_blk", "_t", "_r"])
@@ -308,4 +309,6 @@ def series_outliers(
         + F.when(F.col("_size") >= stuck, STUCK).otherwise(0)
         + F.when(fine & (F.col("_s") > 0) & (F.abs(x - F.col("_c")) > sigmas * F.col("_s")), SPIKE).otherwise(0)
     )
-    return run.join(stats, own, "left").withColumn("flags", flags).where("flags > 0").select(*[F.col(o).alias(n) for o, n in zip(own, source)], F.col("_r").alias(record), "flags")
+    out = [*[F.col(o).alias(n) for o, n in zip(own, source)], F.col("_r").alias(record), "flags"]
+    apart = df.where(F.col(value).isNotNull() & ~known).select(*named).where(~fine).distinct().withColumn("flags", F.lit(LIMIT))
+    return run.join(stats, own, "left").withColumn("flags", flags).where("flags > 0").select(*out).unionByName(apart.select(*out))

@@ -142,3 +142,11 @@ def test_reading_flags_never_fail(values):
     x = np.array(values, float)
     starts = np.array([0] if len(x) else [], int)
     assert len(spikes.reading_flags(starts, x, 2.0**27, 8, 10.0)) == len(x)
+
+
+def test_limits_need_no_key(spark):
+    bad = [(None, 1, "t1", 1, 0.5), ("pa", None, "t2", 2, float("nan")), ("pa", 1, "t3", None, float("inf")), ("pa", 1, None, 4, -1.0)]
+    rows = bad + bad[:1] + [("pa", None, f"u{i}", i, 9.0) for i in range(6)] + [("pa", 1, "t5", 5, 0.5), (None, 1, "t6", 6, None)]
+    df = spark.createDataFrame(rows, "pa string, det_uid int, tod_id string, ctime long, kurtosis double")
+    got = spikes.series_outliers(df, ["pa", "det_uid"], "tod_id", "ctime", "kurtosis").collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, [(*r[:3], 1) for r in [*bad, rows[-2]]]))
