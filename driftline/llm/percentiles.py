@@ -13,12 +13,14 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from driftline.operators.joins import bounded
 from driftline.session import shipped
 
 SECTION = 128
@@ -241,26 +243,47 @@ def _arrow(spark_schema) -> pa.Schema:
     return to_arrow_schema(spark_schema)
 
 
-def sketch_columns(df: DataFrame, keys: list[str], columns: list[str], k: int = SECTION, salts: int = 16) -> DataFrame:
+def _salted(rows: DataFrame, keys: list[str], spread: list[str], most: int) -> DataFrame:
+    """``rows`` with ``_salt``: 0 in groups of at most ``most`` rows, else one of as many numbers as the group has times ``most`` rows.
+
+    Rows that agree in ``spread`` get the same number. The few groups that need any are broadcast; beyond ``joins.SMALL`` of them they
+    are joined by shuffle in 64 parts.
+    """
+    many = rows.groupBy(*keys).agg(F.count("*").alias("_rows")).where(F.col("_rows") > most)
+    many, few = bounded(many.select(*[F.col(k).alias(f"_h{i}") for i, k in enumerate(keys)], F.ceil(F.col("_rows") / most).alias("_parts")))
+    part = F.lit(0) if few else F.pmod(F.xxhash64(*spread, F.lit(1)), F.lit(64))
+    many = many.withColumn("_part", F.lit(0) if few else F.explode(F.sequence(F.lit(0), F.lit(63))))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_h{i}")) for i, k in enumerate(keys)])
+    got = rows.withColumn("_own", part).join(many, same & (F.col("_own") == F.col("_part")), "left")
+    salt = F.coalesce(F.pmod(F.xxhash64(*spread), F.col("_parts")), F.lit(0).cast("long"))
+    return got.withColumn("_salt", salt).drop("_own", "_part", "_parts", *[f"_h{i}" for i in range(len(keys))])
+
+
+def sketch_columns(df: DataFrame, keys: list[str], columns: list[str], k: int = SECTION, once: list[Column] | None = None, most: int = 1 << 22) -> DataFrame:
     """``keys``, metric, n_values, sketch (binary) for each group and column with at least one finite value.
 
     Keys with the name of one of those columns come out with ``key_`` before it.
-    Null, NaN and infinite values are left out; a null key is a group of its own. Rows count as often as they occur. Partial
-    sketches are made where the rows lie, so nothing but sketches is shuffled; those of one group meet in ``salts`` tasks
-    first. An empty table gives an empty result.
+    Null, NaN and infinite values are left out; a null key is a group of its own. Rows count as often as they occur, or, with
+    ``once``, one of those that agree in keys and the expressions ``once`` counts. Rows go to the task of their group, of groups of more
+    than ``most`` rows to one of several; repeats are left out and partial sketches made there, so nothing but sketches goes on.
+    An empty table gives an empty result.
     """
     shipped(df.sparkSession)
     from pyspark.sql import types as T
 
-    src = df.select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(keys)], *[F.col(c).cast("double").alias(c) for c in columns])
-    out = T.StructType([*src.schema.fields[: len(keys)], T.StructField("metric", T.StringType()), T.StructField("n_values", T.LongType()), T.StructField("sketch", T.BinaryType())])
-    schema, width = _arrow(out), len(keys)
-    part = src.mapInArrow(lambda it: _partial(it, k, schema, 1000, width), out)
-    own = [*[f"_g{i}" for i in range(width)], "metric"]
-    salted = part.withColumn("_salt", F.pmod(F.xxhash64("sketch"), F.lit(salts)))
-    met = salted.repartition(*own, "_salt").sortWithinPartitions(*own, "_salt").drop("_salt").mapInArrow(lambda it: _combine(it, schema), out)
+    width = len(keys)
+    own = [f"_g{i}" for i in range(width)]
+    named = [*[F.col(c).alias(o) for c, o in zip(keys, own)], *[F.col(c).cast("double").alias(c) for c in columns]]
+    out = T.StructType([*df.select(*named).schema.fields[:width], T.StructField("metric", T.StringType()), T.StructField("n_values", T.LongType()), T.StructField("sketch", T.BinaryType())])
+    schema = _arrow(out)
+    marks = [f"_o{i}" for i in range(len(once or ()))]
+    rows = df.select(*named, *[e.alias(m) for e, m in zip(once or (), marks)])
+    rows = _salted(rows, own, marks or columns, most).repartition(*own, "_salt")
+    if once:
+        rows = rows.dropDuplicates([*own, "_salt", *marks])
+    part = rows.select(*own, *columns).mapInArrow(lambda it: _partial(it, k, schema, 1000, width), out)
     names = [f"key_{c}" if c in ("metric", "n_values", "sketch") else c for c in keys]
-    return merge_sketches(met.select(*[F.col(f"_g{i}").alias(c) for i, c in enumerate(names)], "metric", "n_values", "sketch"), names)
+    return merge_sketches(part.select(*[F.col(o).alias(c) for o, c in zip(own, names)], "metric", "n_values", "sketch"), names)
 
 
 def merge_sketches(sketches: DataFrame, keys: list[str]) -> DataFrame:
@@ -272,20 +295,79 @@ def merge_sketches(sketches: DataFrame, keys: list[str]) -> DataFrame:
     return src.repartition(*own).sortWithinPartitions(*own).mapInArrow(lambda it: _combine(it, schema), src.schema)
 
 
+def sketch_items(sketches: DataFrame) -> DataFrame:
+    """The items of the sketches as rows: the other columns, tail (``low``, ``high``, or ``both`` while all values are kept), level, value.
+
+    An item stands for 2**level values. Items of any set of sketches together are the sketch of that set: up to the median its percentiles
+    are the weighted ones of the items of tails low and both, above it those of high and both (see ``percentiles_of_items``).
+    """
+    keep = [c for c in sketches.columns if c != "sketch"]
+    kinds = dict(sketches.dtypes)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, packed in enumerate(b.column(b.num_columns - 1)):
+                s = Sketch.unpack(packed.as_py())
+                for tail, levels in [("both", [s.plain])] if s.plain is not None else [("low", s.low.levels), ("high", s.high.levels)]:
+                    v = np.concatenate(levels)
+                    level = np.repeat(np.arange(len(levels), dtype=np.int32), [len(x) for x in levels])
+                    same = [c.take(pa.array(np.full(len(v), i))) for c in b.columns[:-1]]
+                    yield pa.RecordBatch.from_arrays([*same, pa.array([tail] * len(v), pa.string()), pa.array(level), pa.array(v)], names=[*keep, "tail", "level", "value"])
+
+    return sketches.select(*keep, "sketch").mapInArrow(read, ", ".join([f"`{c}` {kinds[c]}" for c in keep] + ["tail string", "level int", "value double"]))
+
+
+def percentiles_of_items(items: DataFrame, keys: list[str], qs: dict[str, float]) -> DataFrame:
+    """``keys``, metric, n_values and the percentiles by name from the rows of ``sketch_items`` of any set of sketches.
+
+    Only the items of one group and metric are sorted together; their number grows with the logarithm of the values of a sketch.
+    """
+    own = [*keys, "metric"]
+    w = F.expr("shiftleft(1L, level)")
+    side = items.select(*own, "value", w.alias("_w"), F.explode(F.when(F.col("tail") == "both", F.array(F.lit("low"), F.lit("high"))).otherwise(F.array("tail"))).alias("tail"))
+    by = Window.partitionBy(*own, "tail")
+    ranked = side.withColumn("_n", F.sum("_w").over(by)).withColumn("_upto", F.sum("_w").over(by.orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    rank = lambda q: F.greatest(F.lit(1), F.ceil(q * F.col("_n") - 1e-9))
+    value = lambda q: F.min(F.when((F.col("tail") == ("high" if q >= 0.5 else "low")) & (F.col("_upto") >= rank(q)), F.col("value")))
+    return ranked.groupBy(*own).agg(F.max("_n").alias("n_values"), *[value(q).alias(name) for name, q in qs.items()])
+
+
 def read_percentiles(sketches: DataFrame, qs: dict[str, float]) -> DataFrame:
-    """The other columns of ``sketches``, the percentiles by name (value of rank ceil(q * n)), and rank_error.
+    """The other columns of ``sketches``, the percentiles by name (value of rank ceil(q * n)), and the bound of each (``<name>_error``).
 
-    rank_error bounds the error of the rank of any of them, as a share of n; it is 0 where the sketch holds all values.
+    A bound is that of the error of the rank, as a share of n; it is in proportion to the distance from the nearer tail, and 0 where the
+    sketch holds all values.
     """
     keep = [c for c in sketches.columns if c != "sketch"]
     kinds = dict(sketches.dtypes)
     names, values = list(qs), list(qs.values())
+    errors = [f"{n}_error" for n in names]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             s = [Sketch.unpack(x.as_py()) for x in b.column(b.num_columns - 1)]
             q = np.array([x.quantiles(values) for x in s]).reshape(len(s), len(values))
-            err = [max(x.rank_error(v) for v in values) for x in s]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *[pa.array(q[:, i]) for i in range(len(values))], pa.array(err, pa.float64())], names=[*keep, *names, "rank_error"])
+            err = np.array([[x.rank_error(v) for v in values] for x in s]).reshape(len(s), len(values))
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *[pa.array(m[:, i]) for m in (q, err) for i in range(len(values))]], names=[*keep, *names, *errors])
+
+    return sketches.select(*keep, "sketch").mapInArrow(read, ", ".join([f"`{c}` {kinds[c]}" for c in keep] + [f"`{n}` double" for n in [*names, *errors]]))
+
 
-    return sketches.select(*keep, "sketch").mapInArrow(read, ", ".join([f"`{c}` {kinds[c]}" for c in keep] + [f"`{n}` double" for n in names] + ["rank_error double"]))
+def ranks_within_bounds(percentiles: DataFrame, values: DataFrame, keys: list[str], qs: dict[str, float]) -> DataFrame:
+    """``keys``, metric, percentile, n_values, within: whether the true rank of each percentile keeps to its bound.
+
+    ``percentiles`` as from ``read_percentiles``; ``values``: keys and a column for each metric. One pass counts the values below and up to
+    each percentile.
+    """
+    metrics = [c for c in values.columns if c not in keys]
+    one = values.unpivot(keys, metrics, "metric", "_v").where("_v is not null and not isnan(_v) and abs(_v) < double('inf')")
+    got, _ = bounded(percentiles.select(*[F.col(k).alias(f"_h{i}") for i, k in enumerate(keys)], F.col("metric").alias("_m"), F.array(*qs).alias("_x")))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_h{i}")) for i, k in enumerate(keys)], F.col("metric") == F.col("_m"))
+    count = lambda c: F.sum(c.cast("long"))
+    tally = [F.struct(count(F.col("_v") < F.col("_x")[i]).alias("below"), count(F.col("_v") <= F.col("_x")[i]).alias("upto")).alias(n) for i, n in enumerate(qs)]
+    ranks = one.join(got, same).groupBy(*keys, "metric").agg(*tally)
+    ranks = ranks.select(*keys, "metric", F.explode(F.array(*[F.struct(F.lit(n).alias("percentile"), f"{n}.below", f"{n}.upto") for n in qs])).alias("r")).select(*keys, "metric", "r.*")
+    bound = percentiles.select(*keys, "metric", "n_values", F.explode(F.array(*[F.struct(F.lit(n).alias("percentile"), F.lit(q).alias("q"), F.col(f"{n}_error").alias("bound")) for n, q in qs.items()])).alias("b")).select(*keys, "metric", "n_values", "b.*")
+    want = F.greatest(F.lit(1), F.ceil(F.col("q") * F.col("n_values") - 1e-9))
+    off = F.greatest(F.lit(0), F.col("below") + 1 - want, want - F.col("upto"))
+    return bound.join(ranks, [*keys, "metric", "percentile"]).select(*keys, "metric", "percentile", "n_values", (off <= F.col("bound") * F.col("n_values") + 1).alias("within"))

@@ -101,9 +101,28 @@ def test_sketch_columns(spark):
     whole = percentiles.read_percentiles(percentiles.merge_sketches(s, ["pa"]), {"p50": 0.5}).collect()
     for row in whole:
         own = sorted(x for p, _, x in rows if p == row["pa"] and x is not None and math.isfinite(x))
-        assert row["n_values"] == len(own) and row["p50"] == own[math.ceil(0.5 * len(own)) - 1] and row["rank_error"] == 0
+        assert row["n_values"] == len(own) and row["p50"] == own[math.ceil(0.5 * len(own)) - 1] and row["p50_error"] == 0
     assert {r["pa"] for r in whole} == {"pa", None}
     assert percentiles.sketch_columns(df.limit(0), ["pa"], ["x"]).count() == 0
+    items = percentiles.percentiles_of_items(percentiles.sketch_items(s), ["pa"], {"p50": 0.5})
+    assert {tuple(r) for r in items.collect()} == {(r["pa"], r["metric"], r["n_values"], r["p50"]) for r in whole}
+
+
+def test_large_groups_are_split_and_repeats_count_once(spark):
+    r = np.random.default_rng(3)
+    v = np.exp(2 * r.normal(size=40_000))
+    df = spark.createDataFrame([("hot", i, float(x)) for i, x in enumerate(v)] + [("cold", i, float(i)) for i in range(50)], "pa string, i int, value double")
+    df = df.unionByName(df.where("i % 3 = 0")).unionByName(df.where("i < 10").withColumn("value", F.lit(None).cast("double")).withColumn("i", F.lit(-1))).repartition(6)
+    qs = {"p01": 0.01, "p50": 0.5, "p999": 0.999}
+    for most in (1 << 22, 3000):
+        s = percentiles.sketch_columns(df, ["pa"], ["value"], once=[F.col("i")], most=most)
+        got = percentiles.read_percentiles(s, qs)
+        assert {r["pa"]: r["n_values"] for r in got.collect()} == {"hot": 40_000, "cold": 50}
+        within = percentiles.ranks_within_bounds(got, df.dropDuplicates(["pa", "i"]).select("pa", "value"), ["pa"], qs).collect()
+        assert len(within) == 6 and all(x["within"] for x in within)
+        items = percentiles.sketch_items(s)
+        assert items.where("level > 0").count() > 0 and items.where("pa = 'hot'").count() < 20_000
+        assert {r["pa"]: r["n_values"] for r in percentiles.percentiles_of_items(items, ["pa"], qs).collect()} == {"hot": 40_000, "cold": 50}
 
 
 # encoding
@@ -221,7 +240,7 @@ def test_garbled_empty(spark):
 
 
 @needs_vocabulary
-@pytest.mark.parametrize("name", ["p1_found", "p3_percentiles", "p3_season", "p6_ids", "p7_mixture", "p7_shares", "p8_found", "p8_restored"])
+@pytest.mark.parametrize("name", ["p1_found", "p3_sketches", "p3_percentiles", "p3_season", "p3_bounds", "p3_weekend", "p6_ids", "p7_mixture", "p7_shares", "p8_found", "p8_restored"])
 def test_queries_run(spark, name):
     from driftline.llm.queries import QUERIES, SQL
 
