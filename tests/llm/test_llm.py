@@ -229,6 +229,49 @@ def test_garbled_round_trip(spark):
     assert got[20_000]["restored"] == GOOD["fr"] and "�" not in got[20_001]["restored"]
 
 
+RUSSIAN = [
+    "доставили за неделю и коробка была целая", "очень доволен покупкой всё работает как надо", "цвет совсем другой но качество хорошее", "муж говорит что такой вещи у нас ещё не было",
+    "ручка сломалась через месяц пришлось чинить самому", "инструкция только на чужом языке ничего не понял", "шнур короткий зато чехол мягкий и удобный", "взяла для дочери она просто счастлива",
+    "съездил в магазин обменяли без вопросов", "эта щётка лучше прежней и стоит дешевле", "юбка села по фигуре ткань приятная", "жаль что нет крышки в остальном отлично",
+]
+
+
+def test_an_unlisted_page_is_learnt(spark):
+    """Text of a page that isn't listed (cp855), read as cp1252, in one of the sources."""
+    table = {chr(b): bytes([b]).decode("cp855") for b in range(128, 256)}
+    read = lambda b: bytes([b]).decode("cp1252", "ignore") or chr(b)
+    back = {ord(v): read(ord(k)) for k, v in table.items()}
+    r = random.Random(5)
+    say = lambda: " ".join(r.choice(RUSSIAN) for _ in range(4))
+    clean = [(t, "shop") for _, t in corpus(60)] + [(say(), "shop") for _ in range(300)]
+    hidden = [say() for _ in range(150)]
+    rows = [(i, t, s) for i, (t, s) in enumerate(clean)] + [(10_000 + i, t.translate(back), "odd") for i, t in enumerate(hidden)] + [(20_000 + i, t, "odd") for i, (_, t) in enumerate(corpus(10))]
+    got = {x["doc_id"]: x for x in garbled.find_garbled(spark.createDataFrame(rows, "doc_id long, text string, source string"), "doc_id", "text", F.col("source")).collect()}
+    assert set(got) == {10_000 + i for i in range(len(hidden))}
+    right = sum(a == b for i, t in enumerate(hidden) for a, b in zip(t, got[10_000 + i]["restored"]))
+    assert right >= 0.97 * sum(map(len, hidden)), right / sum(map(len, hidden))
+    assert any("learnt table" in x["swaps"] for x in got.values())
+
+
+def test_letters_that_stand_for_others_give_away_short_words(spark):
+    """A short word is garbled if its odd letter stands for another nearly everywhere, though it would be too short by itself."""
+    rows = [(i, t, "s") for i, (_, t) in enumerate(corpus(100))] + [(10_000 + i, GOOD["tr"].encode("cp1254").decode("cp1252"), "s") for i in range(30)]
+    rows += [(20_000, "Bu aþ", "s"), (20_001, "la taille è", "s"), (20_002, "Bu aş", "s")]
+    got = {x["doc_id"]: x["restored"] for x in garbled.find_garbled(spark.createDataFrame(rows, "doc_id long, text string, source string"), "doc_id", "text", F.col("source")).collect()}
+    assert set(got) == {*range(10_000, 10_030), 20_000} and got[20_000] == "Bu aş"
+
+
+def test_many_sources_carry_their_weights(spark, monkeypatch):
+    rows = [(i, t, f"s{i % 40}") for i, (_, t) in enumerate(corpus(60))] + [(10_000 + i, GOOD["fr"].encode().decode("cp1252"), f"s{i}") for i in range(8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    run = lambda: sorted((x["doc_id"], x["restored"], x["log_odds"]) for x in garbled.find_garbled(df, "doc_id", "text", F.col("source")).collect())
+    few = run()
+    monkeypatch.setattr(garbled, "SOURCES", 5)
+    many = run()
+    assert [x[0] for x in few] == [10_000 + i for i in range(8)] and [x[:2] for x in few] == [x[:2] for x in many]
+    assert np.allclose([x[2] for x in few], [x[2] for x in many])
+
+
 def test_garbled_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert garbled.find_garbled(df, "doc_id", "text").count() == 0
@@ -262,7 +305,7 @@ def test_queries_run(spark, name):
 def test_long_texts_are_read_whole():
     rng = random.Random(0)
     clean = [t for _, t in corpus(30)]
-    reader = garbled.Reader(garbled.Bigrams(garbled.bigram_counts(clean)), {}, {})
+    reader = garbled.Reader(garbled.Model(garbled.bigram_counts(clean)))
     words = " ".join(clean[:60]).split()
     long = " ".join(rng.choice(words) for _ in range(30_000)) + " " + GOOD["fr"].encode().decode("cp1252")
     _, used, now = reader.restore(long, "s", 4.0)
@@ -274,7 +317,8 @@ def test_long_texts_are_read_whole():
 
 def test_many_stretches_are_all_restored():
     clean = [t for _, t in corpus(30)]
-    reader = garbled.Reader(garbled.Bigrams(garbled.bigram_counts(clean)), {}, {i: -2.0 if s == ("cp1252", "cp1251") else -1000.0 for i, s in enumerate(garbled.swaps())})
+    reader = garbled.Reader(garbled.Model(garbled.bigram_counts(clean)))
+    reader.base = {i: -2.0 if s == ("cp1252", "cp1251") else -1000.0 for i, s in enumerate(garbled.swaps())}
     ru = [w.strip(",.") for w in GOOD["ru"].split() if len(w.strip(",.")) > 4]
     accents = [w.strip(",.") for k in ("fr", "de", "tr") for w in GOOD[k].split() if not w.isascii() and "’" not in w]
     other = iter([a + b for a in accents for b in accents])
