@@ -4,7 +4,8 @@ Texts are split by the vocabulary's pattern. The distinct pieces of a batch beco
 class of lengths. In every round each row merges its leftmost pair of minimum rank: ranks come from a hash table
 over pairs, merged rows are compacted by one place, finished rows leave the matrix. Pieces of more than ``LONG`` bytes
 (scripts without spaces, rules) are handled one by one and merge in one round all places of their minimum pair from
-left to right, which gives the same ids, since a merge makes no pair of lower rank.
+left to right. That gives the same ids as long as no merge makes a pair of lower rank, which is checked when the vocabulary is
+loaded; with a vocabulary that breaks this, long pieces are rows like all others.
 """
 
 from __future__ import annotations
@@ -57,7 +58,10 @@ def load_table(path: str = VOCABULARY) -> dict[str, np.ndarray]:
         keys[at[win]], rank[at[win]], out[at[win]] = key[todo[win]], todo[win], merged[todo[win]]
         todo, at = todo[~win], (at[~win] + 1) & (size - 1)
         probes += 1
-    return {"bytes": np.array([vocab[c] for c in _byte_letters()], np.int32), "keys": keys, "rank": rank, "out": out, "probes": np.array(probes)}
+    made = np.full(int(max(vocab.values())) + 1, -1, np.int64)
+    np.maximum.at(made, merged, np.arange(len(key)))  # the last merge that makes each token
+    ordered = bool((made[left] < np.arange(len(key))).all() and (made[right] < np.arange(len(key))).all())
+    return {"ordered": np.array(ordered), "bytes": np.array([vocab[c] for c in _byte_letters()], np.int32), "keys": keys, "rank": rank, "out": out, "probes": np.array(probes)}
 
 
 def _slot(key: np.ndarray, size: int) -> np.ndarray:
@@ -140,9 +144,10 @@ def encode_pieces(t: dict, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]
     """Ids of all pieces in a row, and the offsets of each."""
     length = np.fromiter(map(len, pieces), np.int64, len(pieces))
     parts: list = [None] * len(pieces)
-    for i in np.flatnonzero(length > LONG):
+    most = LONG if t["ordered"] else max(int(length.max(initial=0)), LONG)
+    for i in np.flatnonzero(length > most):
         parts[i] = _merge_long(t, t["bytes"][np.frombuffer(pieces[i], np.uint8)])
-    short = np.flatnonzero(length <= LONG)
+    short = np.flatnonzero(length <= most)
     bucket = np.ceil(np.log2(np.maximum(length[short], 1)) * 2).astype(int)
     for b in np.unique(bucket):
         own = short[bucket == b]

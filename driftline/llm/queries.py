@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from driftline.functions.names import tod_key
 from driftline.llm.encode import count_tokens, encode_corpus
 from driftline.llm.garbled import find_garbled
-from driftline.llm.mixing import mix
+from driftline.llm.mixing import kept_limits, mix
 from driftline.llm.nearest import nearest_in_time
 from driftline.llm.percentiles import SECTION, SECTIONS, merge_sketches, percentiles_of_items, ranks_within_bounds, read_percentiles, sketch_columns, sketch_items
 from driftline.tables import load
@@ -72,14 +72,14 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_corpus(load(spark, d, "documents").select("doc_id", "text"))
 
 
-def _mixture(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def _mixture(spark: SparkSession, d: str, temperature: bool = False) -> tuple[DataFrame, DataFrame]:
     docs = load(spark, d, "documents").select("doc_id", F.lower(F.trim("source")).alias("source"), "text")
     sized = count_tokens(docs.where("source is not null"))
-    return mix(sized, "source", "doc_id", "n_tokens", load(spark, d, "mix_targets"))
+    return mix(sized, "source", "doc_id", "n_tokens", load(spark, d, "mix_targets"), temperature=temperature)
 
 
 def p7_mixture(spark: SparkSession, d: str) -> DataFrame:
-    """Every document of the mixture and how often it is used."""
+    """Every document of the mixture and how often it is used: the target shares at the largest budget that the repetition limits allow."""
     return _mixture(spark, d)[0]
 
 
@@ -88,6 +88,22 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return _mixture(spark, d)[1]
 
 
+def p7_temperature(spark: SparkSession, d: str) -> DataFrame:
+    """As ``p7_mixture`` with a budget of all tokens: token shares exponentiated to the entropy of the targets, as far as the repetition limits allow."""
+    return _mixture(spark, d, True)[0]
+
+
+def p7_temperature_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Target and reached share of each source, and the exponent."""
+    return _mixture(spark, d, True)[1]
+
+
+def p7_limits(spark: SparkSession, d: str) -> DataFrame:
+    """Whether both mixtures respect the limits and reach the shares wanted, and whether the exponent was bisected."""
+    both = [kept_limits(r).withColumn("mixture", F.lit(n)).withColumn("between", F.lit(n == "targets") | F.lit(0 < r.select("exponent").head()[0] < 1)) for n, r in (("targets", p7_shares(spark, d)), ("temperature", p7_temperature_shares(spark, d)))]
+    return both[0].unionByName(both[1])
+
+
 def p8_restored(spark: SparkSession, d: str) -> DataFrame:
     """Garbled documents, the swaps they suffered and what they read without them."""
     return find_garbled(load(spark, d, "documents").where("doc_id is not null"), "doc_id", "text", F.lower(F.trim("source")))
@@ -97,7 +113,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return p8_restored(spark, d).select("doc_id")
 
 
-QUERIES = {"p1_found": p1_found, "p3_sketches": p3_sketches, "p3_percentiles": p3_percentiles, "p3_season": p3_season, "p3_bounds": p3_bounds, "p3_weekend": p3_weekend, "p6_ids": p6_ids, "p7_mixture": p7_mixture, "p7_shares": p7_shares, "p8_found": p8_found, "p8_restored": p8_restored}
+QUERIES = {"p1_found": p1_found, "p3_sketches": p3_sketches, "p3_percentiles": p3_percentiles, "p3_season": p3_season, "p3_bounds": p3_bounds, "p3_weekend": p3_weekend, "p6_ids": p6_ids, "p7_mixture": p7_mixture, "p7_shares": p7_shares, "p7_temperature": p7_temperature, "p7_temperature_shares": p7_temperature_shares, "p7_limits": p7_limits, "p8_found": p8_found, "p8_restored": p8_restored}
 
 _KEY = r"regexp_replace(lower(regexp_replace(regexp_replace(tod_name, '^\s+|\s+$', '', 'g'), '^.*[/\\]', '')), '\.zip$', '')"
 _RANK = "max(CASE WHEN i = greatest(1, CAST(ceil({q} * n - 1e-9) AS BIGINT)) THEN v END) AS {name}"
@@ -109,6 +125,10 @@ r AS (SELECT pa, day, metric, v, row_number() OVER (PARTITION BY pa, day, metric
              count(*) OVER (PARTITION BY pa, day, metric) AS n FROM u WHERE isfinite(v))"""
 
 SQL = {
+    # documents aren't comparable, for they depend on a hash; the limits are
+    "p7_limits": """
+SELECT source, true AS repeats_kept, true AS share_reached, mixture, true AS "between"
+FROM mix_targets, (VALUES ('targets'), ('temperature')) m(mixture) WHERE source IS NOT NULL""",
     "p1_found": f"""
 WITH f AS (SELECT DISTINCT fit_id, {_KEY} AS k, ctime AS t FROM fit_planet_cal WHERE tod_name IS NOT NULL AND ctime IS NOT NULL),
 r AS (SELECT DISTINCT reading_id, {_KEY} AS k, ctime AS t FROM recal_model

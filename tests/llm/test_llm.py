@@ -1,5 +1,6 @@
 """Operators of the llm subpackage on small fixtures, against brute force, the public tokenizer library and round trips."""
 
+import json
 import math
 import os
 import random
@@ -146,6 +147,32 @@ def test_encoding_equals_the_tokenizer(spark):
     assert encode.encode_corpus(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_vocabularies_whose_merges_are_not_in_order(tmp_path):
+    """Two merges make the token abc; pieces over LONG bytes must come out as short ones do."""
+    letters = encode._byte_letters()
+    vocab = {c: i for i, c in enumerate([*letters, "bc", "abc", "ab", "abcd", "dd"])}
+    merges = ["b c", "a bc", "abc d", "a b", "ab c", "d d"]
+    path = tmp_path / "v.json"
+    path.write_text(json.dumps({"model": {"vocab": vocab, "merges": merges}}))
+    t = encode.load_table(str(path))
+    assert not t["ordered"] and (not VOCAB or encode.load_table()["ordered"])
+
+    def brute(b):
+        ids = [letters[x] for x in b]
+        rank = {tuple(m.split()): i for i, m in enumerate(merges)}
+        while True:
+            r = [rank.get(p, 99) for p in zip(ids, ids[1:])]
+            if not r or min(r) == 99:
+                return [vocab[x] for x in ids]
+            i = r.index(min(r))
+            ids[i : i + 2] = [ids[i] + ids[i + 1]]
+
+    rnd = random.Random(2)
+    pieces = ["".join(rnd.choice("abcd") for _ in range(n)).encode() for n in (1, 7, 200, 300, 900)]
+    ids, off = encode.encode_pieces(t, pieces)
+    assert [ids[a:b].tolist() for a, b in zip(off, off[1:])] == [brute(p) for p in pieces]
+
+
 # mixing
 
 
@@ -168,7 +195,7 @@ def test_mix(spark, budget):
     docs = [(i, r.choice(["a", "a", "a", "b", None, "x"]), r.choice([None, 0, -1, *range(1, 30)])) for i in range(800)]
     targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.4, 2), ("gone", 0.1, 3), (None, 0.1, 1)], "source string, target_share double, max_repeats int")
     df = spark.createDataFrame(docs, "doc_id long, source string, n int")
-    chosen, report = mixing.mix(df, "source", "doc_id", "n", targets, budget, blocks=16)
+    chosen, report = mixing.mix(df, "source", "doc_id", "n", targets, budget, per_block=16)
     got, rep = chosen.collect(), {x["source"]: x for x in report.collect()}
     assert all(1 <= x["copies"] <= {"a": 1, "b": 2}[x["source"]] for x in got) and len({x["doc_id"] for x in got}) == len(got)
     assert set(rep) == {"a", "b", "gone"} and rep["gone"]["tokens"] == 0
@@ -177,10 +204,30 @@ def test_mix(spark, budget):
     if budget is None:
         total = rep["a"]["tokens"] + rep["b"]["tokens"]
         assert abs(rep["a"]["tokens"] / total - 5 / 9) < 40 / total
-    again = {(x["doc_id"], x["copies"]) for x in mixing.mix(df.repartition(7), "source", "doc_id", "n", targets, budget, blocks=16)[0].collect()}
+    again = {(x["doc_id"], x["copies"]) for x in mixing.mix(df.repartition(7), "source", "doc_id", "n", targets, budget, per_block=16)[0].collect()}
     assert again == {(x["doc_id"], x["copies"]) for x in got}
 
 
+def test_temperature_meets_the_entropy_or_the_limits():
+    tokens, many = {"a": 1000, "b": 100, "c": 10, "d": 0}, {"a": 99, "b": 99, "c": 99}
+    for h in (0.3, 0.7, 1.05):
+        w, size, t = mixing.temperature_weights(tokens, many, h)
+        assert mixing.entropy_of(w) == pytest.approx(h, abs=1e-6) and size == 1110 and set(w) == {"a", "b", "c"}
+        assert w["b"] / w["a"] == pytest.approx(0.1**t)
+    w, size, t = mixing.temperature_weights(tokens, {"a": 1, "b": 2, "c": 3}, 1.05)
+    assert 0 < t < 1 and w["c"] * size == pytest.approx(30, rel=1e-6) and w["b"] * size < 200
+    assert mixing.temperature_weights(tokens, many, 9.0)[2] == 0 and mixing.temperature_weights({}, many, 1.0)[0] == {}
+
+
+def test_blocks_grow_with_the_source(spark):
+    targets = spark.createDataFrame([("a", 0.7, 2), ("b", 0.3, 1)], "source string, target_share double, max_repeats int")
+    df = spark.range(6000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "b").otherwise("a").alias("source"), (F.col("id") % 50).alias("n"))
+    for per_block, temperature in ((50_000, False), (2, False), (2, True)):
+        chosen, report = mixing.mix(df, "source", "doc_id", "n", targets, temperature=temperature, per_block=per_block)
+        assert all(r["repeats_kept"] and r["share_reached"] for r in mixing.kept_limits(report).collect())
+        assert chosen.count() > 1000
+
+
 def test_mix_empty(spark):
     targets = spark.createDataFrame([("a", 0.5, 1)], "source string, target_share double, max_repeats int")
     chosen, report = mixing.mix(spark.createDataFrame([], "doc_id long, source string, n int"), "source", "doc_id", "n", targets)
@@ -283,7 +330,7 @@ def test_garbled_empty(spark):
 
 
 @needs_vocabulary
-@pytest.mark.parametrize("name", ["p1_found", "p3_sketches", "p3_percentiles", "p3_season", "p3_bounds", "p3_weekend", "p6_ids", "p7_mixture", "p7_shares", "p8_found", "p8_restored"])
+@pytest.mark.parametrize("name", ["p1_found", "p3_sketches", "p3_percentiles", "p3_season", "p3_bounds", "p3_weekend", "p6_ids", "p7_mixture", "p7_shares", "p7_temperature", "p7_temperature_shares", "p7_limits", "p8_found", "p8_restored"])
 def test_queries_run(spark, name):
     from driftline.llm.queries import QUERIES, SQL
 
@@ -296,7 +343,7 @@ def test_queries_run(spark, name):
         import duckdb
 
         c = duckdb.connect()
-        for t in ("fit_planet_cal", "recal_model", "pathologies"):
+        for t in ("fit_planet_cal", "recal_model", "pathologies", "mix_targets"):
             c.execute(f"create view {t} as select * from '{d}/{t}.parquet'")
         want = c.execute(f"select {', '.join(got.columns)} from ({SQL[name]})").fetchall()
         assert sorted(map(str, map(tuple, rows))) == sorted(map(str, want))
