@@ -17,6 +17,26 @@ def bounded(df: DataFrame, rows: int = SMALL) -> tuple[DataFrame, bool]:
     return (F.broadcast(df) if few else df), few
 
 
+def few_groups(df: DataFrame, keys: list[str], rows: int = SMALL) -> bool:
+    """Whether ``df`` has at most ``rows`` groups; reads the keys alone."""
+    return df.select(*keys).distinct().limit(rows + 1).count() <= rows
+
+
+def with_groups(rows: DataFrame, groups: DataFrame, keys: list[str], few: bool, parts: int = 64) -> DataFrame:
+    """``rows`` with the columns of their group; ``groups`` has one row for each.
+
+    With ``few`` (see ``few_groups``) the groups are broadcast and the rows stay where they are; else every group goes to ``parts`` parts,
+    so that the rows of a hot one are joined in as many. Keys may be null.
+    """
+    same = lambda a: [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in a]
+    named = groups.select(*[F.col(k).alias(f"_of_{k}") for k in keys], *[c for c in groups.columns if c not in keys])
+    if few:
+        return rows.join(F.broadcast(named), reduce(lambda a, b: a & b, same(keys)), "left").drop(*[f"_of_{k}" for k in keys])
+    own = rows.withColumn("_part", F.pmod(F.xxhash64(*rows.columns), F.lit(parts)).cast("int"))
+    named = named.withColumn("_of__part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    return own.join(named, reduce(lambda a, b: a & b, same([*keys, "_part"])), "left").drop("_part", "_of__part", *[f"_of_{k}" for k in keys])
+
+
 def lookup(df: DataFrame, table: DataFrame, keys: list[str], columns: dict[str, object]) -> DataFrame:
     """``df`` with columns of the first row of ``table`` with its keys, defaults for missing rows and values, and ``found``."""
     one = table.groupBy(*keys).agg(*[F.first(c, ignorenulls=True).alias(c) for c in columns]).withColumn("found", F.lit(True))

@@ -5,9 +5,9 @@ for its key. ``orphans_at`` keeps the signed existence count of each key along t
 while that count is zero. ``fold_counts`` keeps both counts per key from batches of deltas, for a report of the keys
 that are orphans now.
 
-A key may hold a large part of all references. Time is therefore cut into blocks: the net of the deltas per key and
-block is added up on the map side first, its running sum carries the count into each block, and only the rows of one
-key in one block are sorted together.
+A key may hold a large part of all references. Time is therefore cut into blocks, and rows are moved once, by key and block: the net of
+each is added up, its running sum carries the count into each block, and only the rows of one key in one block are
+sorted together.
 """
 
 from __future__ import annotations
@@ -40,14 +40,15 @@ def orphans_at(refs: DataFrame, deltas: DataFrame, block: str = "day") -> DataFr
     nothing = F.lit(None)
     changes = typed(deltas, 1, F.col("delta"), nothing)
     asked = typed(refs.where("key is not null and at is not null"), 2, F.lit(0), F.col("row_id"))
-    events = changes.unionByName(asked)
-    net = events.groupBy("tbl", "key", "blk").agg(F.sum("delta").alias("net"))
+    own = ["tbl", "key", "blk"]
+    events = changes.unionByName(asked).repartition(*own)  # both uses below read this exchange
+    net = events.groupBy(*own).agg(F.sum("delta").alias("net"))
     before = Window.partitionBy("tbl", "key").orderBy("blk").rowsBetween(Window.unboundedPreceding, -1)
-    carried = net.select("tbl", "key", F.col("blk").alias("at"), F.lit(0).alias("kind"), F.coalesce(F.sum("net").over(before), F.lit(0)).alias("delta"), nothing.cast("long").alias("row_id"), "blk").where("delta <> 0")
-    along = Window.partitionBy("tbl", "key", "blk").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    counted = events.unionByName(carried).withColumn("exists", F.sum("delta").over(along))
+    carried = net.select(*own, F.coalesce(F.sum("net").over(before), F.lit(0)).alias("carried")).where("carried <> 0")
+    along = Window.partitionBy(*own).orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counted = events.withColumn("exists", F.sum("delta").over(along)).where("kind = 2").join(carried, own, "left")
     period = 100 * F.year("at") + F.month("at")
-    return counted.where("kind = 2 and exists <= 0").groupBy("tbl", "row_id").agg(F.min(period).cast("int").alias("period")).select("tbl", "period", "row_id")
+    return counted.where("exists + coalesce(carried, 0) <= 0").groupBy("tbl", "row_id").agg(F.min(period).cast("int").alias("period")).select("tbl", "period", "row_id")
 
 
 def orphan_report(found: DataFrame) -> DataFrame:

@@ -34,11 +34,13 @@ def p2_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_current(spark: SparkSession, d: str) -> DataFrame:
-    """Keys that are referred to and in force no more, by the ledger of signed counts."""
+    """Keys that are referred to and in force no more: the ledger of all earlier months, kept up by the changes of the last one."""
     refs, deltas = _references(spark, d)
-    asked = refs.dropDuplicates(["tbl", "row_id"]).select("tbl", "key", F.lit(1).alias("d_refs"), F.lit(0).alias("d_exists"))
-    listed = deltas.select("tbl", "key", F.lit(0).alias("d_refs"), F.col("delta").alias("d_exists"))
-    return current_orphans(fold_counts(None, asked.unionByName(listed))).select("tbl", "key", "n_refs")
+    asked = refs.dropDuplicates(["tbl", "row_id"]).select("tbl", "key", "at", F.lit(1).alias("d_refs"), F.lit(0).alias("d_exists"))
+    changes = asked.unionByName(deltas.select("tbl", "key", "at", F.lit(0).alias("d_refs"), F.col("delta").alias("d_exists")))
+    month = F.date_trunc("month", F.lit(refs.agg(F.max("at")).head()[0]))
+    ledger = fold_counts(None, changes.where(F.col("at") < month))
+    return current_orphans(fold_counts(ledger, changes.where(F.col("at").isNull() | (F.col("at") >= month)))).select("tbl", "key", "n_refs")
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
