@@ -42,9 +42,10 @@ def orphans_at(refs: DataFrame, deltas: DataFrame, block: str = "day") -> DataFr
     asked = typed(refs.where("key is not null and at is not null"), 2, F.lit(0), F.col("row_id"))
     own = ["tbl", "key", "blk"]
     events = changes.unionByName(asked).repartition(*own)  # both uses below read this exchange
-    net = events.groupBy(*own).agg(F.sum("delta").alias("net"))
+    # the last row, references coming last, tells whether a block asks at all; it needs every column, so both uses share one exchange
+    net = events.groupBy(*own).agg(F.sum("delta").alias("net"), F.max(F.struct("kind", "at", "row_id")).alias("last"))
     before = Window.partitionBy("tbl", "key").orderBy("blk").rowsBetween(Window.unboundedPreceding, -1)
-    carried = net.select(*own, F.coalesce(F.sum("net").over(before), F.lit(0)).alias("carried")).where("carried <> 0")
+    carried = net.select(*own, "last", F.coalesce(F.sum("net").over(before), F.lit(0)).alias("carried")).where("carried <> 0 and last.kind = 2").drop("last")
     along = Window.partitionBy(*own).orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     counted = events.withColumn("exists", F.sum("delta").over(along)).where("kind = 2").join(carried, own, "left")
     period = 100 * F.year("at") + F.month("at")
