@@ -37,9 +37,15 @@ def with_groups(rows: DataFrame, groups: DataFrame, keys: list[str], few: bool,
     return own.join(named, reduce(lambda a, b: a & b, same([*keys, "_part"])), "left").drop("_part", "_of__part", *[f"_of_{k}" for k in keys])
 
 
-def lookup(df: DataFrame, table: DataFrame, keys: list[str], columns: dict[str, object]) -> DataFrame:
-    """``df`` with columns of the first row of ``table`` with its keys, defaults for missing rows and values, and ``found``."""
-    one = table.groupBy(*keys).agg(*[F.first(c, ignorenulls=True).alias(c) for c in columns]).withColumn("found", F.lit(True))
+def first_rows(table: DataFrame, keys: list[str], columns: list[str], order: Column | None = None) -> DataFrame:
+    """``keys`` and columns of the first row of each key, all of one row: by ``order``, else as the table is read."""
+    rows = table.select(*keys, F.struct(*columns).alias("_row"), (F.monotonically_increasing_id() if order is None else order).alias("_ord"))
+    return rows.groupBy(*keys).agg(F.min_by("_row", "_ord").alias("_row")).select(*keys, *[F.col(f"_row.{c}").alias(c) for c in columns])
+
+
+def lookup(df: DataFrame, table: DataFrame, keys: list[str], columns: dict[str, object], order: Column | None = None) -> DataFrame:
+    """``df`` with columns of the first row of ``table`` (see ``first_rows``) with its keys, defaults for missing rows and values, and ``found``."""
+    one = first_rows(table, keys, list(columns), order).withColumn("found", F.lit(True))
     got = df.join(one, keys, "left")
     for c, default in columns.items():
         got = got.withColumn(c, F.coalesce(c, F.lit(default)))
@@ -174,7 +180,14 @@ def radial_bins(pairs: DataFrame, places: DataFrame, det: str, edges: list[float
     d = F.sqrt((F.col("ax") - F.col("bx")) ** 2 + (F.col("ay") - F.col("by")) ** 2)
     got = pairs.join(a, "a").join(b, "b").withColumn("_d", d)
     bin_ = reduce(lambda e, i: e.when((F.col("_d") >= edges[i]) & (F.col("_d") < edges[i + 1]), i), range(1, len(edges) - 1), F.when((F.col("_d") >= edges[0]) & (F.col("_d") < edges[1]), 0))
-    return got.withColumn("bin", bin_).where("bin is not null").groupBy("bin").agg(F.count("*").alias("n"), *[F.percentile("corr", F.lit(q)).alias(f"p{int(q * 100)}") for q in (0.34, 0.5, 0.66)])
+    got = got.withColumn("bin", bin_).where("bin is not null").select("bin", "corr")
+    from driftline.operators.stats import order_statistics
+
+    at = lambda q: (F.col("n") - 1) * q
+    qs = (0.34, 0.5, 0.66)
+    size = got.groupBy("bin").agg(F.count("*").alias("_all"))
+    got = order_statistics(got, ["bin"], "corr", {f"{side}{i}": f(at(q)).cast("long") for i, q in enumerate(qs) for side, f in (("lo", F.floor), ("hi", F.ceil))}, spread=True)
+    return got.join(size, "bin").select("bin", F.col("_all").alias("n"), *[(F.col(f"lo{i}") + (F.col(f"hi{i}") - F.col(f"lo{i}")) * (at(q) - F.floor(at(q)))).alias(f"p{int(q * 100)}") for i, q in enumerate(qs)])
 
 
 def resample_join(slow: DataFrame, keys: list[str], samp: str, factor_slow: int, factor: int, count: int | None = None) -> DataFrame:

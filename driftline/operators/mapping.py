@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from driftline.operators.joins import few_groups, with_groups
 from driftline.session import checkpointed
 
 
@@ -167,7 +168,8 @@ def solve_map(rows: DataFrame, det: list[str], rounds: int = 5, tolerance: float
     """
     pair = checkpointed(rows.groupBy(*det, "i0", "i1").agg(F.count("*").alias("n"), F.sum("value").alias("s")))
     per = pair.groupBy(*det).agg((F.sum("s") / F.sum("n")).alias("m"))
-    right = pair.join(per, det).groupBy("i0", "i1").agg(F.sum(F.col("s") - F.col("n") * F.col("m")).alias("r"), F.sum("n").alias("hits"))
+    few = few_groups(pair, det)
+    right = with_groups(pair, per, det, few).groupBy("i0", "i1").agg(F.sum(F.col("s") - F.col("n") * F.col("m")).alias("r"), F.sum("n").alias("hits"))
 
     def conditioned(m: DataFrame) -> DataFrame:
         z = m.withColumn("z", F.col("r") / F.col("hits"))
@@ -176,12 +178,13 @@ def solve_map(rows: DataFrame, det: list[str], rounds: int = 5, tolerance: float
     sky = checkpointed(conditioned(right).withColumn("x", F.lit(0.0)).withColumn("p", F.col("z")))
     rz = float(sky.agg(F.sum(F.col("r") * F.col("z"))).first()[0] or 0.0)
     story: list[float] = []
+    held: list[DataFrame] = []
     for k in range(rounds):
         if rz == 0:
             break
         at = pair.join(sky.select("i0", "i1", "p"), ["i0", "i1"])
         mean = at.groupBy(*det).agg((F.sum(F.col("n") * F.col("p")) / F.sum("n")).alias("mp"))
-        q = at.join(mean, det).groupBy("i0", "i1").agg(F.sum(F.col("n") * (F.col("p") - F.col("mp"))).alias("q"))
+        q = with_groups(at, mean, det, few).groupBy("i0", "i1").agg(F.sum(F.col("n") * (F.col("p") - F.col("mp"))).alias("q"))
         sky = sky.join(q, ["i0", "i1"])
         pq = float(sky.agg(F.sum(F.col("p") * F.col("q"))).first()[0] or 0.0)
         if pq == 0:
@@ -191,8 +194,11 @@ def solve_map(rows: DataFrame, det: list[str], rounds: int = 5, tolerance: float
         sky = conditioned(sky)
         if (k + 1) % every == 0 or k + 1 == rounds:
             sky = checkpointed(sky)
+            while held:
+                held.pop().unpersist()
         else:
             sky = sky.persist()
+            held.append(sky)
         got = sky.agg(F.sum(F.col("r") * F.col("z")), F.sum(F.col("r") ** 2), F.sum(F.col("x") ** 2)).first()
         new, rr, xx = (float(v or 0.0) for v in got)
         story.append(rr / xx if xx else 0.0)

@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from driftline.operators.joins import few_groups, with_groups
 from driftline.operators.stats import group_median
 
 
@@ -172,13 +173,13 @@ def sine_fit(df: DataFrame, keys: list[str], time: Column, value: str, freq: flo
 def outliers_in_column(df: DataFrame, column: list[str], value: str, fraction: float) -> DataFrame:
     """``df`` with ``outlier``: farther from the median of its column than ``fraction`` of it."""
     m = group_median(df, column, value, "_m").drop("n")
-    return df.join(m, column).withColumn("outlier", F.abs(F.col(value) - F.col("_m")) > fraction * F.abs("_m")).drop("_m")
+    return with_groups(df, m, column, few_groups(df, column)).where("_m is not null").withColumn("outlier", F.abs(F.col(value) - F.col("_m")) > fraction * F.abs("_m")).drop("_m")
 
 
 def fill_blanks(df: DataFrame, column: list[str], value: str, ok: Column) -> DataFrame:
     """Values that aren't ok take the median of the good ones of their column."""
     m = group_median(df.where(ok), column, value, "_m").drop("n")
-    return df.join(m, column, "left").withColumn(value, F.when(ok, F.col(value)).otherwise(F.col("_m"))).drop("_m")
+    return with_groups(df, m, column, few_groups(df, column)).withColumn(value, F.when(ok, F.col(value)).otherwise(F.col("_m"))).drop("_m")
 
 
 def add_phasors(amp1: Column, phase1: Column, amp2: Column, phase2: Column) -> tuple[Column, Column]:

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftline.operators.joins import bounded
+from driftline.operators.joins import bounded, few_groups, first_rows, with_groups
 from driftline.operators.stats import group_median, medsig
 
 
@@ -22,8 +22,8 @@ def calibration_chain(df: DataFrame, steps: list[tuple[str, object, list[str]]],
         if kind == "constant":
             total = total * F.lit(float(what))
             continue
-        one = what.groupBy(*keys).agg(F.first("cal", ignorenulls=True).alias(f"_c{i}"))
-        out = out.join(bounded(one)[0], keys, "left")
+        one = first_rows(what, keys, ["cal"]).withColumnRenamed("cal", f"_c{i}")
+        out = with_groups(out, one, keys, few_groups(what, keys))
         c = F.col(f"_c{i}")
         total = total * F.when(c.isNull() | F.isnan(c) | (F.abs(c) == F.lit(float("inf"))), 0.0).otherwise(c)
     return out.withColumn(name, total).select(*df.columns, name)
@@ -31,8 +31,8 @@ def calibration_chain(df: DataFrame, steps: list[tuple[str, object, list[str]]],
 
 def calibrated(df: DataFrame, cal: DataFrame, keys: list[str], value: str, missing: float | None = 0.0) -> DataFrame:
     """Streams times their detector's calibration; without one times ``missing``, or as they are if that is None."""
-    c = bounded(cal.select(*keys, F.col("cal").alias("_c")))[0]
-    return df.join(c, keys, "left").withColumn(value, F.col(value) * F.coalesce("_c", F.lit(1.0 if missing is None else missing))).drop("_c")
+    c = cal.select(*keys, F.col("cal").alias("_c"))
+    return with_groups(df, c, keys, few_groups(cal, keys)).withColumn(value, F.col(value) * F.coalesce("_c", F.lit(1.0 if missing is None else missing))).drop("_c")
 
 
 def first_failure(df: DataFrame, rules: dict[str, tuple[float, float]]) -> DataFrame:

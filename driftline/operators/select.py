@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from driftline.operators.joins import few_groups, with_groups
 from driftline.operators.stats import group_median, medsig
 
 
@@ -73,7 +74,7 @@ def select_by_sigma(df: DataFrame, keys: list[str], value: str, sigmas: float) -
     """
     stats = medsig(df, keys, value)
     if keys:
-        got = df.join(stats.withColumnsRenamed({k: f"_{k}" for k in keys}), reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]), "left")
+        got = with_groups(df, stats.drop("n"), keys, few_groups(df, keys))
     else:
         one = stats.select(F.struct("med", "sig")).scalar()
         got = df.withColumn("_f", one).withColumn("med", F.col("_f.med")).withColumn("sig", F.col("_f.sig"))
@@ -84,7 +85,7 @@ def select_by_sigma(df: DataFrame, keys: list[str], value: str, sigmas: float) -
 def limit_mask(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """``df`` with ``kept``: value <= min(3 m, max + 0.2 m), m the median of the group's values other than 0."""
     m = group_median(df.where(F.col(value) != 0), keys, value, "_m").drop("n").join(df.groupBy(*keys).agg(F.max(value).alias("_x")), keys)
-    return df.join(m, keys).withColumn("kept", F.col(value) <= F.least(3 * F.col("_m"), F.col("_x") + 0.2 * F.col("_m"))).drop("_m", "_x")
+    return with_groups(df, m, keys, few_groups(df, keys)).where("_m is not null").withColumn("kept", F.col(value) <= F.least(3 * F.col("_m"), F.col("_x") + 0.2 * F.col("_m"))).drop("_m", "_x")
 
 
 def first_of(df: DataFrame, keys: list[str], order: list) -> DataFrame:

@@ -16,10 +16,21 @@ from pyspark.sql import functions as F
 from driftline.session import shipped
 
 
+LONGEST = 1 << 26  # samples of a stream that a kernel takes as a whole
+
+
+def grid_size(samp: np.ndarray) -> int:
+    """Samples from 0 to the last one; an error if that is more than a task can hold, as after a stray position."""
+    n = int(samp.max()) + 1
+    if n > LONGEST or int(samp.min()) < 0:
+        raise ValueError(f"sample {int(samp.min()) if n <= LONGEST else n - 1} is outside a stream of at most {LONGEST} samples")
+    return n
+
+
 def on_grid(samp: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Values on every sample from 0 to the last, absent and non-finite ones by linear interpolation."""
     ok = np.isfinite(x)
-    n = int(samp.max()) + 1
+    n = grid_size(samp)
     return np.interp(np.arange(n), samp[ok], x[ok]) if ok.any() else np.zeros(n)
 
 
@@ -45,7 +56,7 @@ def per_observation(df: DataFrame, keys: list[str], det: str, samp: str, value:
 
     def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         dets = np.sort(pdf["_d"].unique())
-        n = int(pdf["_s"].max()) + 1
+        n = grid_size(pdf["_s"].to_numpy())
         m = np.full((len(dets), n), np.nan)
         m[np.searchsorted(dets, pdf["_d"]), pdf["_s"]] = pdf["_x"]
         m = np.array([np.interp(np.arange(n), np.flatnonzero(np.isfinite(r)), r[np.isfinite(r)]) if np.isfinite(r).any() else np.zeros(n) for r in m])
@@ -135,11 +146,11 @@ def glitch_ranges(x: np.ndarray, rate: float, sigmas: float = 10.0, high: float
     return a[new].astype(np.int32), np.maximum.reduceat(b, new).astype(np.int32)
 
 
-def glitch_cuts(df: DataFrame, keys: list[str], samp: str, value: str, rate: float, sigmas: float = 10.0) -> DataFrame:
+def glitch_cuts(df: DataFrame, keys: list[str], samp: str, value: str, rate: float, sigmas: float = 10.0, high: float = 5.0, sigma_t: float = 0.003) -> DataFrame:
     """(keys, start, stop) of ``glitch_ranges``."""
 
     def kernel(x: np.ndarray) -> dict:
-        a, b = glitch_ranges(x, rate, sigmas)
+        a, b = glitch_ranges(x, rate, sigmas, high, sigma_t)
         return {"start": a, "stop": b}
 
     return per_stream(df, keys, samp, value, kernel, "start int, stop int")
@@ -392,12 +403,25 @@ def biquad_response(f: np.ndarray, rate: float, b: tuple[float, float, float, fl
 
 
 def biquad_filter(x: np.ndarray, b: tuple[float, float, float, float]) -> np.ndarray:
-    """x through the same filter sample by sample, starting from its first value at rest."""
+    """x through the same filter in time, starting from its first value at rest.
+
+    The recurrence y[i] = u[i] + p y[i - 1] - q y[i - 2] goes by blocks: a block is its own part through the impulse response, a triangular
+    matrix, and what the last two values before it still do.
+    """
+    size = 256
     for p, q in ((b[0], b[1]), (b[2], b[3])):
-        g, y = (1 - p + q) / 4, np.empty_like(x, dtype=float)
-        x1 = x2 = y1 = y2 = x[0]
-        for i, v in enumerate(x):
-            y[i] = g * (v + 2 * x1 + x2) + p * y1 - q * y2
-            x1, x2, y1, y2 = v, x1, y[i], y1
+        wide = np.concatenate([[x[0], x[0]], x])
+        u = (1 - p + q) / 4 * (wide[2:] + 2 * wide[1:-1] + wide[:-2])
+        h = np.zeros(size + 1)  # impulse response
+        h[0], h[1] = 1.0, p
+        for i in range(2, size + 1):
+            h[i] = p * h[i - 1] - q * h[i - 2]
+        lag = np.arange(size)[:, None] - np.arange(size)[None, :]
+        own = np.where(lag >= 0, h[np.maximum(lag, 0)], 0.0)
+        y, y1, y2 = np.empty(len(x)), x[0], x[0]
+        for a in range(0, len(x), size):
+            n = min(size, len(x) - a)
+            y[a : a + n] = own[:n, :n] @ u[a : a + n] + h[1 : n + 1] * y1 - q * h[:n] * y2
+            y1, y2 = y[a + n - 1], y[a + n - 2] if n > 1 else y1
         x = y
     return x

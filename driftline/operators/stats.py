@@ -11,6 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from driftline.operators.joins import few_groups, with_groups
 from driftline.session import checkpointed
 
 
@@ -93,7 +94,7 @@ def skew_score(g1: Column, n: Column) -> Column:
     beta2 = 3.0 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2.0) * (n + 5) * (n + 7) * (n + 9))
     w2 = -1 + F.sqrt(2 * (beta2 - 1))
     delta, alpha = 1 / F.sqrt(0.5 * F.log(w2)), F.sqrt(2.0 / (w2 - 1))
-    u = F.when(y == 0, 1.0).otherwise(y) / alpha
+    u = y / alpha
     return delta * F.log(u + F.sqrt(u * u + 1))
 
 
@@ -130,7 +131,9 @@ def average_between(df: DataFrame, time: str, value: str, t0: float, t1: float)
 def report_statistics(df: DataFrame, columns: list[str]) -> DataFrame:
     """(key, n, mean, median, std) of each column without NaN and nulls."""
     long = df.select([F.col(c).cast("double").alias(c) for c in columns]).unpivot([], columns, "key", "v").where("v is not null and not isnan(v)")
-    return long.groupBy("key").agg(F.count("*").alias("n"), F.avg("v").alias("mean"), F.median("v").alias("median"), F.stddev_pop("v").alias("std"))
+    middle = order_statistics(long, ["key"], "v", {"lo": F.floor((F.col("n") - 1) / 2), "hi": F.floor(F.col("n") / 2)}, spread=True)
+    rest = long.groupBy("key").agg(F.count("*").alias("n"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"))
+    return rest.join(middle.select("key", ((F.col("lo") + F.col("hi")) / 2).alias("median")), "key").select("key", "n", "mean", "median", "std")
 
 
 def significance(df: DataFrame, key: str, weight: str, lo: float, hi: float, steps: int) -> DataFrame:
@@ -172,9 +175,9 @@ def pooled_slope(df: DataFrame, group: str, x: str, y: str) -> DataFrame:
 def clipped_line(df: DataFrame, keys: list[str], x: str, y: str, rounds: int = 5, sigmas: float = 3.0) -> DataFrame:
     """(keys, slope, intercept, n, err) of a line fitted ``rounds`` times, each time without rows beyond ``sigmas`` deviations."""
     rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
-    fit = None
+    fit, few = None, few_groups(rows, keys)
     for i in range(rounds):
-        kept = rows if fit is None else rows.join(fit, keys).where(F.abs(F.col("_y") - F.col("slope") * F.col("_x") - F.col("intercept")) <= sigmas * F.col("err")).select(*rows.columns)
+        kept = rows if fit is None else with_groups(rows, fit, keys, few).where(F.abs(F.col("_y") - F.col("slope") * F.col("_x") - F.col("intercept")) <= sigmas * F.col("err")).select(*rows.columns)
         fit = kept.groupBy(*keys).agg(F.regr_slope("_y", "_x").alias("slope"), F.regr_intercept("_y", "_x").alias("intercept"), F.count("*").alias("n"), F.sqrt(F.greatest(F.regr_syy("_y", "_x") - F.regr_slope("_y", "_x") * F.regr_sxy("_y", "_x"), F.lit(0.0)) / F.count("*")).alias("err"))
     return fit
 
@@ -198,25 +201,46 @@ def find_mode(df: DataFrame, keys: list[str], value: str, rounds: int = 4, width
     Where no value is left the centre stays.
     """
     rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
-    now = checkpointed(medsig(rows, keys, "_v").drop("n"))  # one row per group; each round reads it twice
+    now, few = checkpointed(medsig(rows, keys, "_v").drop("n")), few_groups(rows, keys)  # one row per group; each round reads it twice
     for _ in range(rounds):
-        near = rows.join(now, keys).where(F.abs(F.col("_v") - F.col("med")) <= width * F.col("sig")).select(*keys, "_v")
+        near = with_groups(rows, now, keys, few).where(F.abs(F.col("_v") - F.col("med")) <= width * F.col("sig")).select(*keys, "_v")
         new = medsig(near, keys, "_v").select(*keys, F.col("med").alias("_m"), F.col("sig").alias("_s"))
         now = checkpointed(now.join(new, keys, "left").select(*keys, F.coalesce("_m", "med").alias("med"), F.coalesce("_s", "sig").alias("sig")))
     return now.select(*keys, F.col("med").alias("mode"))
 
 
-def combine_fits(df: DataFrame, det: str, x: str, y: str, radius: float, rounds: int = 3, least: int = 2) -> DataFrame:
-    """(det, x, y, std_x, std_y, n_obs, ok): mean position of each detector over observations within ``radius`` of the last estimate.
+def combine_fits(df: DataFrame, obs: str, det: str, x: str, y: str, tau: str, ok: Column, radius: float, template: DataFrame | None = None, rounds: int = 3, least: int = 2, least_dets: int = 5) -> DataFrame:
+    """(det, x, y, tau, their deviations, n_obs, ok): mean fit of each detector over observations within ``radius`` of the last estimate.
 
-    The first estimate is the median of each coordinate.
+    Every observation is first shifted to the template (det, x, y; the first observation unless given) by the median difference over the detectors
+    both have; observations with fewer than ``least_dets`` of those are left out, as are fits that aren't ``ok`` or have a null or non-finite number.
+    The first estimate is the median of each coordinate. A detector without ``least`` fits has ok false, and nulls where none is left.
     """
-    rows = df.select(F.col(det).alias("_d"), F.col(x).alias("_x"), F.col(y).alias("_y")).where("_x is not null and _y is not null")
-    now = group_median(rows, ["_d"], "_x", "cx").drop("n").join(group_median(rows, ["_d"], "_y", "cy").drop("n"), "_d")
+    rows = df.select(F.col(obs).alias("_o"), F.col(det).alias("_d"), F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"), F.col(tau).cast("double").alias("_t"), ok.alias("_ok"))
+    few = few_groups(rows, ["_d"])
+    good = rows.where("_ok")
+    for c in ("_x", "_y", "_t"):
+        good = good.where(F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) != F.lit(float("inf"))))
+    middle = lambda d, keys, v, name: group_median(d, keys, v, name).drop("n")
+    if template is None:
+        first = good.where(F.col("_o") == good.agg(F.min("_o")).scalar())
+        template = middle(first, ["_d"], "_x", "px").join(middle(first, ["_d"], "_y", "py"), "_d")
+    else:
+        template = template.select(F.col(det).alias("_d"), F.col(x).alias("px"), F.col(y).alias("py"))
+    both = with_groups(good, template, ["_d"], few).where("px is not null").select("_o", (F.col("px") - F.col("_x")).alias("dx"), (F.col("py") - F.col("_y")).alias("dy"))
+    shift = both.groupBy("_o").agg(F.count("*").alias("_n")).where(F.col("_n") >= least_dets).join(middle(both, ["_o"], "dx", "dx"), "_o").join(middle(both, ["_o"], "dy", "dy"), "_o").drop("_n")
+    moved = with_groups(good, checkpointed(shift), ["_o"], few_groups(good, ["_o"])).where("dx is not null").select("_d", (F.col("_x") + F.col("dx")).alias("_x"), (F.col("_y") + F.col("dy")).alias("_y"), "_t")
+    moved = checkpointed(moved)  # every round reads it
+    now = middle(moved, ["_d"], "_x", "cx").join(middle(moved, ["_d"], "_y", "cy"), "_d")
     for _ in range(rounds):
-        near = rows.join(now, "_d").where((F.col("_x") - F.col("cx")) ** 2 + (F.col("_y") - F.col("cy")) ** 2 < radius**2)
-        now = near.groupBy("_d").agg(F.avg("_x").alias("cx"), F.avg("_y").alias("cy"), F.stddev_pop("_x").alias("sx"), F.stddev_pop("_y").alias("sy"), F.count("*").alias("n"))
-    return now.select(F.col("_d").alias(det), F.col("cx").alias(x), F.col("cy").alias(y), F.col("sx").alias("std_x"), F.col("sy").alias("std_y"), F.col("n").alias("n_obs"), (F.col("n") >= least).alias("ok"))
+        near = with_groups(moved, now, ["_d"], few).where((F.col("_x") - F.col("cx")) ** 2 + (F.col("_y") - F.col("cy")) ** 2 < radius**2)
+        now = near.groupBy("_d").agg(
+            F.avg("_x").alias("cx"), F.avg("_y").alias("cy"), F.avg("_t").alias("ct"), F.stddev_pop("_x").alias("sx"), F.stddev_pop("_y").alias("sy"), F.stddev_pop("_t").alias("st"), F.count("*").alias("n")
+        )
+    return rows.select("_d").distinct().join(now, "_d", "left").select(
+        F.col("_d").alias(det), F.col("cx").alias(x), F.col("cy").alias(y), F.col("ct").alias(tau), F.col("sx").alias(f"{x}_err"), F.col("sy").alias(f"{y}_err"), F.col("st").alias(f"{tau}_err"),
+        F.coalesce("n", F.lit(0)).alias("n_obs"), F.coalesce(F.col("n") >= least, F.lit(False)).alias("ok"),
+    )
 
 
 def histogram(df: DataFrame, value: str, lo: float, hi: float, bins: int) -> DataFrame:

@@ -43,7 +43,7 @@ _FFM = "ff AS (SELECT pa, det_uid, median(peak_dac) AS m FROM (SELECT DISTINCT f
 @query("cal_chain", f"WITH {_P}, {_D}, {_FFM} SELECT p.tod_id, p.det_uid, round(2.0 * coalesce(dd.s, 0) * coalesce(ff.m, 0) / 100, 6) AS cal FROM p LEFT JOIN dd ON dd.pa = p.pa AND dd.det_uid = p.det_uid LEFT JOIN ff ON ff.pa = p.pa AND ff.det_uid = p.det_uid")
 def _(spark, d):
     ff = load(spark, d, "flatfield").where("peak_dac is not null and not isnan(peak_dac) and abs(peak_dac) < double('inf') and peak_dac <> 0 and det_uid >= 0").select("ff_id", "pa", "det_uid", "peak_dac").distinct()
-    gain = ff.groupBy("pa", "det_uid").agg((F.median("peak_dac") / 100).alias("cal"))
+    gain = stats.group_median(ff, ["pa", "det_uid"], "peak_dac", "m").select("pa", "det_uid", (F.col("m") / 100).alias("cal"))
     sign = _dets(spark, d).select("pa", "det_uid", F.col("s").alias("cal"))
     got = season.calibration_chain(_patho(spark, d).select("tod_id", "pa", "det_uid"), [("constant", 2.0, []), ("table", sign, ["pa", "det_uid"]), ("table", gain, ["pa", "det_uid"])])
     return got.select("tod_id", "det_uid", r6("cal").alias("cal"))

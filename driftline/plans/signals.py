@@ -86,7 +86,12 @@ def _(spark, d):
     return p.groupBy("pa", "det_uid").agg(*stats.moments_about_zero(F.col("v"))).select("pa", "det_uid", r6("var").alias("var"), r6("skew").alias("skew"), r6("kurt").alias("kurt"))
 
 
-@query("normality_scores")
+@query("normality_scores", """WITH p AS (SELECT DISTINCT tod_id, pa, det_uid, rms AS v FROM pathologies WHERE isfinite(rms)), c AS (SELECT *, avg(v) OVER (PARTITION BY pa, det_uid) AS m FROM p),
+g AS (SELECT pa, det_uid, avg(pow(v - m, 3)) / pow(avg(pow(v - m, 2)), 1.5) AS g1, avg(pow(v - m, 4)) / pow(avg(pow(v - m, 2)), 2) AS b2, count(*)::DOUBLE AS n FROM c GROUP BY 1, 2 HAVING count(*) > 20 AND avg(pow(v - m, 2)) > 0),
+y AS (SELECT *, g1 * sqrt((n + 1) * (n + 3) / (6 * (n - 2))) AS y, sqrt(2 * (3 * (n*n + 27*n - 70) * (n + 1) * (n + 3) / ((n - 2) * (n + 5) * (n + 7) * (n + 9)) - 1)) - 1 AS w2,
+  (b2 - 3 * (n - 1) / (n + 1)) / sqrt(24 * n * (n - 2) * (n - 3) / ((n + 1) * (n + 1) * (n + 3) * (n + 5))) AS z, 6 * (n*n - 5*n + 2) / ((n + 7) * (n + 9)) * sqrt(6 * (n + 3) * (n + 5) / (n * (n - 2) * (n - 3))) AS r FROM g),
+u AS (SELECT *, y / sqrt(2 / (w2 - 1)) AS u, 6 + 8 / r * (2 / r + sqrt(1 + 4 / (r * r))) AS a FROM y), k AS (SELECT *, (1 - 2 / a) / (1 + z * sqrt(2 / (a - 4))) AS i FROM u)
+SELECT pa, det_uid, round(ln(u + sqrt(u*u + 1)) / sqrt(0.5 * ln(w2)), 6) AS z_skew, round((1 - 2 / (9 * a) - sign(i) * pow(abs(i), 1 / 3.0::DOUBLE)) / sqrt(2 / (9 * a)), 6) AS z_kurt FROM k""")
 def _(spark, d):
     p = load(spark, d, "pathologies").where("rms is not null and not isnan(rms) and abs(rms) < double('inf')").select("tod_id", "pa", "det_uid", F.col("rms").alias("v")).distinct()
     g = p.groupBy("pa", "det_uid").agg(F.skewness("v").alias("g1"), (F.kurtosis("v") + 3).alias("b2"), F.count("*").cast("double").alias("n")).where("n > 20 and g1 is not null")
@@ -206,10 +211,19 @@ def _(spark, d):
     return stats.normalized_gains(p, ["tod_id"], "det_uid", "gain", F.col("live"), 5).select("tod_id", "det_uid", r6("relative").alias("relative"), "ok")
 
 
-@query("combine_fits")
+_FIT = "WHERE pow(x - cx, 2) + pow(y - cy, 2) < 0.25 GROUP BY det"
+
+
+@query("combine_fits", f"""WITH e AS (SELECT DISTINCT ff_id, concat_ws('|', pa, det_uid) AS det, date_trunc('week', recorded) AS obs, sn / 100 AS x, tau * 100 AS y, peak_dac AS t, sn > 5 AS ok FROM flatfield WHERE det_uid >= 0 AND sn IS NOT NULL AND tau > 0),
+f AS (SELECT * FROM e WHERE ok AND isfinite(x) AND isfinite(y) AND isfinite(t)), tp AS (SELECT det, median(x) AS px, median(y) AS py FROM f WHERE obs = (SELECT min(obs) FROM f) GROUP BY det),
+sh AS (SELECT obs, median(px - x) AS dx, median(py - y) AS dy FROM f JOIN tp USING (det) GROUP BY obs HAVING count(*) >= 5), g AS (SELECT det, x + dx AS x, y + dy AS y, t FROM f JOIN sh USING (obs)),
+c0 AS (SELECT det, median(x) AS cx, median(y) AS cy FROM g GROUP BY det), c1 AS (SELECT det, avg(x) AS cx, avg(y) AS cy FROM g JOIN c0 USING (det) {_FIT}), c2 AS (SELECT det, avg(x) AS cx, avg(y) AS cy FROM g JOIN c1 USING (det) {_FIT}),
+c3 AS (SELECT det, avg(x) AS x, avg(y) AS y, avg(t) AS tau, stddev_pop(x) AS x_err, stddev_pop(y) AS y_err, stddev_pop(t) AS tau_err, count(*) AS n FROM g JOIN c2 USING (det) {_FIT})
+SELECT det, {', '.join(f'round({c}, 6) AS {c}' for c in ('x', 'y', 'tau', 'x_err', 'y_err', 'tau_err'))}, coalesce(n, 0) AS n_obs, coalesce(n >= 2, false) AS ok FROM (SELECT DISTINCT det FROM e) LEFT JOIN c3 USING (det)""")
 def _(spark, d):
-    f = load(spark, d, "flatfield").where("det_uid >= 0 and sn is not null and tau > 0").select("ff_id", F.concat_ws("|", "pa", F.col("det_uid").cast("string")).alias("det"), (F.col("sn") / 100).alias("x"), (F.col("tau") * 100).alias("y")).distinct()
-    return stats.combine_fits(f, "det", "x", "y", 0.5)
+    f = load(spark, d, "flatfield").where("det_uid >= 0 and sn is not null and tau > 0").select("ff_id", F.concat_ws("|", "pa", F.col("det_uid").cast("string")).alias("det"), (F.col("sn") / 100).alias("x"), (F.col("tau") * 100).alias("y"), F.col("peak_dac").alias("tau"), (F.col("sn") > 5).alias("ok"), F.date_trunc("week", "recorded").alias("obs")).distinct()
+    got = stats.combine_fits(f, "obs", "det", "x", "y", "tau", F.col("ok"), 0.5)
+    return got.select("det", *[r6(c).alias(c) for c in ("x", "y", "tau", "x_err", "y_err", "tau_err")], "n_obs", "ok")
 
 
 @query("histogram", "SELECT CAST(floor((l_extendedprice - 1000) * 20 / 99000) AS INTEGER) AS bin, count(*) AS n FROM lineitem WHERE l_extendedprice >= 1000 AND l_extendedprice < 100000 GROUP BY 1")
@@ -312,7 +326,7 @@ def _(spark, d):
     return intervals.ranges_of_mask(m, KEYS, "samp", F.col("x") > F.col("m"))
 
 
-_LOW = f"lr AS (SELECT tod_id, det AS det_uid, start // 80 AS start, least(stop, nsamps) // 80 AS stop FROM cuts WHERE start >= 0 AND stop IS NOT NULL AND start // 80 < least(stop, nsamps) // 80), {merged_sql('lr', 'lm')}"
+_LOW = f"lr AS (SELECT tod_id, det AS det_uid, greatest(start, 0) // 80 AS start, least(stop, nsamps) // 80 AS stop FROM cuts WHERE start IS NOT NULL AND stop >= 0 AND greatest(start, 0) // 80 < least(stop, nsamps) // 80), {merged_sql('lr', 'lm')}"
 
 
 def low_cuts(spark, d):
@@ -333,7 +347,7 @@ def _(spark, d):
     return intervals.in_ranges(stream(spark, d), low_cuts(spark, d), KEYS, "samp", anti=True).groupBy(*KEYS).agg(F.count("*").alias("n"))
 
 
-@query("mask_of_cuts", f"WITH {_LOW}, x AS (SELECT tod_id, det_uid, unnest(range(start, least(stop, 458))) AS samp FROM lm WHERE start < 458) SELECT tod_id, det_uid, CAST(samp AS INTEGER) AS samp FROM x")
+@query("mask_of_cuts", f"WITH {_LOW}, {A}, x AS (SELECT tod_id, det_uid, unnest(range(start, least(stop, nsamps // 80))) AS samp FROM lm JOIN a USING (tod_id, det_uid)) SELECT tod_id, det_uid, CAST(samp AS INTEGER) AS samp FROM x")
 def _(spark, d):
     c = low_cuts(spark, d)
     ax = axis(spark, d).withColumn("nsamps", F.floor(F.col("nsamps") / 80).cast("int"))
@@ -551,6 +565,6 @@ def _(spark, d):
     return got.select("bin", "n", *[r6(c).alias(c) for c in ("p34", "p50", "p66")])
 
 
-@query("resample_join", f"WITH {S}, g AS (SELECT DISTINCT tod_id, det_uid FROM s), o AS (SELECT tod_id, det_uid, unnest(range(500)) AS o FROM g) SELECT tod_id, det_uid, CAST(o AS INTEGER) AS samp, x FROM o JOIN s USING (tod_id, det_uid) WHERE s.samp = o * 3 // 4")
+@query("resample_join", f"WITH {S}, g AS (SELECT tod_id, det_uid, max(samp) AS m FROM s GROUP BY 1, 2), o AS (SELECT tod_id, det_uid, unnest(range((4 * (m + 1) + 2) // 3)) AS o FROM g) SELECT tod_id, det_uid, CAST(o AS INTEGER) AS samp, x FROM o JOIN s USING (tod_id, det_uid) WHERE s.samp = o * 3 // 4")
 def _(spark, d):
     return joins.resample_join(stream(spark, d), KEYS, "samp", 3, 4).select(*KEYS, "samp", "x")

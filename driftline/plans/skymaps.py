@@ -154,7 +154,7 @@ def _(spark, d):
 
 @query("glitch_cuts")
 def _(spark, d):
-    return spectral.glitch_cuts(_short(spark, d), KEYS, "samp", "x", 400.0)
+    return spectral.glitch_cuts(_short(spark, d), KEYS, "samp", "x", RATE, high=2.0, sigma_t=0.02)
 
 
 @query("power_spectra")

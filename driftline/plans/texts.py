@@ -54,18 +54,25 @@ def _(spark, d):
     return got.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
+@query("stream_sliding", "WITH w AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type FROM events UNION ALL SELECT time_bucket(INTERVAL 1 HOUR, ts) - INTERVAL 1 HOUR, event_type FROM events) SELECT start, event_type, count(*) AS n FROM w GROUP BY 1, 2")
+def _(spark, d):
+    s = windows.open_stream(spark, d, "events", load(spark, d, "events").schema).withColumn("t", F.col("ts").cast("timestamp"))
+    got = windows.run_to_end(windows.sliding(s, "t", "2 hours", "1 hour", "0 seconds", ["event_type"]), "complete")
+    return got.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+
+
 @query("stream_sessions", """WITH e AS (SELECT user_id, ts, CASE WHEN ts <= lag(ts) OVER w + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS nw FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), g AS (SELECT *, sum(nw) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM e)
 SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS stop, count(*) AS n FROM g GROUP BY user_id, s""")
 def _(spark, d):
-    s = load(spark, d, "events").withColumn("t", F.col("ts").cast("timestamp"))
-    got = windows.sessions(s, "t", "30 minutes", "1 hour", ["user_id"])
+    s = windows.open_stream(spark, d, "events", load(spark, d, "events").schema).withColumn("t", F.col("ts").cast("timestamp"))
+    got = windows.run_to_end(windows.sessions(s, "t", "30 minutes", "1000 days", ["user_id"]), "complete")
     return got.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("stop").cast("timestamp_ntz").alias("stop"), "n")
 
 
 @query("stream_totals", "SELECT user_id, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1")
 def _(spark, d):
     s = windows.open_stream(spark, d, "events", load(spark, d, "events").schema)
-    return windows.run_to_end(windows.running_totals(s, "user_id", "value"), "update").withColumn("total", F.round("total", 4))
+    return windows.run_to_end(windows.running_totals(s, "user_id", "value"), "complete").withColumn("total", F.round("total", 4))
 
 
 @query("stream_repeats", "SELECT event_type, count(DISTINCT user_id) AS n FROM events GROUP BY 1")

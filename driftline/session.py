@@ -25,17 +25,19 @@ def get_spark(app: str = "driftline", cores: str = "*", shuffle: int = 8) -> Spa
     )
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` with its lineage cut by a reliable checkpoint.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in ``spark.checkpoint.dir``; a temporary one where none is set and everything runs on this machine."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and spark.sparkContext.master.split("[")[0] != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return shared or tempfile.mkdtemp(prefix="driftline-checkpoint-")
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only where none is set (tests on one
-    machine) a temporary one is made.
-    """
-    spark = df.sparkSession
-    sc = spark.sparkContext
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` with its lineage cut by a reliable checkpoint in ``shared_folder``."""
+    sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="driftline-checkpoint-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 

@@ -3,13 +3,11 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.session import shipped
+from driftline.session import shared_folder, shipped
 
 
 def open_stream(spark: SparkSession, folder: str, table: str, schema) -> DataFrame:
@@ -39,27 +37,22 @@ def without_repeats(df: DataFrame, time: str, keys: list[str], late: str) -> Dat
 
 
 def running_totals(df: DataFrame, key: str, value: str) -> DataFrame:
-    """(key, n, total) as it stands after each batch; one row of state per key."""
-    kind = dict(df.dtypes)[key]
-
-    def step(k: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        n, total = state.get if state.exists else (0, 0.0)
-        for b in batches:
-            n, total = n + len(b), total + float(b[value].sum())
-        state.update((n, total))
-        yield pd.DataFrame({key: [k[0]], "n": [n], "total": [total]})
-
-    return df.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, n long, total double", "n long, total double", "update", "NoTimeout")
+    """(key, n, total) as it stands after each batch."""
+    return df.groupBy(key).agg(F.count("*").alias("n"), F.sum(value).alias("total"))
 
 
 def run_to_end(df: DataFrame, mode: str = "append") -> DataFrame:
-    """Everything the stream gives for the rows there are now."""
+    """Everything the stream gives for the rows there are now, from files in the shared folder.
+
+    With mode ``complete`` these hold the result as the last batch left it. The stream's own checkpoint lies beside them.
+    """
     spark = df.sparkSession
-    name = "stream_" + uuid.uuid4().hex[:12]
-    w = df.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True)
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        w = w.option("checkpointLocation", f"{shared}/{name}")
+    folder = f"{shared_folder(spark)}/stream_{uuid.uuid4().hex[:12]}"
+    w = df.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{folder}/state")
+    if mode == "append":
+        w = w.format("parquet").option("path", f"{folder}/rows")
+    else:
+        w = w.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{folder}/rows"))
     q = w.start()
     q.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(df.schema).parquet(f"{folder}/rows")
