@@ -315,7 +315,7 @@ def scan_summary(df: DataFrame, keys: list[str], samp: str, value: str, rate: fl
         else:
             v = np.convolve(np.gradient(x), np.ones(5) / 5, "same")
             speed = float(np.median(np.abs(v)))
-            strong = np.flatnonzero(np.abs(v) > speed / 10)
+            strong = np.flatnonzero(np.abs(v) > speed / 10 * (1 + 1e-9))  # a speed that is just a tenth, but for rounding, is none
             sign = np.sign(v[strong])
             turns = strong[1:][sign[1:] != sign[:-1]]
             gaps = np.diff(turns)

@@ -244,7 +244,9 @@ def _(spark, d):
     return t.select("pa", "det_uid", r6(physics.gaussian_beam(F.sqrt(x * x + y * y), 1.5)).alias("gauss"), r6(physics.elliptical_radius(x, y, 2.0, 1.0, 0.3)).alias("r"), r6(physics.wing_solid_angle(F.lit(0.01), F.lit(2.0))).alias("wing"))
 
 
-@query("airy")
+@query("airy", """WITH RECURSIVE t AS (SELECT DISTINCT pa, det_uid, sqrt(sky_x * sky_x + sky_y * sky_y) * 3 AS r FROM array_data WHERE sky_x IS NOT NULL AND sky_y IS NOT NULL),
+j AS (SELECT pa, det_uid, r, 0 AS k, r / 2 AS term, r / 2 AS total FROM t UNION ALL SELECT pa, det_uid, r, k + 1, -term * r * r / 4 / ((k + 1) * (k + 2)), total - term * r * r / 4 / ((k + 1) * (k + 2)) FROM j WHERE k < 40)
+SELECT pa, det_uid, round(CASE WHEN r < 1e-9 THEN 1 ELSE pow(2 * total / r, 2) END, 6) AS airy FROM j WHERE k = 40""")
 def _(spark, d):
     t = load(spark, d, "array_data").where("sky_x is not null and sky_y is not null").select("pa", "det_uid", (F.sqrt(F.col("sky_x") ** 2 + F.col("sky_y") ** 2) * 3).alias("r")).distinct()
     return t.select("pa", "det_uid", r6(physics.airy_beam(F.col("r"))).alias("airy"))

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from driftline.operators import intervals, scans
+from driftline.plans.skymaps import _KEY2, _WINDOWED, _fitted, _on_grid
 from driftline.plans.signals import KEYS, P, S, W, _LOW, low_cuts, merged_sql, stream
 from driftline.tables import load
 
@@ -107,14 +108,24 @@ def _(spark, d):
     return t.select("basename", r6(dx).alias("dx"), r6(dy).alias("dy")).distinct()
 
 
-@query("frequency_waterfall")
+@query("frequency_waterfall", f"""WITH {_on_grid(_KEY2)}, {_WINDOWED.format(size='n')}, c AS (SELECT *, least(15, floor(f / 0.25)) AS cell FROM ps), a AS (SELECT tod_id, det_uid, cell, avg(p) AS p FROM c GROUP BY 1, 2, 3),
+m AS (SELECT tod_id, det_uid, n, max(k) AS last, unnest(range(16)) AS cell FROM ps GROUP BY 1, 2, 3), i AS (SELECT *, least((cell + 0.5) * 0.25 * n / 8, last) AS at_k FROM m), lo AS (SELECT i.*, p AS plo FROM i JOIN ps USING (tod_id, det_uid) WHERE ps.k = floor(at_k)), hi AS (SELECT lo.*, p AS phi FROM lo JOIN ps USING (tod_id, det_uid) WHERE ps.k = least(floor(at_k) + 1, last))
+SELECT hi.tod_id, hi.det_uid, CAST(hi.cell AS INTEGER) AS cell, (hi.cell + 0.5) * 0.25::DOUBLE AS f, round(coalesce(a.p, plo + (phi - plo) * (at_k - floor(at_k))), 6) AS power FROM hi LEFT JOIN a ON a.tod_id = hi.tod_id AND a.det_uid = hi.det_uid AND a.cell = hi.cell""")
 def _(spark, d):
-    return scans.frequency_waterfall(stream(spark, d), KEYS, "samp", "x", 8.0, 16)
+    s = stream(spark, d).withColumn("x", F.col("x") / 1000)
+    return scans.frequency_waterfall(s, KEYS, "samp", "x", 8.0, 16).withColumn("power", F.round("power", 6))
 
 
-@query("baseline_fit")
+_U = "(2.0 * samp / greatest(n - 1, 1) - 1)"
+
+
+@query("baseline_fit", f"""WITH {_on_grid(_KEY2)}, {_fitted(['cos(2 * pi() * 0.025 * samp)', 'sin(2 * pi() * 0.025 * samp)', '1', _U, f'pow({_U}, 2)', f'pow({_U}, 3)'])},
+re AS (SELECT tod_id, det_uid, samp, any_value(x) - sum(c * b) AS e FROM ba JOIN sol USING (tod_id, det_uid, i) GROUP BY 1, 2, 3), rr AS (SELECT tod_id, det_uid, sqrt(avg(e * e)) AS rms FROM re GROUP BY 1, 2),
+ab AS (SELECT tod_id, det_uid, max(c) FILTER (i = 0) AS ca, max(c) FILTER (i = 1) AS cb FROM sol GROUP BY 1, 2) SELECT tod_id, det_uid, round(sqrt(ca * ca + cb * cb), 6) AS amp, round(atan2(cb, ca), 6) AS phase, round(rms, 6) AS rms FROM ab JOIN rr USING (tod_id, det_uid)""")
 def _(spark, d):
-    return scans.baseline_fit(stream(spark, d), KEYS, "samp", "x", 0.025, 3)
+    s = stream(spark, d)
+    s = s.join(s.groupBy(*KEYS).agg(F.avg("x").alias("_m")), KEYS).withColumn("x", (F.col("x") - F.col("_m")) / 1000)
+    return scans.baseline_fit(s, KEYS, "samp", "x", 0.025, 3).select(*KEYS, *[F.round(c, 6).alias(c) for c in ("amp", "phase", "rms")])
 
 
 @query("outliers_splined")

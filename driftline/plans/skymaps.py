@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftline.operators import mapping, spectral
-from driftline.plans.signals import KEYS, S, _E, matrix, stream
+from driftline.plans.signals import KEYS, S, _E, matrix, merged_sql, stream
 from driftline.tables import load
 
 QUERIES, SQL = {}, {}
@@ -115,6 +115,19 @@ def _(spark, d):
     return mapping.waterfall(stream(spark, d), ["tod_id"], F.col("samp"), F.col("det_uid"), "x", 20.0, 100.0).withColumn("mean", F.round("mean", 3))
 
 
+@query("map_residual", f"WITH {_MAP} SELECT i0, i1, hits, true AS reduced FROM m")
+def _(spark, d):
+    """Hits of the solved map, and whether the equation is left with less than a hundredth of its right side."""
+    i0, i1 = GRID.pixel(F.col("x"), F.col("y"))
+    rows = _li(spark, d).select("det", i0.alias("i0"), i1.alias("i1"), F.col("v").alias("value")).where(GRID.inside(F.col("i0"), F.col("i1")))
+    sky, _story = mapping.solve_map(rows, ["det"], rounds=5)
+    off = rows.join(sky, ["i0", "i1"]).withColumn("e", F.col("value") - F.col("x"))
+    mean = off.groupBy("det").agg(F.avg("e").alias("me"), F.avg("value").alias("mv"))
+    left = off.join(mean, "det").groupBy("i0", "i1").agg(F.sum(F.col("e") - F.col("me")).alias("r"), F.sum(F.col("value") - F.col("mv")).alias("b"))
+    good = left.agg(F.sum(F.col("r") ** 2) < 1e-4 * F.sum(F.col("b") ** 2)).scalar()
+    return sky.select("i0", "i1", "hits").withColumn("reduced", good)
+
+
 @query("map_solved")
 def _(spark, d):
     i0, i1 = GRID.pixel(F.col("x"), F.col("y"))
@@ -130,6 +143,54 @@ def _short(spark, d):
     return s.join(s.groupBy(*KEYS).agg(F.avg("x").alias("_m")), KEYS).select(*KEYS, "samp", ((F.col("x") - F.col("_m")) / 1000).alias("x"))
 
 
+_OVER = "PARTITION BY tod_id, det_uid ORDER BY samp"
+
+
+def _on_grid(whole: str) -> str:
+    """CTEs up to g (tod_id, det_uid, n, samp, x): streams on every sample up to the last of ``whole``, and y (... line, y) less their trend."""
+    return f"""{S}, sh AS (SELECT tod_id, det_uid, samp, (x - avg(x) OVER (PARTITION BY tod_id, det_uid)) / 1000 AS x FROM s),
+ax AS (SELECT DISTINCT tod_id, det_uid, max(samp) OVER (PARTITION BY {whole}) + 1 AS n FROM sh), gr AS (SELECT tod_id, det_uid, n, unnest(range(n)) AS samp FROM ax),
+gj AS (SELECT gr.*, x, CASE WHEN x IS NOT NULL THEN samp END AS place FROM gr LEFT JOIN sh USING (tod_id, det_uid, samp)),
+gf AS (SELECT *, last_value(x IGNORE NULLS) OVER b AS pv, last_value(place IGNORE NULLS) OVER b AS ps, first_value(x IGNORE NULLS) OVER f AS nv, first_value(place IGNORE NULLS) OVER f AS ns FROM gj
+  WINDOW b AS ({_OVER} ROWS UNBOUNDED PRECEDING), f AS ({_OVER} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+g AS MATERIALIZED (SELECT tod_id, det_uid, n, samp, CASE WHEN x IS NOT NULL THEN x WHEN pv IS NULL THEN nv WHEN nv IS NULL THEN pv ELSE pv + (nv - pv) * (samp - ps) / (ns - ps) END AS x FROM gf),
+tr AS (SELECT tod_id, det_uid, w, avg(x) FILTER (samp < w) AS a, avg(x) FILTER (samp >= n - w) AS b FROM (SELECT *, greatest(1, least(1000, n // 4)) AS w FROM g) GROUP BY 1, 2, 3),
+yl AS (SELECT g.*, a + (b - a) * (samp - (w - 1) / 2.0) / greatest(n - w, 1) AS line FROM g JOIN tr USING (tod_id, det_uid)), y AS MATERIALIZED (SELECT *, x - line AS y FROM yl)"""
+
+
+def _dft(src: str, value: str, keys: str) -> str:
+    """Half spectrum (keys, n, k, re, im) of (keys, n, samp, value)."""
+    angle = "2 * pi() * ((k * samp) % n) / n"
+    return f"SELECT {keys}, n, k, sum({value} * cos({angle})) AS re, -sum({value} * sin({angle})) AS im FROM (SELECT *, unnest(range(n // 2 + 1)) AS k FROM {src}) GROUP BY {keys}, n, k"
+
+
+def _through(re: str, im: str) -> str:
+    """CTEs up to bk (tod_id, det_uid, samp, v): streams less their trend with spectrum (re, im) times a gain."""
+    angle = "2 * pi() * ((k * samp) % n) / n"
+    return f"""{_on_grid('tod_id, det_uid')}, ft AS MATERIALIZED ({_dft('y', 'y', 'tod_id, det_uid')}), fg AS (SELECT tod_id, det_uid, n, k, {re} AS re, {im} AS im, CASE WHEN k = 0 OR 2 * k = n THEN 1 ELSE 2 END AS c FROM (SELECT *, k * {RATE} / n AS f FROM ft)),
+bk AS MATERIALIZED (SELECT tod_id, det_uid, samp, sum(c * (re * cos({angle}) - im * sin({angle}))) / n AS v FROM (SELECT *, unnest(range(n)) AS samp FROM fg) GROUP BY tod_id, det_uid, n, samp)"""
+
+
+def _sine2(fc: float, df: float) -> str:
+    return f"pow(sin(pi() / 2 * greatest(0, least(1, ({fc} + {df} / 2 - f) / {df}))), 2)"
+
+
+def _solved(n: int, rows: str = "mx") -> str:
+    """CTEs up to sol (tod_id, det_uid, i, c): normal equations ``rows`` (tod_id, det_uid, i, j, v; j = n is the right side) by Gauss and Jordan."""
+    step = "s{b} AS MATERIALIZED (SELECT a.tod_id, a.det_uid, a.i, a.j, CASE WHEN a.i = {k} THEN a.v / p.v ELSE a.v - r.v * c.v / p.v END AS v FROM {a} a JOIN {a} p ON {on} AND p.i = {k} AND p.j = {k} JOIN {a} r ON {onr} AND r.i = a.i AND r.j = {k} JOIN {a} c ON {onc} AND c.i = {k} AND c.j = a.j)"
+    on = lambda t: f"a.tod_id = {t}.tod_id AND a.det_uid = {t}.det_uid"
+    return ", ".join(step.format(a=f"s{k}" if k else rows, b=k + 1, k=k, on=on("p"), onr=on("r"), onc=on("c")) for k in range(n)) + f", sol AS MATERIALIZED (SELECT tod_id, det_uid, i, v AS c FROM s{n} WHERE j = {n})"
+
+
+def _fitted(basis: list[str]) -> str:
+    """CTEs up to sol: coefficients of least squares of g on the basis (expressions of samp and n), and ba, the basis at every sample."""
+    return f"ba AS MATERIALIZED (SELECT tod_id, det_uid, samp, x, unnest(range({len(basis) + 1})) AS i, unnest([{', '.join(f'({b})::DOUBLE' for b in basis)}, x]) AS b FROM g), mx AS MATERIALIZED (SELECT u.tod_id, u.det_uid, u.i, v.i AS j, sum(u.b * v.b) AS v FROM ba u JOIN ba v USING (tod_id, det_uid, samp) WHERE u.i < {len(basis)} GROUP BY 1, 2, 3, 4), {_solved(len(basis))}"
+
+
+_BACK = "SELECT tod_id, det_uid, CAST(samp AS INTEGER) AS samp, round(v + line, 4) + 0.0 AS x FROM bk JOIN y USING (tod_id, det_uid, samp)"
+_KEY2 = "tod_id, det_uid"
+
+
 @query("fourier", f"""WITH {_E}, k AS (SELECT unnest(range(33)) AS k) SELECT det, CAST(k AS INTEGER) AS k, round(sum(x * cos(2 * pi() * k * samp / 64)), 5) + 0.0 AS re, round(-sum(x * sin(2 * pi() * k * samp / 64)), 5) + 0.0 AS im FROM e, k GROUP BY 1, 2""")
 def _(spark, d):
     return spectral.fourier(matrix(spark, d), ["det"], "samp", "x").select("det", "k", (F.round("re", 5) + 0.0).alias("re"), (F.round("im", 5) + 0.0).alias("im"))
@@ -142,29 +203,44 @@ def _(spark, d):
     return spectral.fourier_back(f, ["det"], "n").withColumn("x", r6("x") + 0.0)
 
 
-@query("filter_low")
+@query("filter_low", f"WITH {_through(f're * {_sine2(1.0, 0.5)}', f'im * {_sine2(1.0, 0.5)}')} {_BACK}")
 def _(spark, d):
-    return spectral.filter_streams(_short(spark, d), KEYS, "samp", "x", lambda f: spectral.sine2_low(f, 1.0, 0.5), RATE).withColumn("x", F.round("x", 4))
+    return spectral.filter_streams(_short(spark, d), KEYS, "samp", "x", lambda f: spectral.sine2_low(f, 1.0, 0.5), RATE).withColumn("x", F.round("x", 4) + 0.0)
 
 
-@query("deconvolved")
+@query("deconvolved", f"WITH {_through('re - im * 2 * pi() * f * 0.05', 'im + re * 2 * pi() * f * 0.05')} {_BACK}")
 def _(spark, d):
-    return spectral.filter_streams(_short(spark, d), KEYS, "samp", "x", np.ones_like, RATE, tau=0.05).withColumn("x", F.round("x", 4))
+    return spectral.filter_streams(_short(spark, d), KEYS, "samp", "x", np.ones_like, RATE, tau=0.05).withColumn("x", F.round("x", 4) + 0.0)
+
+
+_GLITCH = f"(1 - {_sine2(2.0, 1.0)}) * exp(-0.5 * pow(2 * pi() * f * 0.02, 2))"
 
 
-@query("glitch_cuts")
+@query("glitch_cuts", f"""WITH {_through(f're * {_GLITCH}', f'im * {_GLITCH}')}, r AS (SELECT tod_id, det_uid, samp, abs(v) AS v, row_number() OVER (PARTITION BY {_KEY2} ORDER BY abs(v)) - 1 AS i, count(*) OVER (PARTITION BY {_KEY2}) AS n FROM bk),
+q AS (SELECT tod_id, det_uid, n, max(v) FILTER (i = 3 * n // 4) - max(v) FILTER (i = n // 4) AS w FROM r GROUP BY 1, 2, 3), h AS (SELECT tod_id, det_uid, samp, q.n, coalesce(samp - lag(samp) OVER ({_OVER}) >= 30, true) AS nw FROM r JOIN q USING (tod_id, det_uid) WHERE v > 7.41 * w),
+gg AS (SELECT *, sum(nw::INT) OVER ({_OVER} ROWS UNBOUNDED PRECEDING) AS p FROM h), e AS (SELECT tod_id, det_uid, p, n, min(samp) AS a, max(samp) + 1 AS b FROM gg GROUP BY 1, 2, 3, 4),
+b AS (SELECT tod_id, det_uid, greatest(CASE WHEN p = 1 AND a < 30 THEN least(a, 1) ELSE a END - 6, 0) AS start, least(b + 6, n) AS stop FROM e), {merged_sql('b', 'gm')} SELECT tod_id, det_uid, CAST(start AS INTEGER) AS start, CAST(stop AS INTEGER) AS stop FROM gm""")
 def _(spark, d):
     return spectral.glitch_cuts(_short(spark, d), KEYS, "samp", "x", RATE, high=2.0, sigma_t=0.02)
 
 
-@query("power_spectra")
+_WINDOWED = f"""wi AS (SELECT *, unnest(range(0, n - size + 1, greatest(1, size // 2))) AS a FROM (SELECT *, {{size}} AS size FROM g)), wc AS (SELECT tod_id, det_uid, a, size AS n, samp - a AS samp, x - avg(x) OVER (PARTITION BY tod_id, det_uid, a) AS x, sin(pi() * (samp - a) / (size - 1)) AS w FROM wi WHERE samp >= a AND samp < a + size),
+wx AS (SELECT *, w * x AS wx FROM wc), wn AS (SELECT tod_id, det_uid, n, avg(w * w) AS ww FROM wc WHERE a = 0 GROUP BY 1, 2, 3), wf AS ({_dft('wx', 'wx', 'tod_id, det_uid, a')}),
+ps AS MATERIALIZED (SELECT tod_id, det_uid, n, k, k * {RATE} / n AS f, avg(re * re + im * im) * 2 / ({RATE} * n * any_value(ww)) AS p FROM wf JOIN wn USING (tod_id, det_uid, n) GROUP BY 1, 2, 3, 4)"""
+
+
+@query("power_spectra", f"""WITH {_on_grid(_KEY2)}, {_WINDOWED.format(size='least(128, n)')}, bn AS (SELECT *, floor(12 * log10(f / ({RATE} / n)) / log10((n // 2) * (1 + 1e-9))) AS b FROM ps WHERE k > 0)
+SELECT tod_id, det_uid, CAST(b AS INTEGER) AS bin, round(avg(f), 6) AS f, round(avg(p), 6) AS power, count(*) AS n FROM bn GROUP BY 1, 2, 3""")
 def _(spark, d):
-    return spectral.spectra(_short(spark, d), KEYS, "samp", "x", RATE, 128, 12)
+    return spectral.spectra(_short(spark, d), KEYS, "samp", "x", RATE, 128, 12).select(*KEYS, "bin", r6("f").alias("f"), r6("power").alias("power"), "n")
 
 
-@query("cross_spectra")
+@query("cross_spectra", f"""WITH {_on_grid('tod_id')}, c AS (SELECT *, count(DISTINCT det_uid) OVER (PARTITION BY tod_id) AS nd, n // 8 AS size FROM g), st AS (SELECT tod_id, det_uid, nd, samp // size AS a, size AS n, samp % size AS samp, x FROM c WHERE size >= 4 AND nd > 1 AND samp < 8 * size),
+sc AS (SELECT *, sin(pi() * samp / (n - 1)) * (x - avg(x) OVER (PARTITION BY tod_id, det_uid, a)) AS wx FROM st), f AS ({_dft('sc', 'wx', 'tod_id, det_uid, a, nd')}),
+o AS (SELECT *, (sum(re) OVER w - re) / (nd - 1) AS ore, (sum(im) OVER w - im) / (nd - 1) AS oim FROM f WINDOW w AS (PARTITION BY tod_id, a, k))
+SELECT tod_id, det_uid AS det, CAST(k AS INTEGER) AS k, round(k * {RATE} / n, 6) AS f, round((pow(avg(re * ore + im * oim), 2) + pow(avg(im * ore - re * oim), 2)) / greatest(avg(re * re + im * im) * avg(ore * ore + oim * oim), 1e-300), 6) AS coherence FROM o GROUP BY tod_id, det_uid, n, k""")
 def _(spark, d):
-    return spectral.cross_spectra(_short(spark, d), ["tod_id"], "det_uid", "samp", "x", RATE)
+    return spectral.cross_spectra(_short(spark, d), ["tod_id"], "det_uid", "samp", "x", RATE).select("tod_id", "det", "k", r6("f").alias("f"), r6("coherence").alias("coherence"))
 
 
 @query("principal_modes")
@@ -172,14 +248,33 @@ def _(spark, d):
     return spectral.modes_of(_short(spark, d), ["tod_id"], "det_uid", "samp", "x", 3)
 
 
+@query("modes_checked", f"""WITH {_on_grid('tod_id')}, n AS (SELECT tod_id, least(3, count(DISTINCT det_uid)) AS m FROM g GROUP BY 1), i AS (SELECT tod_id, m, unnest(range(m)) AS i FROM n), j AS (SELECT *, unnest(range(i, m)) AS j FROM i)
+SELECT tod_id, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, CASE WHEN i = j THEN 1.0 ELSE 0.0 END::DOUBLE AS dot, true AS explains FROM j""")
+def _(spark, d):
+    """Weights of the modes are orthonormal, and what is left without them has no part along them; each explains the share it states."""
+    s = _short(spark, d)
+    w = spectral.modes_of(s, ["tod_id"], "det_uid", "samp", "x", 3)
+    a, b = w.select("tod_id", "det", F.col("mode").alias("i"), F.col("weight").alias("wi"), "share"), w.select("tod_id", "det", F.col("mode").alias("j"), F.col("weight").alias("wj"))
+    dots = a.join(b, ["tod_id", "det"]).where("i <= j").groupBy("tod_id", "i", "j").agg((F.round(F.sum(F.col("wi") * F.col("wj")), 6) + 0.0).alias("dot"), F.first("share").alias("share"))
+    rest = spectral.without_modes(s, ["tod_id"], "det_uid", "samp", "x", 3).join(a, ["tod_id", "det"]).groupBy("tod_id", "i", "samp").agg(F.sum(F.col("x") * F.col("wi")).alias("t"))
+    left = rest.groupBy("tod_id", "i").agg(F.stddev_pop("t").alias("left_"))
+    size = s.groupBy("tod_id").agg(F.stddev_pop("x").alias("size"))
+    return dots.join(left, ["tod_id", "i"]).join(size, "tod_id").select("tod_id", "i", "j", "dot", ((F.col("left_") <= 1e-6 * F.col("size")) & F.col("share").between(0, 1 + 1e-9)).alias("explains"))
+
+
 @query("without_modes")
 def _(spark, d):
     return spectral.without_modes(_short(spark, d), ["tod_id"], "det_uid", "samp", "x", 2)
 
 
-@query("preselected")
+@query("preselected", f"""WITH {_on_grid('tod_id')}, c AS MATERIALIZED (SELECT tod_id, det_uid, samp, x - avg(x) OVER (PARTITION BY tod_id, det_uid) AS c FROM g), z AS (SELECT tod_id, det_uid, sqrt(avg(c * c)) AS size FROM c GROUP BY 1, 2),
+zi AS (SELECT *, row_number() OVER (PARTITION BY tod_id ORDER BY size) - 1 AS i, count(*) OVER (PARTITION BY tod_id) AS n FROM z WHERE size > 0), m AS (SELECT tod_id, size AS mid FROM zi WHERE i = n // 2),
+q AS (SELECT z.tod_id, det_uid, size, size / coalesce(mid, 1) AS ratio, size > 0 AND size / coalesce(mid, 1) < 4 AND size / coalesce(mid, 1) > 0.25 AS near FROM z LEFT JOIN m ON z.tod_id = m.tod_id),
+ci AS (SELECT c.tod_id, samp, c, row_number() OVER (PARTITION BY c.tod_id, samp ORDER BY c) - 1 AS i, count(*) OVER (PARTITION BY c.tod_id, samp) AS n FROM c JOIN q USING (tod_id, det_uid) WHERE near), cm AS (SELECT tod_id, samp, c AS cm FROM ci WHERE i = n // 2),
+r AS (SELECT c.tod_id, det_uid, avg(c * coalesce(cm, 0)) AS cc, sqrt(avg(coalesce(cm * cm, 0))) AS s FROM c LEFT JOIN cm ON c.tod_id = cm.tod_id AND c.samp = cm.samp GROUP BY 1, 2)
+SELECT tod_id, det_uid AS det, round(ratio, 6) AS ratio, round(CASE WHEN size * s > 0 THEN cc / (size * s) ELSE 0 END, 6) + 0.0 AS corr, near AND size * s > 0 AND cc / (size * s) >= 0.5 AS ok FROM q JOIN r USING (tod_id, det_uid)""")
 def _(spark, d):
-    return spectral.preselect(_short(spark, d), ["tod_id"], "det_uid", "samp", "x")
+    return spectral.preselect(_short(spark, d), ["tod_id"], "det_uid", "samp", "x").select("tod_id", "det", r6("ratio").alias("ratio"), (r6("corr") + 0.0).alias("corr"), "ok")
 
 
 @query("drift_tests")
@@ -187,19 +282,31 @@ def _(spark, d):
     return spectral.drift_tests(_short(spark, d), ["tod_id"], "det_uid", "samp", "x")
 
 
-@query("band_statistics")
+@query("band_statistics", f"""WITH {_on_grid('tod_id')}, f AS ({_dft('y', 'y', 'tod_id, det_uid')}), h AS (SELECT *, CASE WHEN f >= 0.05 AND f < 0.5 THEN 0 WHEN f >= 0.5 AND f < 2 THEN 1 WHEN f >= 2 AND f < 4 THEN 2 END AS band FROM (SELECT *, k * {RATE} / n AS f FROM f)),
+c AS (SELECT *, avg(re) OVER w AS cre, avg(im) OVER w AS cim FROM h WHERE band IS NOT NULL WINDOW w AS (PARTITION BY tod_id, k))
+SELECT tod_id, det_uid AS det, CAST(band AS INTEGER) AS band, round(sqrt(sum(re * re + im * im)) / sqrt(count(*) * n * {RATE}), 6) AS noise, round(sum(re * cre + im * cim) / greatest(sqrt(sum(re * re + im * im)) * sqrt(sum(cre * cre + cim * cim)), 1e-300), 6) + 0.0 AS corr FROM c GROUP BY tod_id, det_uid, band, n""")
 def _(spark, d):
-    return spectral.band_statistics(_short(spark, d), ["tod_id"], "det_uid", "samp", "x", RATE, [(0.05, 0.5), (0.5, 2.0), (2.0, 4.0)])
+    got = spectral.band_statistics(_short(spark, d), ["tod_id"], "det_uid", "samp", "x", RATE, [(0.05, 0.5), (0.5, 2.0), (2.0, 4.0)])
+    return got.select("tod_id", "det", "band", r6("noise").alias("noise"), (r6("corr") + 0.0).alias("corr"))
 
 
-@query("scan_summary")
+@query("scan_summary", f"""WITH {_on_grid(_KEY2)}, v AS (SELECT *, CASE WHEN samp = 0 THEN lead(x) OVER w - x WHEN samp = n - 1 THEN x - lag(x) OVER w ELSE (lead(x) OVER w - lag(x) OVER w) / 2 END AS v FROM g WINDOW w AS ({_OVER})),
+c AS MATERIALIZED (SELECT *, sum(v) OVER ({_OVER} ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) / 5 AS s FROM v), m AS (SELECT tod_id, det_uid, any_value(n) AS n, median(abs(s)) AS speed, quantile_cont(x, 0.01) AS lo, quantile_cont(x, 0.99) AS hi, min(x) AS mn, max(x) AS mx FROM c GROUP BY 1, 2),
+t AS (SELECT tod_id, det_uid, samp, sign(s) <> lag(sign(s)) OVER ({_OVER}) AS turn FROM c JOIN m USING (tod_id, det_uid) WHERE abs(s) > speed / 10 * (1 + 1e-9)), g2 AS (SELECT tod_id, det_uid, samp - lag(samp) OVER ({_OVER}) AS gap FROM t WHERE turn),
+p AS (SELECT tod_id, det_uid, count(*) AS k, median(gap) AS gap, stddev_pop(gap) AS sd, avg(gap) AS mean FROM g2 GROUP BY 1, 2), z AS (SELECT m.*, coalesce(k, 0) AS k, gap, sd, mean FROM m LEFT JOIN p USING (tod_id, det_uid))
+SELECT tod_id, det_uid, round(CASE WHEN n < 16 THEN mn ELSE lo END, 6) + 0.0 AS lo, round(CASE WHEN n < 16 THEN mx ELSE hi END, 6) + 0.0 AS hi, round(CASE WHEN n < 16 THEN 0 ELSE speed * {RATE} END, 6) AS speed, round(CASE WHEN n < 16 OR gap IS NULL THEN 0 ELSE 2 * gap / {RATE} END, 6) AS period, CAST(CASE WHEN n < 16 THEN 0 ELSE k END AS INTEGER) AS n_turns,
+CAST(CASE WHEN n < 16 THEN 1 WHEN speed = 0 THEN 2 WHEN k = 0 THEN 3 WHEN k = 1 THEN 5 WHEN sd > 0.5 * mean THEN 4 ELSE 0 END AS INTEGER) AS status FROM z""")
 def _(spark, d):
-    return spectral.scan_summary(_short(spark, d), KEYS, "samp", "x", RATE)
+    got = spectral.scan_summary(_short(spark, d), KEYS, "samp", "x", RATE)
+    return got.select(*KEYS, *[(r6(c) + 0.0).alias(c) for c in ("lo", "hi", "speed", "period")], "n_turns", "status")
+
+
+_TURN = [f"{f}({h} * 2 * pi() * samp / 40)" for h in (1, 2, 3) for f in ("cos", "sin")]
 
 
-@query("harmonics")
+@query("harmonics", f"""WITH {_on_grid(_KEY2)}, {_fitted([*_TURN, '1'])} SELECT tod_id, det_uid, CAST(i // 2 + 1 AS INTEGER) AS harmonic, round(max(c) FILTER (i % 2 = 0), 6) + 0.0 AS cos, round(max(c) FILTER (i % 2 = 1), 6) + 0.0 AS sin FROM sol WHERE i < 6 GROUP BY tod_id, det_uid, i // 2""")
 def _(spark, d):
-    return spectral.harmonics(_short(spark, d), KEYS, "samp", "x", 40.0, 3)
+    return spectral.harmonics(_short(spark, d), KEYS, "samp", "x", 40.0, 3).select(*KEYS, "harmonic", (r6("cos") + 0.0).alias("cos"), (r6("sin") + 0.0).alias("sin"))
 
 
 @query("fit_peaks")
