@@ -134,6 +134,63 @@ def solid_angles(sky: DataFrame, value: str, centre: tuple[float, float], radius
     return z.agg(inner.alias("om_inner"), edge.alias("om_outer"), (inner + edge).alias("om_total"))
 
 
+def grown(sky: DataFrame, low: tuple[int, int], high: tuple[int, int]) -> DataFrame:
+    """The map on the larger pixel range [low, high): its pixels numbered from ``low``; pixels that come in have no rows, as any without data."""
+    return sky.withColumn("i0", F.col("i0") - low[0]).withColumn("i1", F.col("i1") - low[1]).where((F.col("i0") >= 0) & (F.col("i1") >= 0) & (F.col("i0") < high[0] - low[0]) & (F.col("i1") < high[1] - low[1]))
+
+
+def every_pixel(sky: DataFrame, n0: int, n1: int, values: list[str]) -> DataFrame:
+    """All n0 x n1 pixels; those without a row have 0 in ``values``."""
+    whole = sky.sparkSession.range(n0 * n1).select((F.col("id") % n0).cast("int").alias("i0"), F.floor(F.col("id") / n0).cast("int").alias("i1"))
+    return whole.join(sky.select("i0", "i1", *values), ["i0", "i1"], "left").na.fill(0, values)
+
+
+def sign_corrected(sky: DataFrame, value: str) -> DataFrame:
+    """The map times -1 if its mean is farther from its least than from its largest value."""
+    flip = sky.agg(F.when(2 * F.avg(value) > F.max(value) + F.min(value), -1.0).otherwise(1.0)).scalar()
+    return sky.withColumn(value, F.col(value) * flip)
+
+
+def radii(i0: Column, i1: Column, centre: tuple[float, float], step: tuple[float, float]) -> Column:
+    """Distance of a pixel from a centre (in pixels), in units of the pixel steps."""
+    return F.sqrt(((i0 - centre[0]) * step[0]) ** 2 + ((i1 - centre[1]) * step[1]) ** 2)
+
+
+def radec_from_tan(x: Column, y: Column, ra0: float, dec0: float) -> tuple[Column, Column]:
+    """Inverse of ``tan_projection``; RA in [0, 360)."""
+    u, v = F.radians(x), F.radians(y)
+    s0, c0 = math.sin(math.radians(dec0)), math.cos(math.radians(dec0))
+    ra = F.degrees(F.atan2(u, c0 - v * s0)) + ra0
+    return F.pmod(ra, F.lit(360.0)), F.degrees(F.atan2(s0 + v * c0, F.sqrt(u * u + (c0 - v * s0) ** 2)))
+
+
+def radec_from_cea(x: Column, y: Column, ra0: float, lam: float = 1.0) -> tuple[Column, Column]:
+    """Inverse of ``cea_projection``."""
+    return x + ra0, F.degrees(F.asin(F.radians(y) * lam))
+
+
+def radec_from_car(x: Column, y: Column, ra0: float, dec0: float) -> tuple[Column, Column]:
+    """Inverse of ``car_projection``."""
+    return x + ra0, y + dec0
+
+
+def ra_sindec_wand(ra: Column, dec: Column, cosg: Column, sing: Column, x: Column, y: Column) -> tuple[Column, Column]:
+    """Right ascension and sine of the declination of a detector, expanded in its small offset."""
+    r = x * x + y * y
+    dx, dy = x * sing - y * cosg, -(y * sing + x * cosg)
+    q = dx / (F.sqrt(1 - r) * F.cos(dec) - dy * F.sin(dec))
+    return ra + q * (1 - q * q / 3), F.sin(dec) * (1 - r / 2) + F.cos(dec) * dy
+
+
+def deproject_polarised(rows: DataFrame, grid: Grid, x: Column, y: Column, sky: DataFrame, maps: tuple[str, str, str], cos2: Column, sin2: Column, value: str = "signal") -> DataFrame:
+    """``rows`` with the signal I + Q cos 2g - U sin 2g of a polarised map at their pixels; 0 where the map has none."""
+    i0, i1 = grid.pixel(x, y)
+    i, q, u = maps
+    at = rows.withColumn("i0", i0).withColumn("i1", i1).withColumn("_c", cos2).withColumn("_s", sin2)
+    got = at.join(sky.select("i0", "i1", F.col(i).alias("_i"), F.col(q).alias("_q"), F.col(u).alias("_u")), ["i0", "i1"], "left")
+    return got.withColumn(value, F.coalesce(F.col("_i") + F.col("_q") * F.col("_c") - F.col("_u") * F.col("_s"), F.lit(0.0))).drop("_i", "_q", "_u", "_c", "_s", "i0", "i1")
+
+
 def tan_projection(ra: Column, dec: Column, ra0: float, dec0: float) -> tuple[Column, Column]:
     """Plane coordinates in degrees of the gnomonic projection; null behind the plane."""
     a = F.radians(ra - ra0)

@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftline.session import shipped
@@ -180,6 +180,75 @@ def spectra(df: DataFrame, keys: list[str], samp: str, value: str, rate: float,
     return per_stream(df, keys, samp, value, kernel, "bin int, f double, power double, n long")
 
 
+def taper(n: int, window: str) -> np.ndarray:
+    """Weights of a section of n samples: ``bartlett``, ``hann``, ``welch`` or ``none``."""
+    u = np.arange(n)
+    if window == "bartlett":
+        return 1 - np.abs(u - n / 2) / (n / 2)
+    if window == "hann":
+        return 0.5 * (1 - np.cos(2 * np.pi * u / n))
+    if window == "welch":
+        return 1 - ((u - n / 2) / (n / 2)) ** 2
+    if window == "none":
+        return np.ones(n)
+    raise ValueError(window)
+
+
+def section_power(x: np.ndarray, dt: float, sections: int = 1, window: str = "none", padded: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Frequencies and power per Hz, the mean over 2 * sections - 1 half-overlapping sections, each detrended and tapered.
+
+    ``padded``: length of the transform, if longer than a section. The lowest frequency is given as half of the next.
+    """
+    size = len(x) // sections
+    if size < 1:
+        raise ValueError(f"{sections} sections of {len(x)} samples")
+    w, n = taper(size, window), max(size, padded)
+    parts = [x[b * size // 2 : b * size // 2 + size] for b in range(2 * sections - 1)]
+    p = sum(np.abs(np.fft.rfft(w * (y - trend(y, 200)), n)) ** 2 for y in parts)
+    f = np.arange(len(p)) / len(p) / (2 * dt)
+    if len(f) > 1:
+        f[0] = f[1] / 2
+    return f, p * 2 / len(parts) / w.sum() ** 2 * n * dt
+
+
+def section_spectra(df: DataFrame, keys: list[str], samp: str, value: str, dt: float, sections: int, window: str) -> DataFrame:
+    """(keys, k, f, power) of ``section_power``; streams of fewer than 8 samples have none."""
+
+    def kernel(x: np.ndarray) -> dict:
+        f, p = section_power(x, dt, sections, window) if len(x) >= 8 else (np.zeros(0), np.zeros(0))
+        return {"k": np.arange(len(f), dtype=np.int32), "f": f, "power": p}
+
+    return per_stream(df, keys, samp, value, kernel, "k int, f double, power double")
+
+
+def without_polynomial(df: DataFrame, keys: list[str], samp: str, value: str, order: int) -> DataFrame:
+    """(keys, samp, x): streams less the polynomial of an order fitted to them."""
+
+    def kernel(x: np.ndarray) -> dict:
+        t = np.arange(len(x))
+        basis = np.vander(2 * t / max(len(x) - 1, 1) - 1, order + 1)
+        return {"samp": t.astype(np.int32), "x": x - basis @ np.linalg.lstsq(basis, x, rcond=None)[0]}
+
+    return per_stream(df, keys, samp, value, kernel, "samp int, x double")
+
+
+def without_block_mode(df: DataFrame, keys: list[str], det: str, samp: str, value: str, block: int) -> DataFrame:
+    """``df`` less the common mode (mean over the detectors) times each detector's own factor in every block of samples."""
+    common = Window.partitionBy(*keys, samp)
+    own = Window.partitionBy(*keys, det, "_blk")
+    rows = df.withColumn("_m", F.avg(value).over(common)).withColumn("_blk", F.floor(F.col(samp) / block))
+    k = F.sum(F.col(value) * F.col("_m")).over(own) / F.nullif(F.sum(F.col("_m") * F.col("_m")).over(own), F.lit(0.0))
+    return rows.withColumn("_k", F.coalesce(k, F.lit(0.0))).withColumn(value, F.col(value) - F.col("_k") * F.col("_m")).drop("_m", "_blk", "_k")
+
+
+def appended(modes: np.ndarray, new: np.ndarray) -> np.ndarray:
+    """Orthonormal modes (rows) with ``new`` as one more, less its parts along the others; one that has nothing of its own is left out."""
+    own = new - modes.T @ (modes @ new) if len(modes) else new.astype(float)
+    own = own - modes.T @ (modes @ own) if len(modes) else own  # a second time, against rounding
+    size = np.sqrt(own @ own)
+    return np.vstack([modes, own / size]) if size > 1e-10 * max(np.sqrt(new @ new), 1e-300) else modes
+
+
 def cross_spectra(df: DataFrame, keys: list[str], det: str, samp: str, value: str, rate: float) -> DataFrame:
     """(keys, det, k, f, coherence): coherence of each detector with the mean of the others over 8 stretches."""
 

@@ -110,6 +110,45 @@ def _(spark, d):
     return t.select("basename", F.round(tx, 5).alias("tx"), F.round(ty, 5).alias("ty"), r6(mapping.cea_projection(F.col("min_ra_south"), F.col("min_dec"), 180.0)[1]).alias("cy"), r6(mapping.car_projection(F.col("min_ra_south"), F.col("min_dec"), 180.0, -20.0)[1]).alias("py"))
 
 
+@query("projections_back", """WITH t AS (SELECT DISTINCT basename, min_ra_south AS a, min_dec AS d FROM tod_info WHERE min_ra_south IS NOT NULL AND min_dec IS NOT NULL), z AS (SELECT *, sin(radians(d)) * sin(radians(-20)) + cos(radians(d)) * cos(radians(-20)) * cos(radians(a - 180)) AS z FROM t)
+SELECT basename, CASE WHEN z > 0 THEN round(((a % 360) + 360) % 360, 5) END AS tra, CASE WHEN z > 0 THEN round(d, 5) END AS tdec, round(a, 5) AS cra, round(d, 5) AS cdec, round(d, 5) AS pdec FROM z""")
+def _(spark, d):
+    t = load(spark, d, "tod_info").where("min_ra_south is not null and min_dec is not null").select("basename", "min_ra_south", "min_dec").distinct()
+    a, b = F.col("min_ra_south"), F.col("min_dec")
+    tra, tdec = mapping.radec_from_tan(*mapping.tan_projection(a, b, 180.0, -20.0), 180.0, -20.0)
+    cra, cdec = mapping.radec_from_cea(*mapping.cea_projection(a, b, 180.0), 180.0)
+    pdec = mapping.radec_from_car(*mapping.car_projection(a, b, 180.0, -20.0), 180.0, -20.0)[1]
+    return t.select("basename", *[F.round(c, 5).alias(n) for n, c in (("tra", tra), ("tdec", tdec), ("cra", cra), ("cdec", cdec), ("pdec", pdec))])
+
+
+@query("wand_sindec", """WITH a AS (SELECT DISTINCT pa, det_uid, radians(sky_x) AS x, radians(sky_y) AS y FROM array_data WHERE sky_x IS NOT NULL AND sky_y IS NOT NULL AND det_uid IS NOT NULL),
+b AS (SELECT *, x * x + y * y AS r, x * sin(0.3) - y * cos(0.3) AS dx, -(y * sin(0.3) + x * cos(0.3)) AS dy FROM a), c AS (SELECT *, dx / (sqrt(1 - r) * cos(-0.5) - dy * sin(-0.5)) AS q FROM b)
+SELECT pa, det_uid, round(1 + q * (1 - q * q / 3), 8) AS ra, round(sin(-0.5) * (1 - r / 2) + cos(-0.5) * dy, 8) AS sindec FROM c""")
+def _(spark, d):
+    a = load(spark, d, "array_data").where("sky_x is not null and sky_y is not null and det_uid is not null").select("pa", "det_uid", F.radians("sky_x").alias("x"), F.radians("sky_y").alias("y")).distinct()
+    ra, s = mapping.ra_sindec_wand(F.lit(1.0), F.lit(-0.5), F.cos(F.lit(0.3)), F.sin(F.lit(0.3)), F.col("x"), F.col("y"))
+    return a.select("pa", "det_uid", F.round(ra, 8).alias("ra"), F.round(s, 8).alias("sindec"))
+
+
+@query("map_grown", f"WITH {_MAP}, f AS (SELECT CASE WHEN 2 * avg(signal) > max(signal) + min(signal) THEN -1 ELSE 1 END AS f FROM m), p AS (SELECT a AS i0, b AS i1 FROM range(60) x(a), range(20) y(b)) SELECT CAST(p.i0 AS INTEGER) AS i0, CAST(p.i1 AS INTEGER) AS i1, round(coalesce(signal * f, 0), 6) AS signal, round(sqrt(pow(p.i0 - 29.5, 2) + pow((p.i1 - 9.5) * 2, 2)), 6) AS r FROM p LEFT JOIN m ON m.i0 + 4 = p.i0 AND m.i1 + 3 = p.i1, f")
+def _(spark, d):
+    m = mapping.grown(mapping.sign_corrected(_map(spark, d), "signal"), (-4, -3), (56, 17))
+    got = mapping.every_pixel(m, 60, 20, ["signal"])
+    return got.select("i0", "i1", r6("signal").alias("signal"), r6(mapping.radii(F.col("i0"), F.col("i1"), (29.5, 9.5), (1.0, 2.0))).alias("r"))
+
+
+@query("map_deproject_polarised", """WITH q AS (SELECT l_orderkey, l_linenumber, CAST(floor(l_quantity + 0.5) AS INTEGER) AS i0, CAST(floor(l_discount / 0.01 + 0.5) AS INTEGER) AS i1, ln(l_extendedprice) AS v, radians(l_suppkey % 90) AS phi, radians(l_linenumber * 10) AS g FROM lineitem),
+a AS (SELECT *, sin(phi) * cos(g) - cos(phi) * sin(g) AS c, sin(phi) * sin(g) + cos(phi) * cos(g) AS s FROM q), m AS (SELECT i0, i1, sum(v) / count(*) AS mi, sum(v * (c*c - s*s)) / count(*) AS mq, -sum(v * 2 * s * c) / count(*) AS mu FROM a WHERE i0 BETWEEN 0 AND 51 AND i1 BETWEEN 0 AND 11 GROUP BY 1, 2)
+SELECT l_orderkey, l_linenumber, round(coalesce(mi + mq * (c*c - s*s) - mu * 2 * s * c, 0), 5) + 0.0 AS signal FROM a LEFT JOIN m USING (i0, i1)""")
+def _(spark, d):
+    q = load(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("x"), F.col("l_discount").alias("y"), F.ln("l_extendedprice").alias("v"), F.radians(F.col("l_suppkey") % 90).alias("phi"), F.radians(F.col("l_linenumber") * 10).alias("g"))
+    c2, s2 = mapping.tangent_angle(F.cos("g"), F.sin("g"), F.col("phi"))
+    m = mapping.project(q, GRID, F.col("x"), F.col("y"), mapping.polarised(F.col("v"), c2, s2))
+    m = m.select("i0", "i1", *[(F.col(c) / F.col("hits")).alias(c) for c in ("sum_i", "sum_q", "sum_u")])
+    got = mapping.deproject_polarised(q, GRID, F.col("x"), F.col("y"), m, ("sum_i", "sum_q", "sum_u"), c2, s2)
+    return got.select("l_orderkey", "l_linenumber", (F.round("signal", 5) + 0.0).alias("signal"))
+
+
 @query("waterfall", f"WITH {S} SELECT tod_id, CAST(samp // 20 AS INTEGER) AS it, CAST(det_uid // 100 AS INTEGER) AS ix, round(avg(x), 3) AS mean, count(*) AS n FROM s GROUP BY 1, 2, 3")
 def _(spark, d):
     return mapping.waterfall(stream(spark, d), ["tod_id"], F.col("samp"), F.col("det_uid"), "x", 20.0, 100.0).withColumn("mean", F.round("mean", 3))
@@ -203,6 +242,29 @@ def _(spark, d):
     return spectral.fourier_back(f, ["det"], "n").withColumn("x", r6("x") + 0.0)
 
 
+_SEC = f"""se AS (SELECT *, unnest(range(3)) AS b, n // 2 AS size FROM g WHERE n >= 8), sp AS MATERIALIZED (SELECT tod_id, det_uid, b, size AS n, samp - b * size // 2 AS samp, x FROM se WHERE samp >= b * size // 2 AND samp < b * size // 2 + size),
+sw AS (SELECT tod_id, det_uid, b, w, avg(x) FILTER (samp < w) AS a, avg(x) FILTER (samp >= n - w) AS z FROM (SELECT *, greatest(1, least(200, n // 4)) AS w FROM sp) GROUP BY 1, 2, 3, 4),
+sx AS (SELECT sp.*, 0.5 * (1 - cos(2 * pi() * samp / n)) * (x - a - (z - a) * (samp - (w - 1) / 2.0) / greatest(n - w, 1)) AS y FROM sp JOIN sw USING (tod_id, det_uid, b)), sf AS ({_dft('sx', 'y', 'tod_id, det_uid, b')})"""
+
+
+@query("power_sections", f"""WITH {_on_grid(_KEY2)}, {_SEC} SELECT tod_id, det_uid, CAST(k AS INTEGER) AS k, round(CASE WHEN k = 0 THEN 0.5 ELSE k END * {RATE} / 2 / (n // 2 + 1), 6) AS f, round(sum(re * re + im * im) * 2 / 3 / pow(n / 2.0, 2) * n / {RATE}, 6) + 0.0 AS power FROM sf GROUP BY tod_id, det_uid, n, k""")
+def _(spark, d):
+    got = spectral.section_spectra(_short(spark, d), KEYS, "samp", "x", 1 / RATE, 2, "hann")
+    return got.select(*KEYS, "k", r6("f").alias("f"), (r6("power") + 0.0).alias("power"))
+
+
+@query("polynomial_removed", f"""WITH {_on_grid(_KEY2)}, {_fitted(['1', '(2.0 * samp / greatest(n - 1, 1) - 1)', 'pow(2.0 * samp / greatest(n - 1, 1) - 1, 2)', 'pow(2.0 * samp / greatest(n - 1, 1) - 1, 3)'])},
+re AS (SELECT tod_id, det_uid, samp, any_value(x) - sum(c * b) AS e FROM ba JOIN sol USING (tod_id, det_uid, i) GROUP BY 1, 2, 3) SELECT tod_id, det_uid, CAST(samp AS INTEGER) AS samp, round(e, 6) + 0.0 AS x FROM re""")
+def _(spark, d):
+    return spectral.without_polynomial(_short(spark, d), KEYS, "samp", "x", 3).withColumn("x", r6("x") + 0.0)
+
+
+@query("block_mode", f"""WITH {S}, sh AS (SELECT tod_id, det_uid, samp, samp // 64 AS blk, (x - avg(x) OVER (PARTITION BY tod_id, det_uid)) / 1000 AS x FROM s), m AS (SELECT *, avg(x) OVER (PARTITION BY tod_id, samp) AS m FROM sh),
+k AS (SELECT tod_id, det_uid, blk, sum(x * m) / nullif(sum(m * m), 0) AS k FROM m GROUP BY 1, 2, 3) SELECT tod_id, det_uid, samp, round(x - coalesce(k, 0) * m, 6) + 0.0 AS x FROM m JOIN k USING (tod_id, det_uid, blk)""")
+def _(spark, d):
+    return spectral.without_block_mode(_short(spark, d), ["tod_id"], "det_uid", "samp", "x", 64).select(*KEYS, "samp", (r6("x") + 0.0).alias("x"))
+
+
 @query("filter_low", f"WITH {_through(f're * {_sine2(1.0, 0.5)}', f'im * {_sine2(1.0, 0.5)}')} {_BACK}")
 def _(spark, d):
     return spectral.filter_streams(_short(spark, d), KEYS, "samp", "x", lambda f: spectral.sine2_low(f, 1.0, 0.5), RATE).withColumn("x", F.round("x", 4) + 0.0)

@@ -21,6 +21,27 @@ def depot_path(root: str, kind: str, tag: str, name: str) -> str:
     return os.path.join(root, kind, tag, name[:5], name)
 
 
+class Depot:
+    """Products by kind, tag and TOD, each a parquet folder at its ``depot_path``."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root
+
+    def check(self, kind: str, tag: str, name: str) -> bool:
+        try:
+            self.read(kind, tag, name)
+        except AnalysisException:
+            return False
+        return True
+
+    def read(self, kind: str, tag: str, name: str) -> DataFrame:
+        return self.spark.read.parquet(depot_path(self.root, kind, tag, name))
+
+    def write(self, df: DataFrame, kind: str, tag: str, name: str, clobber: bool = True) -> None:
+        """Replaces the product; with ``clobber`` false one that is there is an error."""
+        df.write.mode("overwrite" if clobber else "errorifexists").parquet(depot_path(self.root, kind, tag, name))
+
+
 class Archive:
     """A parquet folder of one product with one part per key (a TOD).
 
