@@ -6,7 +6,8 @@ import math
 
 from pyspark.sql import functions as F
 
-from driftline.operators import intervals, scans
+from driftline.operators import intervals, scans, tods
+from driftline.plans import signals
 from driftline.plans.skymaps import _KEY2, _WINDOWED, _fitted, _on_grid
 from driftline.plans.signals import KEYS, P, S, W, _LOW, low_cuts, merged_sql, stream
 from driftline.tables import load
@@ -108,6 +109,20 @@ def _(spark, d):
     return t.select("basename", r6(dx).alias("dx"), r6(dy).alias("dy")).distinct()
 
 
+_CAL = "c AS (SELECT det_uid, min(optical_sign) AS c FROM array_data WHERE det_type = 'tes' GROUP BY 1)"
+
+
+@query("tod_loaded", f"""WITH {S.replace('s AS', 's0 AS', 1)}, {_CAL}, {_LOW.replace('lm', 'l0')}, n AS (SELECT tod_id, max(samp) + 1 AS n FROM s0 GROUP BY 1), s AS (SELECT tod_id, det_uid, samp - 10 AS samp, x * coalesce(c, 0) AS x FROM s0 JOIN n USING (tod_id) LEFT JOIN c USING (det_uid) WHERE samp >= 10 AND samp < n - 10),
+lm AS (SELECT tod_id, det_uid, greatest(start - 10, 0) AS start, least(stop - 10, n - 20) AS stop FROM l0 JOIN n USING (tod_id) WHERE greatest(start - 10, 0) < least(stop - 10, n - 20)), q AS (WITH e{signals.SQL['fill_cuts'].split(', e', 1)[1]})
+SELECT q.tod_id, q.det_uid, q.samp, q.x, lm.start IS NOT NULL AS cut, round(cos((q.samp + 10) / 20.0), 6) AS az FROM q LEFT JOIN lm ON q.tod_id = lm.tod_id AND q.det_uid = lm.det_uid AND q.samp >= lm.start AND q.samp < lm.stop""")
+def _(spark, d):
+    s = stream(spark, d)
+    cal = load(spark, d, "array_data").where("det_type = 'tes'").groupBy("det_uid").agg(F.min("optical_sign").alias("cal"))
+    pointing = s.select("tod_id", "samp").distinct().withColumn("az", F.cos(F.col("samp") / 20.0))
+    got = tods.load_observations(s, start=10, stop=-10, cal=cal, cal_keys=["det_uid"], cuts=low_cuts(spark, d), pointing=pointing)
+    return got.select(*KEYS, "samp", F.round("x", 2).alias("x"), "cut", r6("az").alias("az"))
+
+
 @query("frequency_waterfall", f"""WITH {_on_grid(_KEY2)}, {_WINDOWED.format(size='n')}, c AS (SELECT *, least(15, floor(f / 0.25)) AS cell FROM ps), a AS (SELECT tod_id, det_uid, cell, avg(p) AS p FROM c GROUP BY 1, 2, 3),
 m AS (SELECT tod_id, det_uid, n, max(k) AS last, unnest(range(16)) AS cell FROM ps GROUP BY 1, 2, 3), i AS (SELECT *, least((cell + 0.5) * 0.25 * n / 8, last) AS at_k FROM m), lo AS (SELECT i.*, p AS plo FROM i JOIN ps USING (tod_id, det_uid) WHERE ps.k = floor(at_k)), hi AS (SELECT lo.*, p AS phi FROM lo JOIN ps USING (tod_id, det_uid) WHERE ps.k = least(floor(at_k) + 1, last))
 SELECT hi.tod_id, hi.det_uid, CAST(hi.cell AS INTEGER) AS cell, (hi.cell + 0.5) * 0.25::DOUBLE AS f, round(coalesce(a.p, plo + (phi - plo) * (at_k - floor(at_k))), 6) AS power FROM hi LEFT JOIN a ON a.tod_id = hi.tod_id AND a.det_uid = hi.det_uid AND a.cell = hi.cell""")

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.operators import mapping, spectral
+from driftline.operators import mapping, pathology, spectral
 from driftline.plans.signals import KEYS, S, _E, matrix, merged_sql, stream
 from driftline.tables import load
 
@@ -366,6 +366,37 @@ def _(spark, d):
 _TURN = [f"{f}({h} * 2 * pi() * samp / 40)" for h in (1, 2, 3) for f in ("cos", "sin")]
 
 
+_BANDS = [(0.05, 0.5), (0.3, 1.5)]
+_LIM = ", ".join(f"({i}, {lo}, {hi})" for i, (lo, hi) in enumerate(_BANDS))
+
+
+@query("low_frequency", f"""WITH {_on_grid('tod_id')}, f AS ({_dft('y', 'y', 'tod_id, det_uid')}), w AS (SELECT f.*, b.w FROM f, (VALUES {_LIM}) b(w, lo, hi) WHERE k >= floor(lo * n / {RATE} + 0.5) AND k < greatest(floor(hi * n / {RATE} + 0.5), floor(lo * n / {RATE} + 0.5) + 16)),
+z AS MATERIALIZED (SELECT *, sqrt(sum(re * re + im * im) OVER (PARTITION BY tod_id, det_uid, w)) AS size, count(*) OVER (PARTITION BY tod_id, det_uid, w) AS nk FROM w), c AS (SELECT a.tod_id, a.w, a.det_uid, abs(sum(a.re * b.re + a.im * b.im) / any_value(a.size * b.size)) AS cc FROM z a JOIN z b USING (tod_id, w, k) WHERE a.nk > 1 GROUP BY a.tod_id, a.w, a.det_uid, b.det_uid),
+m AS (SELECT tod_id, w, det_uid, median(cc) AS mid FROM c GROUP BY 1, 2, 3), p AS (SELECT *, CASE WHEN count(*) FILTER (mid > 0.6) OVER (PARTITION BY tod_id, w) >= 2 THEN mid > 0.6 ELSE mid > 0.3 END AS pre FROM m),
+cm AS (SELECT tod_id, w, k, avg(re) AS cre, avg(im) AS cim FROM z JOIN p USING (tod_id, w, det_uid) WHERE pre GROUP BY 1, 2, 3), r AS (SELECT p.tod_id, p.w, p.det_uid, any_value(pre) AS pre, any_value(size) AS norm, coalesce(sum(re * cre + im * cim) / sum(cre * cre + cim * cim), 0) AS gain, coalesce(sum(re * cre + im * cim) / (any_value(size) * sqrt(sum(cre * cre + cim * cim))), 0) AS corr
+  FROM p JOIN z USING (tod_id, w, det_uid) LEFT JOIN cm ON cm.tod_id = p.tod_id AND cm.w = p.w AND cm.k = z.k GROUP BY 1, 2, 3),
+h AS (SELECT *, sum(pre::INT) OVER (PARTITION BY tod_id, det_uid) AS np FROM r), h2 AS (SELECT *, np > 0 AND 2 * np >= max(np) OVER (PARTITION BY tod_id) AS half FROM h), g2 AS (SELECT *, abs(gain) / avg(abs(gain)) FILTER (half AND pre) OVER (PARTITION BY tod_id, w) AS g FROM h2)
+SELECT tod_id, det_uid AS det, any_value(half) AS preselected, round(avg(g) FILTER (pre), 5) AS gain, round(max(corr) FILTER (pre), 5) AS corr, round(avg(norm) FILTER (pre), 4) AS norm FROM g2 GROUP BY 1, 2""")
+def _(spark, d):
+    got = pathology.low_frequency(_short(spark, d), ["tod_id"], "det_uid", "samp", "x", RATE, _BANDS, leading=False)
+    return pathology.over_windows(got, ["tod_id"]).select("tod_id", "det", "preselected", F.round("gain", 5).alias("gain"), F.round("corr", 5).alias("corr"), F.round("norm", 4).alias("norm"))
+
+
+@query("high_frequency", f"""WITH {_through('re * CASE WHEN f >= 2 AND f < 4 THEN 1 ELSE 0 END', 'im * CASE WHEN f >= 2 AND f < 4 THEN 1 ELSE 0 END').replace(_on_grid('tod_id, det_uid'), _on_grid('tod_id'))}, p AS (SELECT tod_id, det_uid, n, sum(re * re + im * im) AS p, count(*) AS nk FROM ft WHERE k * {RATE} / n >= 2 AND k * {RATE} / n < 4 GROUP BY 1, 2, 3),
+c AS (SELECT *, v - avg(v) OVER (PARTITION BY tod_id, det_uid) AS e FROM bk), m AS (SELECT tod_id, det_uid, avg(e * e) AS v, avg(e * e * e) AS s, avg(e * e * e * e) AS q FROM c GROUP BY 1, 2)
+SELECT tod_id, det_uid AS det, round(sqrt(p / nk / n), 6) AS rms, round(CASE WHEN v > 0 THEN s / pow(v, 1.5) ELSE 0 END, 5) + 0.0 AS skew, round(CASE WHEN v > 0 THEN q / (v * v) ELSE 0 END, 5) AS kurt FROM p JOIN m USING (tod_id, det_uid)""")
+def _(spark, d):
+    got = pathology.high_frequency(_short(spark, d), ["tod_id"], "det_uid", "samp", "x", RATE, (2.0, 4.0))
+    return got.select("tod_id", "det", r6("rms").alias("rms"), (F.round("skew", 5) + 0.0).alias("skew"), F.round("kurt", 5).alias("kurt"))
+
+
+@query("detector_groups", f"SELECT DISTINCT tod_id, det_uid AS det, true AS grouped FROM ({'WITH ' + S + ' SELECT tod_id, det_uid FROM s'})")
+def _(spark, d):
+    """Every detector belongs to one of at most five groups."""
+    g = pathology.grouped_detectors(_short(spark, d), ["tod_id"], "det_uid", "samp", "x", RATE, (0.05, 1.0))
+    return g.select("tod_id", "det", F.col("group").between(0, 4).alias("grouped"))
+
+
 @query("harmonics", f"""WITH {_on_grid(_KEY2)}, {_fitted([*_TURN, '1'])} SELECT tod_id, det_uid, CAST(i // 2 + 1 AS INTEGER) AS harmonic, round(max(c) FILTER (i % 2 = 0), 6) + 0.0 AS cos, round(max(c) FILTER (i % 2 = 1), 6) + 0.0 AS sin FROM sol WHERE i < 6 GROUP BY tod_id, det_uid, i // 2""")
 def _(spark, d):
     return spectral.harmonics(_short(spark, d), KEYS, "samp", "x", 40.0, 3).select(*KEYS, "harmonic", (r6("cos") + 0.0).alias("cos"), (r6("sin") + 0.0).alias("sin"))
