@@ -172,3 +172,88 @@ def grouped_detectors(df: DataFrame, keys: list[str], det: str, samp: str, value
         return {"det": dets.astype(np.int32), "group": detector_groups(correlations(s[:, (f >= band[0]) & (f < band[1])]), few=few, most=most).astype(np.int32)}
 
     return per_observation(df, keys, det, samp, value, kernel, "det int, group int")
+
+
+def drift_of(c: np.ndarray, live: np.ndarray, dark: np.ndarray, blocks: np.ndarray, temperature: np.ndarray | None, modes: int) -> dict[str, np.ndarray]:
+    """Gain, correlation, norm and drift of streams (detector, sample) without their means.
+
+    The temperature, if it moves, and then the common mode of the dark detectors are fitted to every stream and taken off; gain and correlation are those
+    on the common mode of the live ones. drift is the size of what is left without it and without the leading ``modes`` of the block means of the
+    rest (blocks < 0 have no part), relative to the norm.
+    """
+    for mode in ([temperature - temperature.mean()] if temperature is not None else []) + ([c[dark].mean(0)] if dark.any() else []):
+        p = mode @ mode
+        if p > 1e-12 * max(float((c * c).sum()), 1e-300):
+            c = c - np.outer(c @ mode / p, mode)
+    norm = np.sqrt((c * c).mean(1))
+    cm = c[live].mean(0) if live.any() else np.zeros(c.shape[1])
+    p = cm @ cm
+    gain = c @ cm / p if p > 0 else np.zeros(len(c))
+    corr = gain * np.sqrt(p / c.shape[1]) / np.where(norm > 0, norm, 1)
+    rest = c - np.outer(gain, cm)
+    own = [rest[live & (blocks == b)].sum(0) for b in np.unique(blocks[live & (blocks >= 0)])]
+    if own and modes:
+        u = np.linalg.svd(np.array(own), full_matrices=False)[2][: min(modes, len(own))]
+        rest = rest - (rest @ u.T) @ u
+    return {"gain": gain, "corr": corr, "norm": norm, "drift": np.sqrt((rest * rest).mean(1)) / np.where(norm > 0, norm, 1)}
+
+
+def drift_analysis(df: DataFrame, keys: list[str], det: str, samp: str, value: str, step: int, modes: int = 0, live: str | None = None, dark: str | None = None, block: str | None = None, temperature: str | None = None) -> DataFrame:
+    """(keys, det, gain, corr, norm, drift) of ``drift_of`` for streams averaged over ``step`` samples (a last part is dropped).
+
+    ``live`` and ``dark`` are boolean columns of detectors, ``block`` one of whole numbers (none: one block), ``temperature`` a column of samples. Absent
+    samples are interpolated. Without ``live`` all detectors that aren't dark are.
+    """
+    from driftline.operators.spectral import grid_size
+    from driftline.session import shipped
+
+    import pandas as pd
+
+    shipped(df.sparkSession)
+
+    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        dets = np.sort(pdf["_d"].unique())
+        n = grid_size(pdf["_s"].to_numpy())
+        m = np.full((len(dets), n), np.nan)
+        m[np.searchsorted(dets, pdf["_d"]), pdf["_s"]] = pdf["_x"]
+        grid = np.arange(n)
+        fill = lambda r: np.interp(grid, np.flatnonzero(np.isfinite(r)), r[np.isfinite(r)]) if np.isfinite(r).any() else np.zeros(n)
+        thin = lambda a: a[..., : n // step * step].reshape(*a.shape[:-1], -1, step).mean(-1)
+        c = thin(np.array([fill(r) for r in m]))
+        if not c.shape[1]:
+            return pd.DataFrame({**{k: [] for k in keys}, "det": [], "gain": [], "corr": [], "norm": [], "drift": []})
+        per = pdf.groupby("_d").first()
+        t = None
+        if temperature is not None:
+            row = np.full(n, np.nan)
+            row[pdf["_s"]] = pdf["_temp"]
+            t = thin(fill(row))
+        is_dark = per["_dark"].to_numpy(bool)
+        got = drift_of(c - c.mean(1, keepdims=True), per["_live"].to_numpy(bool) & ~is_dark, is_dark, per["_blk"].to_numpy(int), t, modes)
+        return pd.DataFrame({**dict(zip(keys, key)), "det": dets.astype(np.int32), **got})
+
+    kinds = dict(df.dtypes)
+    mark = lambda c, default: F.coalesce(F.col(c), F.lit(False)) if c else F.lit(default)
+    src = df.select(*keys, F.col(det).alias("_d"), F.col(samp).alias("_s"), F.col(value).cast("double").alias("_x"), mark(live, True).alias("_live"), mark(dark, False).alias("_dark"), (F.coalesce(F.col(block), F.lit(-1)) if block else F.lit(0)).alias("_blk"), (F.col(temperature) if temperature else F.lit(0)).cast("double").alias("_temp"))
+    return src.groupBy(*keys).applyInPandas(one, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", det int, gain double, corr double, norm double, drift double")
+
+
+def light_and_dark(df: DataFrame, keys: list[str], det: str, samp: str, value: str, cal: str, light: str, dark: str, sigmas: float = 3.0) -> DataFrame:
+    """(keys, det, p_light, p_dark, member, recal): part of each detector in the light and the dark mode of its observation.
+
+    The light mode is the mean of the calibrated streams of ``light`` detectors, the dark one that of the ``dark`` ones as they are. Parts are those of a fit to
+    each mode alone, the light one of the calibrated stream. A detector is a member of the mode of whose candidates' robust centre its part is within
+    ``sigmas`` deviations (light first), else of none; recal is the calibration over the part in the light mode for members of it, else 0.
+    """
+    from driftline.operators.stats import medsig
+
+    x, y = F.col(value) * F.col(cal), F.col(value)
+    w = [*keys, samp]
+    mode = df.groupBy(*w).agg(F.avg(F.when(F.col(light), x)).alias("_l"), F.avg(F.when(F.col(dark), y)).alias("_k"))
+    fit = lambda v, m: F.sum(v * m) / F.nullif(F.sum(m * m), F.lit(0.0))
+    parts = df.join(mode, w).groupBy(*keys, det).agg(fit(x, F.col("_l")).alias("p_light"), fit(y, F.col("_k")).alias("p_dark"), F.first(cal).alias("_cal"), F.first(light).alias("_light"), F.first(dark).alias("_dark"))
+    stats = lambda flag, c, n: medsig(parts.where(F.col(flag)), keys, c, spread=False).select(*keys, F.col("med").alias(f"_m{n}"), F.col("sig").alias(f"_s{n}"))
+    got = parts.join(stats("_light", "p_light", 0), keys, "left").join(stats("_dark", "p_dark", 1), keys, "left")
+    near = lambda c, n: F.abs(F.col(c) - F.col(f"_m{n}")) <= sigmas * F.col(f"_s{n}")
+    member = F.when(near("p_light", 0) & (F.col("_cal") != 0), "light").when(near("p_dark", 1), "dark").otherwise("none")
+    return got.withColumn("member", member).select(*keys, det, "p_light", "p_dark", "member", F.when((F.col("member") == "light") & (F.col("p_light") != 0), F.col("_cal") / F.col("p_light")).otherwise(0.0).alias("recal"))

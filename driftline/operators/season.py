@@ -29,6 +29,37 @@ def calibration_chain(df: DataFrame, steps: list[tuple[str, object, list[str]]],
     return out.withColumn(name, total).select(*df.columns, name)
 
 
+def chain_steps(step: dict | list, products: dict, keys: list[str]) -> list[tuple[str, object, list[str]]]:
+    """Steps for ``calibration_chain`` from a nested description; ``products`` has the tables and depots it names.
+
+    A list, or type ``cal_steps``, is a chain. ``constant``: value. ``array_data_parameter``: the column ``parameter`` of the array table. ``flatfield`` and
+    ``cal_table``: the column cal of a table, of its stable detectors only with ``fiducial``. ``depot_cal``: the same from a depot (kind, tag, name). ``abscal``: the
+    value of a band (``on``, the keys of its table). ``column_file``: two columns of a text file, key and value. ``reference``: another step of ``products`` by name.
+    """
+    if isinstance(step, list):
+        return [s for x in step for s in chain_steps(x, products, keys)]
+    kind = step.get("type", "cal_steps")
+    table = lambda t, k: [("table", t, k)]
+    if kind == "cal_steps":
+        return chain_steps(step["cal_steps"], products, keys)
+    if kind == "constant":
+        return [("constant", float(step["value"]), [])]
+    if kind == "array_data_parameter":
+        return table(products["array_data"].select(*keys, F.col(step["parameter"]).cast("double").alias("cal")), keys)
+    if kind in ("flatfield", "cal_table"):
+        t = products[step["table"]]
+        return table((t.where("stable") if step.get("fiducial") else t).select(*keys, "cal"), keys)
+    if kind == "depot_cal":
+        return table(products[step.get("depot", "depot")].read(step.get("kind", "Calibration"), step["tag"], step["name"]).select(*keys, "cal"), keys)
+    if kind == "abscal":
+        return table(products[step["table"]].select(*step["on"], "cal"), step["on"])
+    if kind == "column_file":
+        return table(products[step["table"]].select(F.col(step["columns"][0]).alias(keys[-1]), F.col(step["columns"][1]).cast("double").alias("cal")), keys[-1:])
+    if kind == "reference":
+        return chain_steps(products[step["name"]], products, keys)
+    raise ValueError(f"unknown calibration step {kind}")
+
+
 def calibrated(df: DataFrame, cal: DataFrame, keys: list[str], value: str, missing: float | None = 0.0) -> DataFrame:
     """Streams times their detector's calibration; without one times ``missing``, or as they are if that is None."""
     c = cal.select(*keys, F.col("cal").alias("_c"))

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftline.operators import mapping, pathology, spectral
+from driftline.operators.joins import few_groups, with_groups
 from driftline.plans.signals import KEYS, S, _E, matrix, merged_sql, stream
 from driftline.tables import load
 
@@ -363,6 +364,38 @@ def _(spark, d):
     return got.select(*KEYS, *[(r6(c) + 0.0).alias(c) for c in ("lo", "hi", "speed", "period")], "n_turns", "status")
 
 
+def _marked(spark, d):
+    """Streams with calibration, and every fifth detector as a dark one."""
+    cal = load(spark, d, "array_data").where("det_type = 'tes'").groupBy("det_uid").agg(F.min("optical_sign").alias("cal"))
+    s = with_groups(_short(spark, d), cal, ["det_uid"], few_groups(cal, ["det_uid"]))
+    return s.withColumn("cal", F.coalesce("cal", F.lit(0.0))).withColumn("dark", F.col("det_uid") % 5 == 0).withColumn("light", ~F.col("dark") & (F.col("cal") != 0))
+
+
+_DS = f"{_on_grid('tod_id')}, d0 AS (SELECT tod_id, det_uid, samp // 4 AS i, avg(x) AS x FROM g WHERE samp < n // 4 * 4 GROUP BY 1, 2, 3), d1 AS MATERIALIZED (SELECT *, x - avg(x) OVER (PARTITION BY tod_id, det_uid) AS c FROM d0)"
+
+
+@query("drift_live", f"""WITH {_DS}, k AS (SELECT tod_id, i, avg(c) AS k FROM d1 WHERE det_uid % 5 = 0 GROUP BY 1, 2), f AS (SELECT d1.tod_id, det_uid, coalesce(sum(c * k) / nullif(sum(k * k), 0), 0) AS f FROM d1 LEFT JOIN k ON k.tod_id = d1.tod_id AND k.i = d1.i GROUP BY 1, 2),
+e AS MATERIALIZED (SELECT d1.tod_id, det_uid, d1.i, c - f * coalesce(k, 0) AS c FROM d1 JOIN f USING (tod_id, det_uid) LEFT JOIN k ON k.tod_id = d1.tod_id AND k.i = d1.i), m AS (SELECT tod_id, i, avg(c) AS m FROM e WHERE det_uid % 5 <> 0 GROUP BY 1, 2),
+r AS (SELECT e.tod_id, det_uid, e.i, c, coalesce(m, 0) AS m FROM e LEFT JOIN m ON m.tod_id = e.tod_id AND m.i = e.i), a AS (SELECT tod_id, det_uid, coalesce(sum(c * m) / nullif(sum(m * m), 0), 0) AS gain, sqrt(avg(c * c)) AS norm, sqrt(avg(m * m)) AS s FROM r GROUP BY 1, 2),
+b AS (SELECT r.tod_id, r.det_uid, sqrt(avg(pow(c - gain * m, 2))) AS rest FROM r JOIN a USING (tod_id, det_uid) GROUP BY 1, 2)
+SELECT tod_id, det_uid AS det, round(gain, 5) + 0.0 AS gain, round(CASE WHEN norm > 0 THEN gain * s / norm ELSE 0 END, 5) + 0.0 AS corr, round(norm, 5) AS norm, round(CASE WHEN norm > 0 THEN rest / norm ELSE 0 END, 5) AS drift FROM a JOIN b USING (tod_id, det_uid) WHERE det_uid % 5 <> 0""")
+def _(spark, d):
+    got = pathology.drift_analysis(_marked(spark, d), ["tod_id"], "det_uid", "samp", "x", 4, dark="dark").where("det % 5 <> 0")
+    return got.select("tod_id", "det", *[(F.round(c, 5) + 0.0).alias(c) for c in ("gain", "corr", "norm", "drift")])
+
+
+@query("light_and_dark", f"""WITH {S}, sh AS (SELECT tod_id, det_uid, samp, (x - avg(x) OVER (PARTITION BY tod_id, det_uid)) / 1000 AS y FROM s), cc AS (SELECT det_uid, min(optical_sign) AS cal FROM array_data WHERE det_type = 'tes' GROUP BY 1),
+c AS MATERIALIZED (SELECT sh.*, coalesce(cal, 0.0) AS cal, det_uid % 5 = 0 AS dark, det_uid % 5 <> 0 AND coalesce(cal, 0.0) <> 0 AS light FROM sh LEFT JOIN cc USING (det_uid)), m AS (SELECT tod_id, samp, avg(y * cal) FILTER (light) AS l, avg(y) FILTER (dark) AS k FROM c GROUP BY 1, 2),
+p AS (SELECT tod_id, det_uid, any_value(cal) AS cal, bool_or(light) AS light, bool_or(dark) AS dark, sum(y * cal * l) / nullif(sum(l * l), 0) AS pl, sum(y * k) / nullif(sum(k * k), 0) AS pk FROM c JOIN m USING (tod_id, samp) GROUP BY 1, 2),
+ql AS (SELECT tod_id, max(pl) FILTER (i = n // 2) AS m, 0.741 * (max(pl) FILTER (i = 3 * n // 4) - max(pl) FILTER (i = n // 4)) AS s FROM (SELECT tod_id, pl, row_number() OVER (PARTITION BY tod_id ORDER BY pl) - 1 AS i, count(*) OVER (PARTITION BY tod_id) AS n FROM p WHERE light AND pl IS NOT NULL) GROUP BY 1),
+qk AS (SELECT tod_id, max(pk) FILTER (i = n // 2) AS m, 0.741 * (max(pk) FILTER (i = 3 * n // 4) - max(pk) FILTER (i = n // 4)) AS s FROM (SELECT tod_id, pk, row_number() OVER (PARTITION BY tod_id ORDER BY pk) - 1 AS i, count(*) OVER (PARTITION BY tod_id) AS n FROM p WHERE dark AND pk IS NOT NULL) GROUP BY 1),
+r AS (SELECT p.*, CASE WHEN abs(pl - ql.m) <= 3 * ql.s AND cal <> 0 THEN 'light' WHEN abs(pk - qk.m) <= 3 * qk.s THEN 'dark' ELSE 'none' END AS member FROM p LEFT JOIN ql ON ql.tod_id = p.tod_id LEFT JOIN qk ON qk.tod_id = p.tod_id)
+SELECT tod_id, det_uid, round(pl, 5) + 0.0 AS p_light, round(pk, 5) + 0.0 AS p_dark, member, round(CASE WHEN member = 'light' AND pl <> 0 THEN cal / pl ELSE 0 END, 5) + 0.0 AS recal FROM r""")
+def _(spark, d):
+    got = pathology.light_and_dark(_marked(spark, d), ["tod_id"], "det_uid", "samp", "x", "cal", "light", "dark")
+    return got.select("tod_id", "det_uid", *[(F.round(c, 5) + 0.0).alias(c) for c in ("p_light", "p_dark", "recal")], "member")
+
+
 _TURN = [f"{f}({h} * 2 * pi() * samp / 40)" for h in (1, 2, 3) for f in ("cos", "sin")]
 
 

@@ -125,6 +125,41 @@ def test_rows_get_the_columns_of_their_group(spark, few):
     assert joins.few_groups(rows, ["k"], 3) and not joins.few_groups(rows, ["k"], 2)
 
 
+def test_calibration_steps_of_all_kinds(spark, tmp_path):
+    from driftline.sources.archive import Depot
+
+    t = lambda rows, kind: spark.createDataFrame(rows, kind)
+    depot = Depot(spark, str(tmp_path))
+    depot.write(t([(1, 3.0), (2, float("nan"))], "det_uid int, cal double"), "Calibration", "v1", "1234567890.t")
+    assert depot.check("Calibration", "v1", "1234567890.t") and not depot.check("Calibration", "v1", "9")
+    products = {
+        "array_data": t([(1, -1.0), (2, 1.0)], "det_uid int, optical_sign double"), "ff": t([(1, 2.0, True), (2, 5.0, False)], "det_uid int, cal double, stable boolean"),
+        "depot": depot, "bands": t([("f1", 7.0)], "band string, cal double"), "file": t([(1, "11"), (2, "13")], "a int, b string"), "sub": [{"type": "constant", "value": 0.5}],
+    }
+    df = t([(1, "f1"), (2, "f1"), (1, "f2")], "det_uid int, band string")
+    steps = [{"type": "constant", "value": 10}, {"cal_steps": [{"type": "array_data_parameter", "parameter": "optical_sign"}, {"type": "flatfield", "table": "ff", "fiducial": True}]}, {"type": "depot_cal", "tag": "v1", "name": "1234567890.t"}, {"type": "abscal", "table": "bands", "on": ["band"]}, {"type": "column_file", "table": "file", "columns": ["a", "b"]}, {"type": "reference", "name": "sub"}]
+    got = season.calibration_chain(df, season.chain_steps(steps, products, ["det_uid"])).collect()
+    assert {(r["det_uid"], r["band"]): r["cal"] for r in got} == {(1, "f1"): -10 * 2 * 3 * 7 * 11 * 0.5, (2, "f1"): 0.0, (1, "f2"): 0.0}
+    with pytest.raises(ValueError):
+        season.chain_steps({"type": "other"}, products, ["det_uid"])
+
+
+def test_drift_of_streams_with_temperature_and_block_modes():
+    r = np.random.default_rng(6)
+    n = 400
+    common, temp, hum, local = (np.cumsum(r.normal(size=n)) for _ in range(4))
+    zero = lambda a: a - a.mean(-1, keepdims=True)
+    gains = 1 + 0.1 * np.arange(10)
+    c = np.outer(gains, common) + np.outer(np.arange(12)[:10] * 0.2, temp) + hum
+    c[5:] += local
+    m = zero(np.vstack([c, hum + 0.3 * temp, hum - 0.1 * temp]) + 0.01 * r.normal(size=(12, n)))
+    live, dark = np.arange(12) < 10, np.arange(12) >= 10
+    got = pathology.drift_of(m, live, dark, np.where(np.arange(12) < 5, 0, 1), temp, 2)
+    plain = pathology.drift_of(m, live, dark, np.where(np.arange(12) < 5, 0, 1), temp, 0)
+    assert (got["drift"][:10] < 0.05).all() and (got["drift"][:10] < 0.25 * plain["drift"][:10]).all()
+    assert np.allclose(got["gain"], plain["gain"])
+
+
 def test_fits_are_shifted_to_the_template_first(spark):
     truth = {f"d{i}": (i * 1.0, i * 0.5) for i in range(8)}
     rows = [(o, d, x + dx, y + dy, 2.0, True) for o, (dx, dy) in enumerate([(0, 0), (3, -1), (-2, 4)]) for d, (x, y) in truth.items()]

@@ -49,7 +49,50 @@ def test_sql(spark, duck, name, module):
             assert (a[k] == b[k]).all(), k
 
 
+def peaks(spark, got):
+    """A gaussian of some width within reach of its stream; no noise, no signal-to-noise."""
+    assert len(got) and (got["sigma"] >= 0).all() and (got["snr"] >= 0).all() and np.isfinite(got["height"]).all()
+    assert not got.duplicated(["tod_id", "det_uid"]).any()
+
+
+def splined(spark, got):
+    """Readings within the quantiles stay as they are."""
+    s = import_module("driftline.plans.signals").stream(spark, DATA).toPandas().merge(got, on=["tod_id", "det_uid", "samp"], suffixes=("", "_new"))
+    q = s.groupby(["tod_id", "det_uid"])["x"].quantile([0.05, 0.95]).unstack()
+    inside = s.join(q, on=["tod_id", "det_uid"])
+    inside = inside[(inside["x"] > inside[0.05]) & (inside["x"] < inside[0.95])]
+    assert len(inside) > 1000 and np.allclose(inside["x"], inside["x_new"], atol=1e-3)
+
+
+def modes(spark, got):
+    """Shares of the variance fall from mode to mode and are one at most in all; weights are unit vectors."""
+    first = got.groupby(["tod_id", "mode"])["share"].first().unstack()
+    assert (first.sum(axis=1) <= 1 + 1e-6).all() and (first.fillna(0).diff(axis=1).iloc[:, 1:] <= 1e-9).all().all()
+    assert np.allclose((got["weight"] ** 2).groupby([got["tod_id"], got["mode"]]).sum(), 1)
+
+
+def without(spark, got):
+    """Taking modes off leaves less than there was."""
+    before = import_module("driftline.plans.skymaps")._short(spark, DATA).toPandas()
+    assert len(got) >= len(before) and (got["x"] ** 2).sum() < (before["x"] ** 2).sum()
+
+
+def drifts(spark, got):
+    assert len(got) and got["corr"].abs().max() <= 1 + 1e-9 and got["drift"].between(0, 1 + 1e-9).all()
+
+
+def solved(spark, got):
+    """The map's mean is that of no signal; every pixel was hit."""
+    assert len(got) and (got["hits"] > 0).all() and abs(got["x"].mean()) < 1e-6
+
+
+CHECKS = {"fit_peaks": peaks, "outliers_splined": splined, "principal_modes": modes, "without_modes": without, "drift_tests": drifts, "map_solved": solved}
+
+
+def test_every_query_without_sql_has_a_check():
+    assert {n for n, _ in REST} == set(CHECKS)
+
+
 @pytest.mark.parametrize("name,module", REST)
-def test_runs(spark, name, module):
-    got = import_module(f"driftline.plans.{module}").QUERIES[name](spark, DATA)
-    assert got.columns and got.count() >= 0
+def test_properties(spark, name, module):
+    CHECKS[name](spark, import_module(f"driftline.plans.{module}").QUERIES[name](spark, DATA).toPandas())
