@@ -132,6 +132,39 @@ def biquad_gain(f: Column, rate: float, b: tuple[float, float, float, float]) ->
     return stage(b[0], b[1]) * stage(b[2], b[3])
 
 
+def half_power(rate: float, b: tuple[float, float, float, float]) -> float:
+    """Frequency at which the power of the two-stage filter has fallen to a half, between 0 and half of the rate (that, if it doesn't)."""
+
+    def gain(f: float) -> float:
+        z = complex(math.cos(2 * math.pi * f / rate), -math.sin(2 * math.pi * f / rate))
+        stage = lambda p, q: (1 + z) ** 2 / (1 - p * z + q * z * z) * (1 - p + q) / 4
+        return abs(stage(b[0], b[1]) * stage(b[2], b[3]))
+
+    lo, hi = 0.0, rate / 2
+    for _ in range(60):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if gain(mid) > 0.5**0.5 else (lo, mid)
+    return hi
+
+
+# fixed values: of the sub-observer latitude in degrees, slope and constant by year, cosine and sine amplitudes, change and constant of
+# their angular rate by year; reference time in unix seconds; squared eccentricity term
+DISC = {
+    "uranus": (3.88233016e00, 4.81513918e01, -2.54042514e00, -1.20158753e00, -2.46918964e-04, 6.21477912e00, 1577836800, 0.047481307441877396),
+    "jupiter": (2.21912058e-02, -7.21533904e-02, -2.11716337e00, 2.79381276e00, 1.40789074e-03, 5.36641642e-01, 1577836800, 0.1435630105925818),
+    "saturn": (1.80574507e00, -8.90907531e00, 3.67589879e01, -2.85961149e01, 1.55770490e-03, 1.65458760e-01, 1577836800, 0.22899679859188238),
+}
+
+
+def disc_correction(ctime: Column, planet: str) -> Column:
+    """Factor of a planet's solid angle for the tilt of its flattened disc; null outside the years 2013 to 2029, for which the model was made."""
+    slope, constant, c, s, bend, turn, start, flat = DISC[planet]
+    t = (ctime - start) / (86400 * 365.24)
+    angle = (bend * t + turn) * t
+    lat = F.radians(t * slope + constant + c * F.cos(angle) + s * F.sin(angle))
+    return F.when(ctime.between(1356998400, 1893456000), 1 / F.sqrt(1 + F.sin(lat) ** 2 * flat))
+
+
 def sine2_taper(i: Column, n: Column, edge: int) -> Column:
     """Weight of sample i of n: a squared sine over the first and last ``edge`` samples, 1 between."""
     d = F.least(i, n - 1 - i)

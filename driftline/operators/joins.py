@@ -85,6 +85,24 @@ def nearest_within(queries: DataFrame, readings: DataFrame, keys: list[str], tim
     return got.withColumn(value, F.when(F.abs("dt") <= tolerance, v).otherwise(F.lit(missing)))
 
 
+def seek(queries: DataFrame, readings: DataFrame, keys: list[str], time: str, block: float = 86400.0) -> DataFrame:
+    """``queries`` with ``at``, the time of the first reading of their keys at or after theirs; null if there is none.
+
+    Time is cut into blocks of a key; a block has its own readings and the first one of those after it. Null times and keys find nothing.
+    """
+    blk = lambda c: F.floor(c / F.lit(block))
+    t = F.col(time).cast("double")
+    r = readings.where(F.col(time).isNotNull()).select(*keys, t.alias("_t"), blk(t).alias("_b")).distinct()
+    q = queries.withColumn("_t", t).withColumn("_b", blk(t))
+    first = r.groupBy(*keys, "_b").agg(F.min("_t").alias("_first"))
+    spots = first.unionByName(q.select(*keys, "_b").distinct(), allowMissingColumns=True).groupBy(*keys, "_b").agg(F.max("_first").alias("_first"))
+    later = F.first("_first", True).over(Window.partitionBy(*keys).orderBy("_b").rowsBetween(1, Window.unboundedFollowing))
+    lent = spots.select(*keys, later.alias("_t"), "_b").where("_t is not null")
+    both = q.withColumn("_q", F.lit(True)).unionByName(r.unionByName(lent).withColumn("_q", F.lit(False)), allowMissingColumns=True)
+    ahead = Window.partitionBy(*keys, "_b").orderBy("_t").rangeBetween(0, Window.unboundedFollowing)
+    return both.withColumn("at", F.first(F.when(~F.col("_q"), F.col("_t")), True).over(ahead)).where("_q").withColumn("at", F.when(F.col("_t").isNotNull(), F.col("at"))).select(*queries.columns, "at")
+
+
 def interval_lookup(df: DataFrame, intervals: DataFrame, time: str, columns: list[str], on: list[str] | None = None) -> DataFrame:
     """``df`` with columns of the first interval (by ``ord``) with t0 <= time < t1; nulls if there is none.
 

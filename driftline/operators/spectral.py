@@ -471,6 +471,13 @@ def biquad_response(f: np.ndarray, rate: float, b: tuple[float, float, float, fl
     return stage(b[0], b[1]) * stage(b[2], b[3])
 
 
+def fir_filtered(x: np.ndarray, rate: float, b: tuple[float, float, float, float], taps: int = 128) -> np.ndarray:
+    """x through the filter's impulse response of ``taps`` samples scaled to gain 1 at 0; before its first value x is taken to be at rest."""
+    h = np.fft.irfft(biquad_response(np.fft.rfftfreq(1 << 14, 1 / rate), rate, b), 1 << 14)[:taps]
+    wide = np.concatenate([np.full(taps - 1, x[0]), x])
+    return np.convolve(wide, h / h.sum(), "valid")
+
+
 def biquad_filter(x: np.ndarray, b: tuple[float, float, float, float]) -> np.ndarray:
     """x through the same filter in time, starting from its first value at rest.
 

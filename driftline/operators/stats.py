@@ -115,6 +115,11 @@ def bin_sums(df: DataFrame, keys: list[str], index: Column, value: Column) -> Da
     return df.withColumn("bin", index).where("bin >= 0").groupBy(*keys, "bin").agg(F.sum(value).alias("total"), F.count(value).alias("n"))
 
 
+def complex_bin_sums(df: DataFrame, keys: list[str], index: Column, re: Column, im: Column) -> DataFrame:
+    """Sums of the real and imaginary parts and count per bin; rows with a negative index are left out."""
+    return df.withColumn("bin", index).where("bin >= 0").groupBy(*keys, "bin").agg(F.sum(re).alias("re"), F.sum(im).alias("im"), F.count(re).alias("n"))
+
+
 def log_bin(f: Column, lo: float, hi: float, bins: int) -> Column:
     """Number of the bin of equal ratios between lo and hi that holds f; -1 outside."""
     r = math.log10(hi / lo) / bins

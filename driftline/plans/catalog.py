@@ -330,3 +330,40 @@ def _(spark, d):
 @query("node_counts", f"SELECT a.pa, a.det_uid, count(b.det_uid) AS n FROM {_DETS} a LEFT JOIN {_DETS} b ON a.pa = b.pa AND pow(a.x - b.x, 2) + pow(a.y - b.y, 2) < 0.16 GROUP BY 1, 2 HAVING count(b.det_uid) < 6")
 def _(spark, d):
     return joins.within_distance(_dets(spark, d), ["pa"], "det_uid", "x", "y", 0.0, 0.4).where("n < 6")
+
+
+_SEEK = r"regexp_replace(lower(regexp_replace(regexp_replace({0}, '^\s+|\s+$', '', 'g'), '^.*[/\\]', '')), '\.zip$', '')"
+
+
+def _lat(planet: str) -> str:
+    """SQL of the sub-observer latitude at t."""
+    m, b, c, s, w1, w0, t0, _ = physics.DISC[planet]
+    y = f"((t - {t0}) / (86400 * 365.24))"
+    return f"{y} * {m!r} + {b!r} + {c!r} * cos(({w1!r} * {y} + {w0!r}) * {y}) + {s!r} * sin(({w1!r} * {y} + {w0!r}) * {y})"
+
+
+@query("files_overlapping", """WITH f AS (SELECT DISTINCT basename, ctime, 'weather_' || ctime || '_' || (ctime + 900) || '.dat' AS name FROM tod_info WHERE ctime IS NOT NULL), m AS (SELECT avg(ctime) AS t FROM f)
+SELECT name, ctime AS start, ctime + 900 AS stop FROM (SELECT DISTINCT name, ctime FROM f) WHERE ctime < 1107800000 AND ctime + 900 > 1107000000""")
+def _(spark, d):
+    t = load(spark, d, "tod_info").where("ctime is not null").select(F.concat(F.lit("weather_"), "ctime", F.lit("_"), F.col("ctime") + 900, F.lit(".dat")).alias("name")).distinct()
+    return joins.files_overlapping(t, 1107000000, 1107800000).select("name", "start", "stop")
+
+
+@query("seek_ctime", f"""WITH f AS (SELECT DISTINCT fit_id, {_SEEK.format('tod_name')} AS k, ctime FROM fit_planet_cal WHERE tod_name IS NOT NULL AND ctime IS NOT NULL), r AS (SELECT DISTINCT {_SEEK.format('tod_name')} AS k, ctime AS t FROM recal_model WHERE tod_name IS NOT NULL AND ctime IS NOT NULL)
+SELECT fit_id, ctime, (SELECT min(t) FROM r WHERE r.k = f.k AND r.t >= f.ctime) AS at FROM f""".replace(" AS at FROM f", ' AS "at" FROM f'))
+def _(spark, d):
+    k = lambda t: load(spark, d, t).where("tod_name is not null and ctime is not null").withColumn("k", tod_key(F.col("tod_name")))
+    return joins.seek(k("fit_planet_cal").select("fit_id", "k", "ctime").distinct(), k("recal_model"), ["k"], "ctime", block=600.0).select("fit_id", "ctime", "at")
+
+
+@query("disc_corrections", f"""WITH t AS (SELECT DISTINCT basename, ctime + 300000000 AS t FROM tod_info WHERE ctime IS NOT NULL) SELECT basename, {', '.join(f"round(CASE WHEN t BETWEEN 1356998400 AND 1893456000 THEN 1 / sqrt(1 + pow(sin(radians({_lat(p)})), 2) * {v[7]!r}) END, 9) AS {p}" for p, v in physics.DISC.items())} FROM t""")
+def _(spark, d):
+    t = load(spark, d, "tod_info").where("ctime is not null").select("basename", (F.col("ctime") + 300000000).alias("t")).distinct()
+    return t.select("basename", *[F.round(physics.disc_correction(F.col("t"), p), 9).alias(p) for p in physics.DISC])
+
+
+@query("exploded_bits", "SELECT DISTINCT datafile_id AS w, CAST((1 << CAST(datafile_id % 8 AS INTEGER)) | CASE WHEN datafile_id % 11 < 8 THEN 1 << CAST(datafile_id % 11 AS INTEGER) ELSE 0 END AS INTEGER) AS b0, CAST(CASE WHEN datafile_id % 11 >= 8 THEN 1 << CAST(datafile_id % 11 - 8 AS INTEGER) ELSE 0 END AS INTEGER) AS b1 FROM tod_info WHERE datafile_id IS NOT NULL")
+def _(spark, d):
+    t = load(spark, d, "tod_info").where("datafile_id is not null").select(F.col("datafile_id").alias("w")).distinct()
+    b = text.explode_bits(F.array((F.col("w") % 8).cast("int"), (F.col("w") % 11).cast("int")), 2)
+    return t.select("w", b[0].cast("int").alias("b0"), b[1].cast("int").alias("b1"))

@@ -512,6 +512,14 @@ def _(spark, d):
     return ordered.outliers_in_column(p, ["det_uid"], "gain", 0.3).groupBy("det_uid").agg(F.count_if("outlier").alias("n"))
 
 
+@query("phasors_added", "WITH p AS (SELECT DISTINCT tod_id, det_uid, gain, rms FROM pathologies WHERE isfinite(gain) AND isfinite(rms)), s AS (SELECT *, gain * cos(det_uid) + rms * cos(2.0 * det_uid) AS c, gain * sin(det_uid) + rms * sin(2.0 * det_uid) AS s FROM p) SELECT tod_id, det_uid, round(sqrt(c * c + s * s), 5) AS amp, round(cos(atan2(s, c)), 5) + 0.0 AS cos FROM s WHERE c * c + s * s > 1e-6")
+def _(spark, d):
+    fine = " and ".join(f"{c} is not null and not isnan({c}) and abs({c}) < double('inf')" for c in ("gain", "rms"))
+    p = load(spark, d, "pathologies").where(fine).select("tod_id", "det_uid", "gain", "rms").distinct()
+    amp, phase = ordered.add_phasors(F.col("gain"), F.col("det_uid").cast("double"), F.col("rms"), 2.0 * F.col("det_uid"))
+    return p.withColumn("amp", amp).withColumn("phase", phase).where("amp * amp > 1e-6").select("tod_id", "det_uid", F.round("amp", 5).alias("amp"), (F.round(F.cos("phase"), 5) + 0.0).alias("cos"))
+
+
 @query("fill_blanks", "WITH p AS (SELECT DISTINCT tod_id, det_uid, gain FROM pathologies WHERE isfinite(gain)), m AS (SELECT det_uid, median(CASE WHEN gain > 0 THEN gain END) AS m FROM p GROUP BY 1) SELECT tod_id, det_uid, round(CASE WHEN gain > 0 THEN gain ELSE m END, 6) AS gain FROM p JOIN m USING (det_uid)")
 def _(spark, d):
     p = load(spark, d, "pathologies").where("gain is not null and not isnan(gain) and abs(gain) < double('inf')").select("tod_id", "det_uid", "gain").distinct()

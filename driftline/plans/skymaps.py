@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.operators import mapping, pathology, spectral
+from driftline.operators import mapping, pathology, spectral, stats
 from driftline.operators.joins import few_groups, with_groups
 from driftline.plans.signals import KEYS, S, _E, matrix, merged_sql, stream
 from driftline.tables import load
@@ -236,6 +236,14 @@ def _(spark, d):
     return spectral.fourier(matrix(spark, d), ["det"], "samp", "x").select("det", "k", (F.round("re", 5) + 0.0).alias("re"), (F.round("im", 5) + 0.0).alias("im"))
 
 
+@query("spectrum_bins", f"""WITH {_E}, k AS (SELECT unnest(range(33)) AS k), f AS (SELECT det, k, sum(x * cos(2 * pi() * k * samp / 64)) AS re, -sum(x * sin(2 * pi() * k * samp / 64)) AS im FROM e, k GROUP BY 1, 2)
+SELECT det, CAST(k // 8 AS INTEGER) AS bin, round(sum(re), 5) + 0.0 AS re, round(sum(im), 5) + 0.0 AS im, count(*) AS n FROM f GROUP BY det, k // 8""")
+def _(spark, d):
+    f = spectral.fourier(matrix(spark, d), ["det"], "samp", "x")
+    got = stats.complex_bin_sums(f, ["det"], F.floor(F.col("k") / 8).cast("int"), F.col("re"), F.col("im"))
+    return got.select("det", "bin", (F.round("re", 5) + 0.0).alias("re"), (F.round("im", 5) + 0.0).alias("im"), "n")
+
+
 @query("fourier_back", f"WITH {_E} SELECT det, CAST(samp AS INTEGER) AS samp, round(x, 6) + 0.0 AS x FROM e")
 def _(spark, d):
     m = matrix(spark, d)

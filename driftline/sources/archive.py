@@ -193,6 +193,23 @@ def read_channels(spark: SparkSession, path: str, channels: list[str] | None = N
     return (r.option("stop", str(stop)) if stop is not None else r).load()
 
 
+def read_resampled(spark: SparkSession, path: str, channels: list[str], spf: int, start: int = 0, stop: int | None = None) -> DataFrame:
+    """(channel, samp, value): channels on the grid of ``spf`` samples a frame, each sample that of the channel's own rate in force then.
+
+    A channel is read as a whole; ``start`` and ``stop`` are samples of the new grid.
+    """
+    from functools import reduce
+
+    from driftline.operators.joins import resample_join
+
+    df = read_channels(spark, path, channels)
+    rates = {r["channel"]: r["spf"] for r in df.select("channel", "spf").distinct().collect()}  # a row for each channel asked for
+    one = [resample_join(df.where(F.col("channel") == c).select("channel", F.col("samp").cast("int").alias("samp"), "value"), ["channel"], "samp", own, spf) for c, own in rates.items()]
+    got = reduce(DataFrame.unionByName, one) if one else df.select("channel", F.col("samp").cast("int").alias("samp"), "value")
+    got = got.where((F.col("samp") >= start) & (F.col("samp") < (stop if stop is not None else 2**31 - 1)))
+    return got.select("channel", (F.col("samp") - start).cast("int").alias("samp"), "value")
+
+
 def frames_of(df: DataFrame) -> DataFrame:
     """(channel, n_frames, spf, n_bonus): whole frames and the samples beyond them."""
     n = F.max("samp") + 1

@@ -140,6 +140,28 @@ def parse_config(text: str) -> dict:
     return out
 
 
+def substituted(tree, names: dict | None = None, depth: int = 20):
+    """A tree of dictionaries, lists and texts with ``{name}`` replaced by the text or number of that name at its top, until nothing is left to replace.
+
+    Names that aren't there stay; a name that leads back to itself is an error.
+    """
+    import re
+
+    names = tree if names is None and isinstance(tree, dict) else names or {}
+
+    def one(text: str, left: int) -> str:
+        if not left:
+            raise ValueError(f"substitution without end: {text}")
+        new = re.sub(r"\{(\w+)\}", lambda m: str(names[m[1]]) if isinstance(names.get(m[1]), (str, int, float)) else m[0], text)
+        return new if new == text else one(new, left - 1)
+
+    if isinstance(tree, dict):
+        return {k: substituted(v, names, depth) for k, v in tree.items()}
+    if isinstance(tree, (list, tuple)):
+        return type(tree)(substituted(v, names, depth) for v in tree)
+    return one(tree, depth) if isinstance(tree, str) else tree
+
+
 def get_deep(tree: dict, path: str, default=None):
     """Value at a dotted path."""
     for k in path.split("."):

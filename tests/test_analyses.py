@@ -77,6 +77,38 @@ def test_biquad_equals_the_recurrence():
         assert np.allclose(spectral.biquad_filter(x[:n], b), want[:n], rtol=1e-10)
 
 
+def test_filter_taps_and_half_power():
+    from driftline.functions import physics
+
+    b, r = (1.2, 0.5, 1.1, 0.4), np.random.default_rng(5)
+    x = 10 + r.normal(size=600)
+    assert np.allclose(spectral.fir_filtered(x, 400.0, b), spectral.biquad_filter(x, b), atol=1e-6)
+    f = physics.half_power(400.0, b)
+    assert abs(spectral.biquad_response(np.array([f]), 400.0, b)[0]) ** 2 == pytest.approx(0.5)
+
+
+def test_names_are_substituted_until_nothing_is_left():
+    from driftline.sources.text import substituted
+
+    tree = {"root": "/data", "year": 2015, "path": "{root}/{year}", "sub": {"file": "{path}/x.txt", "n": [1, "{year}", "{none}"]}}
+    assert substituted(tree) == {"root": "/data", "year": 2015, "path": "/data/2015", "sub": {"file": "/data/2015/x.txt", "n": [1, "2015", "{none}"]}}
+    with pytest.raises(ValueError):
+        substituted({"a": "{b}x", "b": "{a}"})
+
+
+def test_channels_are_read_on_the_grid_of_another_rate(spark, tmp_path):
+    from driftline.sources.archive import read_resampled
+
+    (tmp_path / "format").write_text("fast RAW d 8\nslow RAW s 2\n")
+    np.arange(32, dtype="<f8").tofile(tmp_path / "fast")
+    np.arange(8, dtype="<i2").tofile(tmp_path / "slow")
+    got = read_resampled(spark, str(tmp_path), ["fast", "slow"], 4).collect()
+    by = {c: [r["value"] for r in sorted(got, key=lambda r: r["samp"]) if r["channel"] == c] for c in ("fast", "slow")}
+    assert by["fast"] == [2.0 * i for i in range(16)] and by["slow"] == [i // 2 for i in range(16)]
+    part = read_resampled(spark, str(tmp_path), ["slow"], 4, 3, 6).orderBy("samp").collect()
+    assert [(r["samp"], r["value"]) for r in part] == [(0, 1.0), (1, 2.0), (2, 2.0)]
+
+
 def test_modes_are_appended_orthonormal():
     r = np.random.default_rng(3)
     modes = np.zeros((0, 50))
