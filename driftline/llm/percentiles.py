@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftline.operators.joins import bounded
-from driftline.session import shipped
+from driftline.session import checkpointed, shipped
 
 SECTION = 128
 SECTIONS = 3
@@ -250,7 +250,8 @@ def _salted(rows: DataFrame, keys: list[str], spread: list[str], most: int) -> D
     are joined by shuffle in 64 parts.
     """
     many = rows.groupBy(*keys).agg(F.count("*").alias("_rows")).where(F.col("_rows") > most)
-    many, few = bounded(many.select(*[F.col(k).alias(f"_h{i}") for i, k in enumerate(keys)], F.ceil(F.col("_rows") / most).alias("_parts")))
+    many = checkpointed(many.select(*[F.col(k).alias(f"_h{i}") for i, k in enumerate(keys)], F.ceil(F.col("_rows") / most).alias("_parts")))  # counted once
+    many, few = bounded(many)
     part = F.lit(0) if few else F.pmod(F.xxhash64(*spread, F.lit(1)), F.lit(64))
     many = many.withColumn("_part", F.lit(0) if few else F.explode(F.sequence(F.lit(0), F.lit(63))))
     same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_h{i}")) for i, k in enumerate(keys)])
