@@ -282,7 +282,8 @@ def sketch_columns(df: DataFrame, keys: list[str], columns: list[str], k: int =
     rows = _salted(rows, own, marks or columns, most).repartition(*own, "_salt")
     if once:
         rows = rows.dropDuplicates([*own, "_salt", *marks])
-    part = rows.select(*own, *columns).mapInArrow(lambda it: _partial(it, k, schema, 1000, width), out)
+    # a sketch depends on the order of its values; this one is the same in every run
+    part = rows.sortWithinPartitions(*own, *(marks or columns)).select(*own, *columns).mapInArrow(lambda it: _partial(it, k, schema, 1000, width), out)
     names = [f"key_{c}" if c in ("metric", "n_values", "sketch") else c for c in keys]
     return merge_sketches(part.select(*[F.col(o).alias(c) for o, c in zip(own, names)], "metric", "n_values", "sketch"), names)
 
@@ -293,7 +294,7 @@ def merge_sketches(sketches: DataFrame, keys: list[str]) -> DataFrame:
     src = sketches.select(*keys, "metric", "n_values", "sketch")
     schema = _arrow(src.schema)
     own = [*keys, "metric"]
-    return src.repartition(*own).sortWithinPartitions(*own).mapInArrow(lambda it: _combine(it, schema), src.schema)
+    return src.repartition(*own).sortWithinPartitions(*own, "n_values", "sketch").mapInArrow(lambda it: _combine(it, schema), src.schema)
 
 
 def sketch_items(sketches: DataFrame) -> DataFrame:

@@ -119,6 +119,8 @@ def test_large_groups_are_split_and_repeats_count_once(spark):
         s = percentiles.sketch_columns(df, ["pa"], ["value"], once=[F.col("i")], most=most)
         got = percentiles.read_percentiles(s, qs)
         assert {r["pa"]: r["n_values"] for r in got.collect()} == {"hot": 40_000, "cold": 50}
+        again = percentiles.sketch_columns(df.repartition(9), ["pa"], ["value"], once=[F.col("i")], most=most)
+        assert {(r["pa"], bytes(r["sketch"])) for r in again.collect()} == {(r["pa"], bytes(r["sketch"])) for r in s.collect()}
         within = percentiles.ranks_within_bounds(got, df.dropDuplicates(["pa", "i"]).select("pa", "value"), ["pa"], qs).collect()
         assert len(within) == 6 and all(x["within"] for x in within)
         items = percentiles.sketch_items(s)
