@@ -94,6 +94,25 @@ class Sketch:
         self.k, self.n = k, 0
         self.plain: np.ndarray | None = np.zeros(0)
         self.low = self.high = None
+        self.waiting: list[np.ndarray] = []
+        self.n_waiting = 0
+
+    def take(self, values: np.ndarray) -> Sketch:
+        """As ``add``, in whole portions of what a compactor holds, so that it doesn't matter in which pieces values come; ``settle`` ends it."""
+        room = 2 * self.k * SECTIONS
+        self.waiting.append(values)
+        self.n_waiting += len(values)
+        if self.n_waiting >= room:
+            every = np.concatenate(self.waiting)
+            whole = len(every) // room * room
+            for at in range(0, whole, room):
+                self.add(every[at : at + room])
+            self.waiting, self.n_waiting = [every[whole:]], len(every) - whole
+        return self
+
+    def settle(self) -> Sketch:
+        rest, self.waiting, self.n_waiting = self.waiting, [], 0
+        return self.add(np.concatenate(rest)) if rest else self
 
     def add(self, values: np.ndarray) -> Sketch:
         room = 2 * self.k * SECTIONS
@@ -181,12 +200,13 @@ def _runs(new: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _partial(batches: Iterator[pa.RecordBatch], k: int, schema: pa.Schema, most: int, width: int) -> Iterator[pa.RecordBatch]:
-    """Sketches of the (keys..., metric) of a partition; keys in the first ``width`` columns, metrics in the others."""
+    """Sketches of the (keys..., metric) of a partition, whose rows come group by group; keys in the first ``width`` columns, metrics in the others."""
     held: dict[tuple, Sketch] = {}
 
-    def flush() -> pa.RecordBatch:
-        rows = [(*key, s.n, s.pack()) for key, s in held.items()]
-        held.clear()
+    def flush(last: tuple | None = None) -> pa.RecordBatch:
+        """Sketches of all groups, but for ``last``, whose rows still come."""
+        done = [key for key in held if key[:-1] != last]
+        rows = [(*key, s.n, s.pack()) for key, s in ((key, held.pop(key).settle()) for key in done)]
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
     for b in batches:
@@ -208,9 +228,10 @@ def _partial(batches: Iterator[pa.RecordBatch], k: int, schema: pa.Schema, most:
                 x = v[a:e]
                 x = x[np.isfinite(x)]
                 if len(x):
-                    held.setdefault((*key, m), Sketch(k)).add(x)
-        if len(held) > most:
-            yield flush()
+                    held.setdefault((*key, m), Sketch(k)).take(x)
+        last = tuple(t[c][t.num_rows - 1].as_py() for c in names[:width])
+        if len(held) > most and any(key[:-1] != last for key in held):
+            yield flush(last)
     if held:
         yield flush()
 

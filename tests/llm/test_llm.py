@@ -85,6 +85,16 @@ def test_sketch_error_stays_below_its_bound(shape):
         assert off <= s.rank_error(q) + 1 / n, (shape, q, off)
 
 
+def test_pieces_of_values_make_the_same_sketch():
+    v = np.exp(np.random.default_rng(2).normal(size=50_000))
+    whole = percentiles.Sketch().take(v).settle().pack()
+    for size in (1, 700, 10_001):
+        s = percentiles.Sketch()
+        for a in range(0, len(v), size):
+            s.take(v[a : a + size])
+        assert s.settle().pack() == whole and s.n == len(v)
+
+
 def test_small_sketch_is_exact_and_merges():
     a, b = percentiles.Sketch().add(np.array([3.0, 1.0])), percentiles.Sketch().add(np.array([2.0]))
     assert a.merge(b).quantiles([0.0, 0.34, 0.5, 1.0]) == [1.0, 2.0, 2.0, 3.0] and a.rank_error(0.5) == 0
