@@ -45,7 +45,7 @@ BUCKETS, LETTERS = 1 << 20, 1 << 16
 NEITHER, KEPT = -1, 200  # no swap; tokens of up to so many letters are remembered
 LEARNT = (len(ONE_BYTE) + len(MANY_BYTES) - 1) ** 2 + 1  # number of a source's own table, after the swaps and lost letters
 SHARED, SHORT = 20_000, 200  # so many tokens, of up to so many letters, are worked out for all tasks
-SOURCES = 10_000  # with more sources their weights are joined to the documents instead of broadcast
+SOURCES = 10_000  # with more sources their weights and tables are joined to the documents instead of broadcast
 SEEN = 5  # a letter stands for another by the mapping if it did so often and at least four times in five
 LETTER, PAIRS = -1_000_000, -3_000_000  # places of letters and of the mapping among the counts
 SINGLE = 6  # passes over a text that mend its best stretch alone
@@ -263,7 +263,7 @@ class Reader:
     """Finds and restores garbled stretches; keeps what it found out about tokens."""
 
     def __init__(self, model: Model):
-        self.m, self.lm, self.known, self.weights = model, Bigrams(model.counts), {}, {}
+        self.m, self.lm, self.known, self.weights, self.tables = model, Bigrams(model.counts), {}, {}, model.tables
         if model.share is None:  # before anything is known: most text is written in UTF-8
             self.base = {i: -5.0 if w == "utf-8" else -8.0 for i, (_, w) in enumerate(swaps())}
         else:
@@ -288,7 +288,7 @@ class Reader:
 
     def gains(self, token: str, source: str = "") -> tuple[dict[int, tuple[float, str]], list[tuple[int, float]]]:
         """What each swap gains for the token, with the reading; and those that gain anything."""
-        table = self.m.tables.get(source)
+        table = self.tables.get(source)
         kept = self.known.get((token, source) if table else token)
         if kept is None:
             packed = self.m.shared.get(token)
@@ -581,7 +581,10 @@ def _find_map(batches: Iterator[pa.RecordBatch], model, least: float, names: lis
     label = [f"{w} read as {r}" for r, w in swaps()] + ["letters lost", "learnt table"]
     for b in batches:
         rows = []
+        tables = b.column("_table").to_pylist() if "_table" in b.schema.names else None
         for i, (source, text, own) in enumerate(_rows(b, model.value)):
+            if tables:
+                reader.tables = {source: dict(tables[i] or [])}
             odds, used, now = reader.restore(text, source, least, own)
             if used:
                 rows.append((i, odds, [label[z] for z in used], now))
@@ -672,6 +675,13 @@ def _odd_letters(kept: DataFrame, ratio: float, least: int, letters: int) -> Dat
 def _pair_map(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Bigrams (source, a, b, n) of the tokens that hold one of the odd letters of their source."""
     seen: Counter = Counter()
+    kinds = {"source": pa.string(), "a": pa.int64(), "b": pa.int64(), "n": pa.float64()}
+
+    def counted() -> pa.RecordBatch:
+        rows = [(*k, float(n)) for k, n in seen.items()]
+        seen.clear()
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 4, kinds.values())], names=list(kinds))
+
     for b in batches:
         for source, text, odd in zip(*(c.to_pylist() for c in b.columns)):
             odd = set(odd)
@@ -680,20 +690,21 @@ def _pair_map(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if odd.intersection(c):
                     c = [48 if 48 <= x <= 57 else x for x in c]  # a blank such as U+00A0 may be a cipher letter
                     seen.update((source, x, y) for x, y in zip(c[:-1], c[1:]))
-    rows = [(*k, float(n)) for k, n in seen.items()]
-    kinds = {"source": pa.string(), "a": pa.int64(), "b": pa.int64(), "n": pa.float64()}
-    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 4, kinds.values())], names=list(kinds))
+            if len(seen) > 500_000:
+                yield counted()
+    yield counted()
 
 
-def learnt_tables(foreign: DataFrame, kept: DataFrame, model, ratio: float = 50.0, least: int = 30, letters: int = 6) -> tuple[dict[str, dict[int, int]], np.ndarray]:
+def learnt_tables(foreign: DataFrame, kept: DataFrame, model, ratio: float = 50.0, least: int = 30, letters: int = 6) -> tuple[dict[str, dict[int, int]], DataFrame | None, np.ndarray]:
     """Tables of the sources that hold letters of an unlisted page, and what bigram counts change by when the tables are applied.
 
-    ``kept``: (source, c, n), the letters that stay once listed pages are undone. The cipher's are all letters that occur ``least`` times in tokens with odd ones. At most ``SOURCES`` sources can have a table.
+    ``kept``: (source, c, n), the letters that stay once listed pages are undone. The cipher's are all letters that occur ``least`` times in tokens with odd ones.
+    If more than ``SOURCES`` sources have odd letters, their tables don't come to the driver but are rows (_source, _table).
     """
     change = np.zeros(BUCKETS + LETTERS)
-    odd, few = bounded(_odd_letters(kept, ratio, least, letters), SOURCES)
-    if not few or not odd.head(1):
-        return {}, change
+    odd, few = bounded(checkpointed(_odd_letters(kept, ratio, least, letters)), SOURCES)
+    if not odd.head(1):
+        return {}, None, change
     docs = foreign.select("_source", "_text").join(odd, F.col("_source") == F.col("source"))
     pairs = docs.select("source", "_text", "odd").mapInArrow(_pair_map, "source string, a long, b long, n double").groupBy("source", "a", "b").agg(F.sum("n").alias("n"))
 
@@ -717,10 +728,11 @@ def learnt_tables(foreign: DataFrame, kept: DataFrame, model, ratio: float = 50.
         return pd.DataFrame(rows, columns=["source", "c", "to", "n"])
 
     got = pairs.groupBy("source").applyInPandas(one, "source string, c long, to long, n double")  # a group has at most the square of its letters
-    got = got.groupBy("source", "c", "to").agg(F.sum("n").alias("n")).toPandas()
-    moved = got[got.to < 0]
+    got = checkpointed(got.groupBy("source", "c", "to").agg(F.sum("n").alias("n")))
+    moved = got.where("to < 0").toPandas()
     change[moved.c.to_numpy(np.int64)] += moved.n.to_numpy()
-    return {s: dict(zip(g.c.astype(int).tolist(), g.to.astype(int).tolist())) for s, g in got[got.to >= 0].groupby("source")}, change
+    tables = got.where("to >= 0").groupBy(F.col("source").alias("_source")).agg(F.map_from_entries(F.collect_list(F.struct("c", "to"))).alias("_table"))
+    return ({r["_source"]: r["_table"] for r in tables.collect()}, None, change) if few else ({}, tables, change)
 
 
 def find_garbled(df: DataFrame, doc_id: str, text: str, source: Column | None = None, least: float = 0.0, learn: float = 4.0, settle: float = 0.01, rounds: int = 20) -> DataFrame:
@@ -730,7 +742,7 @@ def find_garbled(df: DataFrame, doc_id: str, text: str, source: Column | None =
     length; rows that repeat an id are judged one by one. ``source`` may be null (a source of its own). A swap is applied where its log odds over
     the text as it is reach ``least`` (``learn`` while learning). EM ends once the documents of the swaps change by less than ``settle`` of all
     garbled ones (the model that has settled is the one applied), or after ``rounds``. What comes to the driver is of fixed size: counts in 2**20 buckets, weights of swaps, what letters stood for, the
-    readings of ``SHARED`` tokens; and the weights of at most ``SOURCES`` sources, those of more are joined to the documents. Empty gives empty.
+    readings of ``SHARED`` tokens; and the weights and learnt tables of at most ``SOURCES`` sources, those of more are joined to the documents. Empty gives empty.
     """
     spark = shipped(df.sparkSession)
     sc = spark.sparkContext
@@ -791,8 +803,10 @@ def find_garbled(df: DataFrame, doc_id: str, text: str, source: Column | None =
     else:
         last, now = model, scored(model)
     kept = step.where(f"k <= {LETTER} and k > {PAIRS}").select("source", (LETTER - F.col("k")).alias("c"), "n")
-    last.tables, change = learnt_tables(foreign, kept, now)
-    if last.tables:
+    last.tables, tables, change = learnt_tables(foreign, kept, now)
+    if tables is not None:
+        docs = docs.join(tables, "_source", "left").select(*docs.columns, "_table")
+    if last.tables or change.any():
         last.counts = last.counts + change
         now = scored(last)
     kind = dict(df.dtypes)[doc_id]

@@ -312,6 +312,26 @@ def test_an_unlisted_page_is_learnt(spark):
     assert any("learnt table" in x["swaps"] for x in got.values())
 
 
+def test_any_number_of_sources_can_have_a_table(spark, monkeypatch):
+    """Two sources with an unlisted page each: their tables are the same whether they are broadcast or joined to the documents."""
+    own = sorted(set("".join(RUSSIAN)) - {" "})
+    back = {s: {ord(c): first + i for i, c in enumerate(own)} for s, first in (("armenian", 0x561), ("georgian", 0x10D0))}
+    r = random.Random(6)
+    say = lambda: " ".join(r.choice(RUSSIAN) for _ in range(4))
+    clean = [(t, "shop") for _, t in corpus(30)] + [(say(), "shop") for _ in range(300)]
+    hidden = [(say(), s) for s in back for _ in range(100)]
+    rows = [(i, t, s) for i, (t, s) in enumerate(clean)] + [(10_000 + i, t.translate(back[s]), s) for i, (t, s) in enumerate(hidden)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    run = lambda: sorted((x["doc_id"], x["swaps"], x["restored"], x["log_odds"]) for x in garbled.find_garbled(df, "doc_id", "text", F.col("source")).collect())
+    few = run()
+    monkeypatch.setattr(garbled, "SOURCES", 1)
+    many = run()
+    assert [x[0] for x in many] == [10_000 + i for i in range(len(hidden))] and all("learnt table" in x[1] for x in many)
+    right = sum(a == b for (t, _), x in zip(hidden, many) for a, b in zip(t, x[2]))
+    assert right >= 0.97 * sum(len(t) for t, _ in hidden), right / sum(len(t) for t, _ in hidden)
+    assert [x[:3] for x in few] == [x[:3] for x in many] and np.allclose([x[3] for x in few], [x[3] for x in many])
+
+
 def test_letters_that_stand_for_others_give_away_short_words(spark):
     """A short word is garbled if its odd letter stands for another nearly everywhere, though it would be too short by itself."""
     rows = [(i, t, "s") for i, (_, t) in enumerate(corpus(100))] + [(10_000 + i, GOOD["tr"].encode("cp1254").decode("cp1252"), "s") for i in range(30)]
