@@ -214,12 +214,19 @@ def find_mode(df: DataFrame, keys: list[str], value: str, rounds: int = 4, width
     return now.select(*keys, F.col("med").alias("mode"))
 
 
+def sum_in_any_order(value: Column, unit: Column, power: int = 1) -> Column:
+    """Sum of powers of values of magnitude ``unit`` (of the group) or so, to 27 decimals of it: the same however the rows are ordered and parted."""
+    share = F.when(unit > 0, value / unit).otherwise(0.0)
+    return F.sum((share**power).cast("decimal(38,27)")).cast("double") * F.first(unit) ** power
+
+
 def combine_fits(df: DataFrame, obs: str, det: str, x: str, y: str, tau: str, ok: Column, radius: float, template: DataFrame | None = None, rounds: int = 3, least: int = 2, least_dets: int = 5) -> DataFrame:
     """(det, x, y, tau, their deviations, n_obs, ok): mean fit of each detector over observations within ``radius`` of the last estimate.
 
     Every observation is first shifted to the template (det, x, y; the first observation unless given) by the median difference over the detectors
     both have; observations with fewer than ``least_dets`` of those are left out, as are fits that aren't ``ok`` or have a null or non-finite number.
     The first estimate is the median of each coordinate. A detector without ``least`` fits has ok false, and nulls where none is left.
+    Results don't depend on the order of rows.
     """
     rows = df.select(F.col(obs).alias("_o"), F.col(det).alias("_d"), F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"), F.col(tau).cast("double").alias("_t"), ok.alias("_ok"))
     few = few_groups(rows, ["_d"])
@@ -236,12 +243,16 @@ def combine_fits(df: DataFrame, obs: str, det: str, x: str, y: str, tau: str, ok
     shift = both.groupBy("_o").agg(F.count("*").alias("_n")).where(F.col("_n") >= least_dets).join(middle(both, ["_o"], "dx", "dx"), "_o").join(middle(both, ["_o"], "dy", "dy"), "_o").drop("_n")
     moved = with_groups(good, checkpointed(shift), ["_o"], few_groups(good, ["_o"])).where("dx is not null").select("_d", (F.col("_x") + F.col("dx")).alias("_x"), (F.col("_y") + F.col("dy")).alias("_y"), "_t")
     moved = checkpointed(moved)  # every round reads it
-    now = middle(moved, ["_d"], "_x", "cx").join(middle(moved, ["_d"], "_y", "cy"), "_d")
+    unit, top, n = F.col("unit"), F.col("top"), F.count("*")  # what distances and times don't exceed
+    size = moved.groupBy("_d").agg(F.least(F.lit(float(radius)), 2 * F.greatest(F.max(F.abs("_x")), F.max(F.abs("_y")))).alias("unit"), F.max(F.abs("_t")).alias("top"))
+    now = middle(moved, ["_d"], "_x", "cx").join(middle(moved, ["_d"], "_y", "cy"), "_d").join(size, "_d")
+    off = {c: F.col(f"_{c}") - F.col(f"c{c}") for c in "xyt"}
     for _ in range(rounds):
-        near = with_groups(moved, now, ["_d"], few).where((F.col("_x") - F.col("cx")) ** 2 + (F.col("_y") - F.col("cy")) ** 2 < radius**2)
-        now = near.groupBy("_d").agg(
-            F.avg("_x").alias("cx"), F.avg("_y").alias("cy"), F.avg("_t").alias("ct"), F.stddev_pop("_x").alias("sx"), F.stddev_pop("_y").alias("sy"), F.stddev_pop("_t").alias("st"), F.count("*").alias("n")
-        )
+        near = with_groups(moved, now, ["_d"], few).where(off["x"] ** 2 + off["y"] ** 2 < radius**2)
+        centre = [(F.first(f"c{c}") + sum_in_any_order(off[c], unit) / n).alias(f"c{c}") for c in "xy"]
+        now = checkpointed(near.groupBy("_d").agg(*centre, (sum_in_any_order(F.col("_t"), top) / n).alias("ct"), F.first("unit").alias("unit"), F.first("top").alias("top")))
+    spread = [F.sqrt(sum_in_any_order(off[c], u, 2) / n).alias(f"s{c}") for c, u in zip("xyt", (unit, unit, top))]
+    now = with_groups(near.select("_d", "_x", "_y", "_t"), now, ["_d"], few).groupBy("_d").agg(*[F.first(f"c{c}").alias(f"c{c}") for c in "xyt"], *spread, n.alias("n"))
     return rows.select("_d").distinct().join(now, "_d", "left").select(
         F.col("_d").alias(det), F.col("cx").alias(x), F.col("cy").alias(y), F.col("ct").alias(tau), F.col("sx").alias(f"{x}_err"), F.col("sy").alias(f"{y}_err"), F.col("st").alias(f"{tau}_err"),
         F.coalesce("n", F.lit(0)).alias("n_obs"), F.coalesce(F.col("n") >= least, F.lit(False)).alias("ok"),

@@ -204,6 +204,20 @@ def test_fits_are_shifted_to_the_template_first(spark):
     assert not got["lost"]["ok"] and got["lost"]["n_obs"] == 0 and not got["bad"]["ok"] and got["once"]["n_obs"] == 1 and not got["once"]["ok"]
 
 
+def test_combined_fits_do_not_depend_on_the_order_of_rows(spark):
+    r = np.random.default_rng(4)
+    rows = [(o, f"d{d}", float(r.normal(d, 0.1)), float(r.normal(0, 0.1)), float(r.lognormal()), True) for o in range(30) for d in range(20)]
+    rows += [(0, "zero", 0.0, 0.0, 0.0, True), *[(0, "far", x, 0.1, 2.0, True) for x in (0.1, 0.1, 0.4, 1e9)]]
+    kinds = "obs int, det string, x double, y double, tau double, ok boolean"
+    run = lambda rows, n, radius: {x["det"]: tuple(x)[1:] for x in stats.combine_fits(spark.createDataFrame(rows, kinds).repartition(n), "obs", "det", "x", "y", "tau", F.col("ok"), radius).collect()}
+    got = run(rows, 1, 0.5)
+    assert run([rows[i] for i in r.permutation(len(rows))], 5, 0.5) == got
+    assert got["zero"] == (0, 0, 0, 0, 0, 0, 1, False) and got["far"] == pytest.approx((0.2, 0.1, 2, 0.02**0.5, 0, 0, 3, True), abs=1e-12)
+    # without a limit all fits count, at their plain mean and deviation
+    free, tau = run(rows, 2, float("inf")), [x[4] for x in rows if x[1] == "d3"]
+    assert free["d3"][6] == 30 and free["d3"][2::3][:2] == pytest.approx((np.mean(tau), np.std(tau)), rel=1e-13)
+
+
 def test_observations_are_loaded_from_both_ends(spark):
     rows = [("t", 1, i, float(i)) for i in range(30)] + [("u", 1, i, 1.0) for i in range(5)] + [("t", None, 3, 1.0), (None, 1, 3, 1.0), ("t", 1, None, 1.0), ("t", 2, 12, None)]
     s = spark.createDataFrame(rows, "tod_id string, det_uid int, samp int, x double")
