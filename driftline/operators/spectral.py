@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -410,26 +411,57 @@ def harmonics(df: DataFrame, keys: list[str], samp: str, value: str, turn: float
 
 def least_squares(model: Callable[[np.ndarray, np.ndarray], np.ndarray], start: np.ndarray, x: np.ndarray, y: np.ndarray, free: np.ndarray | None = None, rounds: int = 50) -> np.ndarray:
     """Parameters that fit ``model(p, x)`` to y by damped Gauss-Newton steps; those not ``free`` stay."""
+    return least_squares_each(lambda p, _: model(p[:, 0, 0], x)[None], np.array(start, float)[None], y[None], y[None], free, rounds)[0]
+
+
+def _solved(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Solutions of many systems, and which of them have one."""
+    try:
+        return np.linalg.solve(a, b), np.ones(len(a), bool)
+    except np.linalg.LinAlgError:
+        if len(a) == 1:
+            return np.zeros_like(b), np.zeros(1, bool)
+    half = len(a) // 2
+    return tuple(np.concatenate(v) for v in zip(_solved(a[:half], b[:half]), _solved(a[half:], b[half:])))
+
+
+def least_squares_each(model: Callable[[np.ndarray, np.ndarray], np.ndarray], start: np.ndarray, x: np.ndarray, y: np.ndarray, free: np.ndarray | None = None, rounds: int = 50) -> np.ndarray:
+    """``least_squares`` of many fits, each by itself: start, x and y have a row for each, ``model`` gets parameters as (parameter, fit, 1).
+
+    A step that has no solution counts as one that doesn't help: the place, height and width of a peak of one reading can't be told
+    apart but for the damping, which is raised.
+    """
     p = np.array(start, float)
-    f = np.flatnonzero(np.ones(len(p), bool) if free is None else free)
-    damp, r = 1e-3, y - model(p, x)
+    f = np.flatnonzero(np.ones(p.shape[1], bool) if free is None else free)
+    at = lambda q, t: model(np.ascontiguousarray(q.T)[:, :, None], t)
+    size = lambda v: np.matmul(v[:, None, :], v[:, :, None])[:, 0, 0]
+    a, b, d, damp, now = np.empty((len(p), len(f), len(f))), np.empty((len(p), len(f), 1)), np.arange(len(f)), np.full(len(p), 1e-3), at(p, x)
+    r = y - now
+    live = moved = np.arange(len(p))
     for _ in range(rounds):
-        h = 1e-6 * np.maximum(np.abs(p[f]), 1e-3)
-        j = np.stack([(model(p + np.bincount([i], [d], len(p)), x) - model(p, x)) / d for i, d in zip(f, h)], 1)
-        a = j.T @ j
-        step = np.linalg.solve(a + damp * np.diag(np.diag(a) + 1e-12), j.T @ r)
-        q = p.copy()
-        q[f] += step
-        new = y - model(q, x)
-        if new @ new < r @ r:
-            done = r @ r - new @ new < 1e-14 * (r @ r)
-            p, r, damp = q, new, damp / 3
-            if done:
-                break
-        else:
-            damp *= 5
-            if damp > 1e8:
-                break
+        if len(moved):
+            h = 1e-6 * np.maximum(np.abs(p[moved][:, f]), 1e-3)
+            j = np.stack([(at(p[moved] + h[:, [i]] * (np.arange(p.shape[1]) == k), x[moved]) - now[moved]) / h[:, [i]] for i, k in enumerate(f)], 2)
+            jt = j.transpose(0, 2, 1)
+            a[moved], b[moved] = jt @ j, jt @ r[moved][:, :, None]
+        m = a[live]
+        m[:, d, d] += damp[live][:, None] * (m[:, d, d] + 1e-12)
+        step, ok = _solved(m, b[live])
+        q = p[live]
+        q[:, f] += step[:, :, 0]
+        there = at(q, x[live])
+        new = y[live] - there
+        was, left = size(r[live]), size(new)
+        better = ok & (left < was)
+        done = better & (was - left < 1e-14 * was)
+        moved, lost = live[better], live[~better]
+        p[moved], now[moved], r[moved] = q[better], there[better], new[better]
+        damp[moved] /= 3
+        damp[lost] *= 5
+        moved = live[better & ~done]
+        live = live[~done & (better | (damp[live] <= 1e8))]
+        if not len(live):
+            break
     return p
 
 
@@ -446,22 +478,73 @@ def metropolis(log_p: Callable[[np.ndarray], float], start: np.ndarray, scale: n
     return np.array(chain)
 
 
-def fit_peaks(df: DataFrame, keys: list[str], samp: str, value: str) -> DataFrame:
-    """(keys, at, height, sigma, snr): gaussian fitted around the largest excursion of each stream; peaks in the outer 5 % have snr 0."""
+def fit_peaks(df: DataFrame, keys: list[str], samp: str, value: str, many: int = 1000) -> DataFrame:
+    """(keys, at, height, sigma, snr): gaussian fitted around the largest excursion of each stream; peaks in the outer 5 % have snr 0.
 
-    def kernel(x: np.ndarray) -> dict:
+    A task sorts its streams and fits ``many`` of them at once, each by itself.
+    """
+    shipped(df.sparkSession)
+    gauss = lambda p, t: p[0] * np.exp(-0.5 * ((t - p[1]) / p[2]) ** 2)
+
+    def peak(x: np.ndarray) -> tuple:
+        """Place and readings around the peak, signal per noise of a peak of height 1."""
         n = len(x)
         edge = np.clip(np.minimum(np.arange(n), n - 1 - np.arange(n)) / max(1, n // 10), 0, 1)
         y = (x - np.median(x)) * edge
         k = int(np.abs(y).argmax())
         i = np.arange(max(0, k - 15), min(n, k + 16))
-        gauss = lambda p, t: p[0] * np.exp(-0.5 * ((t - p[1]) / p[2]) ** 2)
-        p = least_squares(gauss, np.array([y[k], k, 3.0]), i.astype(float), y[i])
-        noise = 1.4826 * np.median(np.abs(np.diff(x))) / 2**0.5
-        inner = 0.05 * n <= k <= 0.95 * n
-        return {"at": [float(p[1])], "height": [float(p[0])], "sigma": [abs(float(p[2]))], "snr": [float(abs(p[0]) / noise) if noise > 0 and inner else 0.0]}
+        noise = 1.4826 * np.median(np.abs(np.diff(x))) / 2**0.5 if n > 1 else 0.0
+        return k, y[k], i.astype(float), y[i], noise if 0.05 * n <= k <= 0.95 * n else 0.0
+
+    def fits(peaks: list[tuple]) -> list[np.ndarray]:
+        p = np.empty((len(peaks), 3))
+        width = np.array([len(v[2]) for v in peaks])
+        for w in np.unique(width):
+            own = np.flatnonzero(width == w)
+            start = np.array([(peaks[i][1], peaks[i][0], 3.0) for i in own], float)
+            p[own] = least_squares_each(gauss, start, np.array([peaks[i][2] for i in own]), np.array([peaks[i][3] for i in own]))
+        noise = np.array([v[4] for v in peaks])
+        snr = np.divide(np.abs(p[:, 0]), noise, out=np.zeros(len(p)), where=noise > 0)
+        return [p[:, 1], p[:, 0], np.abs(p[:, 2]), snr]
+
+    def run(batches):
+        heads, peaks, parts = [], [], []  # keys of the streams that are here, their peaks, what there is of the last stream
+
+        def whole() -> None:
+            if parts:
+                peaks.append(peak(on_grid(*(np.concatenate(v) for v in zip(*parts)))))
+                parts.clear()
+
+        def fitted() -> list:
+            t = pa.concat_tables(heads)
+            out = t.slice(0, len(peaks)).combine_chunks()
+            for name, v in zip(("at", "height", "sigma", "snr"), fits(peaks)):
+                out = out.append_column(name, pa.array(v))
+            heads[:] = [t.slice(len(peaks))]
+            peaks.clear()
+            return out.to_batches()
+
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            s, x, place = (t[c].to_numpy() for c in ("_s", "_x", "_n"))
+            first = np.flatnonzero(place == 1)
+            heads.append(t.select(keys).take(pa.array(first)))
+            for lo, hi in zip([0, *first], [*first, len(s)]):
+                if hi == lo:
+                    continue
+                if place[lo] == 1:
+                    whole()
+                parts.append((s[lo:hi], x[lo:hi]))
+            if len(peaks) >= many:
+                yield from fitted()
+        whole()
+        if peaks:
+            yield from fitted()
 
-    return per_stream(df, keys, samp, value, kernel, "at double, height double, sigma double, snr double")
+    kinds = dict(df.dtypes)
+    src = df.select(*keys, F.col(samp).alias("_s"), F.col(value).cast("double").alias("_x"))
+    src = src.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy("_s")))
+    return src.mapInArrow(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", at double, height double, sigma double, snr double")
 
 
 def biquad_response(f: np.ndarray, rate: float, b: tuple[float, float, float, float]) -> np.ndarray:

@@ -147,6 +147,26 @@ def test_kernels():
     assert np.allclose(flat, 3.0) and abs(spectral.biquad_response(np.array([0.0]), 400.0, c)[0] - 1) < 1e-9
 
 
+def test_peaks_of_one_reading(spark):
+    """A lone reading leaves height, place and width open; it is fitted none the less, and the streams beside it too."""
+    lone = {n: 1e5 * (np.arange(n) == n // 2) for n in range(11, 40)}
+    wide = 3 * np.exp(-0.5 * ((np.arange(400) - 200.5) / 4) ** 2)
+    rows = [(n, i, float(v)) for n, x in [*lone.items(), (400, wide)] for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "k int, samp int, x double")
+    got = {r["k"]: r for r in spectral.fit_peaks(df, ["k"], "samp", "x").collect()}
+    assert set(got) == {*lone, 400}
+    for n in lone:
+        r = got[n]
+        assert np.isfinite([r["at"], r["height"], r["sigma"], r["snr"]]).all()
+        assert abs(r["height"] * np.exp(-0.5 * ((n // 2 - r["at"]) / r["sigma"]) ** 2) / 1e5 - 1) < 1e-3
+    assert np.allclose([got[400][c] for c in ("at", "height", "sigma")], [200.5, 3, 4], atol=1e-3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "11")  # streams begin, end and go on at the edges of batches
+    try:
+        assert {r["k"]: r for r in spectral.fit_peaks(df, ["k"], "samp", "x", many=3).collect()} == got
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_biquad_gain_matches_response(spark):
     c, f = (1.7, 0.73, 1.6, 0.68), [0.0, 3.0, 40.0, 150.0]
     got = spark.createDataFrame([(x,) for x in f], "f double").select(physics.biquad_gain(F.col("f"), 400.0, c).alias("g")).collect()
